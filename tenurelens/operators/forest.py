@@ -73,7 +73,7 @@ def feature_value(name: str, cfg: PolicyConfig = PolicyConfig()) -> Column:
 
 
 def assemble(frame: DataFrame, cfg: PolicyConfig = PolicyConfig(), keep: Sequence[str] = ()) -> DataFrame:
-    """Row key, label and weight where known, split, fold and feature vector."""
+    """Row key, label and weight where known, split and feature vector."""
     kept = [*ROW_KEY, *keep]
     labels = []
     if "retire" in frame.columns:
@@ -82,7 +82,6 @@ def assemble(frame: DataFrame, cfg: PolicyConfig = PolicyConfig(), keep: Sequenc
         *kept,
         *labels,
         (split_bucket(cfg) < cfg.train_percent).alias("is_train"),
-        fold(cfg).alias("fold"),
         *[feature_value(c, cfg).alias(f"x_{c}") for c in FEATURES],
     )
     vectors = VectorAssembler(inputCols=[f"x_{c}" for c in FEATURES], outputCol="features")
@@ -239,7 +238,8 @@ def grid_search(
         parallelism=parallelism,
         seed=cfg.forest_seed,
     )
-    score = dict(zip(estimators, search.fit(rows).avgMetrics))
+    folded = rows.withColumn("fold", fold(cfg))
+    score = dict(zip(estimators, search.fit(folded).avgMetrics))
     table = [(beta, p.trees, p.depth, p.min_split, p.min_leaf, p.features, float(score[_fit_key(p)])) for p in points]
     frame = rows.sparkSession.createDataFrame(
         table,
