@@ -50,7 +50,7 @@ def aged(spark: SparkSession, d: str) -> DataFrame:
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """Labelled panel with the last-period attributes, one aggregation."""
-    rows = ey.one_pass_panel(checks(spark, d), CFG).drop("single")
+    rows = ey.one_pass_panel(ey.spells(checks(spark, d), CFG)).drop("one_state", "one_person")
     return ey.with_label(ey.with_ages(rows, CFG), CFG)
 
 

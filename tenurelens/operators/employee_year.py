@@ -51,10 +51,35 @@ def attach_last_period(
     return null_safe_join(panel, snapshot(checks, columns), LAST_PERIOD, how)
 
 
-# -- the panel in one pass over the checks ------------------------------------
+# -- the panel from one scan of the checks -------------------------------------
 
 STATE = [*SNAPSHOT, "MOU", "JOB_CLASS", "BIWEEKLY_RATE"]
 YEAR = ["FISCAL_YEAR", "EMPLOYEE_ID"]
+PERSON = ["DATE_OF_BIRTH", "ORIGINAL_HIRE_DATE"]
+MEASURES = ["HW_TYPE_HOURS", "OT_TYPE_HOURS", "HW_TYPE_PAY", "OT_TYPE_PAY"]
+
+
+def spells(checks: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """Checks rolled up to the attribute combinations of each employee-year.
+
+    Regular checks of a combination become one row with its last period; other
+    checks keep their period in ``other_pp``. Each row carries the number of
+    checks and the sums from which the salary statistics follow. Since the keys
+    hold every attribute, checks shrink before they are shuffled and no
+    employee's checks gather in one task.
+    """
+    is_regular = F.col("CHECK_TYPE").eqNullSafe(cfg.regular_check)
+    period = F.col("PAYROLL_SEQUENCE")
+    return (
+        checks.withColumn("other_pp", F.when(~is_regular, period))
+        .groupBy(*YEAR, *PERSON, *STATE, "other_pp")
+        .agg(
+            F.max(period).alias("last_pp"),
+            F.count(F.lit(1)).alias("checks"),
+            *[F.count(c).alias(f"n_{c}") for c in MEASURES],
+            *[F.sum(c).alias(f"sum_{c}") for c in MEASURES],
+        )
+    )
 
 
 @dataclass(frozen=True)
@@ -71,75 +96,99 @@ class SnapshotPanel:
     rates: DataFrame | None = None
 
 
-def one_pass_panel(checks: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
-    """Panel row and last-period attributes from one aggregation of regular checks.
+def one_pass_panel(spelled: DataFrame) -> DataFrame:
+    """Panel row and last-period attributes by one aggregation of regular spells.
 
     Greatest (period, attributes) and least (-period, attributes) both sit at the
     last period; equal attributes prove that regular checks have one row of them
-    there. ``single`` is false where they differ, or where birth or hire dates
+    there (``one_state``). ``one_person`` is false where birth or hire dates
     disagree within the year.
     """
-    period = F.col("PAYROLL_SEQUENCE")
-    state = F.struct(*STATE)
-    person = F.struct("DATE_OF_BIRTH", "ORIGINAL_HIRE_DATE")
+    state = F.struct(*STATE).alias("state")
+    person = F.struct(*PERSON)
     found = (
-        regular(checks, cfg)
+        spelled.filter(F.col("other_pp").isNull())
         .groupBy(*YEAR)
         .agg(
-            F.max(period).alias("MAX_PP"),
-            F.max(F.struct(period.alias("period"), state.alias("state"))).alias("top"),
-            F.min(F.struct((-period).alias("period"), state.alias("state"))).alias("low"),
+            F.max("last_pp").alias("MAX_PP"),
+            F.max(F.struct("last_pp", state)).alias("top"),
+            F.min(F.struct((-F.col("last_pp")).alias("last_pp"), state)).alias("low"),
             F.min(person).alias("person"),
             F.max(person).alias("other_person"),
         )
     )
-    single = F.col("top.state").eqNullSafe(F.col("low.state")) & F.col("person").eqNullSafe(
-        F.col("other_person")
+    return found.select(
+        *YEAR,
+        "person.*",
+        "MAX_PP",
+        "top.state.*",
+        F.col("top.state").eqNullSafe(F.col("low.state")).alias("one_state"),
+        F.col("person").eqNullSafe(F.col("other_person")).alias("one_person"),
     )
-    return found.select(*YEAR, "person.*", "MAX_PP", "top.state.*", single.alias("single"))
 
 
-def overruled(checks: DataFrame, panel: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+def overruled(spelled: DataFrame, panel: DataFrame) -> DataFrame:
     """Employee-years whose other checks at ``MAX_PP`` differ from the panel row."""
-    others = checks.filter(~F.col("CHECK_TYPE").eqNullSafe(cfg.regular_check))
-    seen = snapshot(others, STATE).withColumnsRenamed({c: f"other_{c}" for c in STATE})
-    both = null_safe_join(panel, seen, LAST_PERIOD, how="inner")
+    others = spelled.filter(F.col("other_pp").isNotNull())
+    seen = others.select("EMPLOYEE_ID", "other_pp", *[F.col(c).alias(f"other_{c}") for c in STATE])
+    both = null_safe_join(panel, seen, ["EMPLOYEE_ID", ("MAX_PP", "other_pp")], how="inner")
     same = F.struct(*STATE).eqNullSafe(F.struct(*[F.col(f"other_{c}").alias(c) for c in STATE]))
     return both.filter(~same).select(*YEAR).distinct()
 
 
-def snapshot_panel(checks: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> SnapshotPanel:
+def snapshot_panel(
+    checks: DataFrame, spelled: DataFrame, cfg: PolicyConfig = PolicyConfig()
+) -> SnapshotPanel:
     """Equal to ``last_period`` followed by the attribute joins, row for row.
 
-    Employee-years with one attribute row are finished by the single pass. Only
-    the others go through the joins, over their own checks.
+    ``spelled`` holds the written spells of ``checks``. Employee-years with one
+    attribute row need no join; the others are joined to their own spells. Only
+    employee-years with two birth or hire dates go back to the checks.
     """
-    panel = settle(one_pass_panel(checks, cfg), "panel")
-    disputed = settle(overruled(checks, panel.filter("single"), cfg), "disputed")
-    done = panel.filter("single").drop("single")
+    panel = settle(one_pass_panel(spelled), "panel")
+    flags = ["one_state", "one_person"]
+    clean = F.col("one_state") & F.col("one_person")
+    disputed = settle(overruled(spelled, panel.filter(clean)), "disputed")
+    done = panel.filter(clean).drop(*flags)
+    several = panel.filter("one_person and not one_state")
     if not disputed.isEmpty():
+        several = several.unionByName(null_safe_join(panel.filter(clean), disputed, YEAR, "left_semi"))
         done = null_safe_join(done, disputed, YEAR, "left_anti")
-    open_years = panel.filter(~F.col("single")).select(*YEAR).unionByName(disputed)
-    if open_years.isEmpty():
+    rows = several.select(*YEAR, *PERSON, "MAX_PP")
+    at_last = _spelled_at_last(spelled, rows)
+
+    twofold = panel.filter("not one_person").select(*YEAR)
+    if not twofold.isEmpty():
+        theirs = null_safe_join(checks, twofold, YEAR, "left_semi")
+        again = settle(last_period(theirs, cfg), "twofold_panel")
+        rows = rows.unionByName(again)
+        at_last = at_last.unionByName(_checks_at_last(checks, again))
+    elif several.isEmpty():
         return SnapshotPanel(done)
 
-    theirs = null_safe_join(checks, open_years, YEAR, "left_semi")
-    rows = settle(last_period(theirs, cfg), "open_panel")
-    periods = rows.select("EMPLOYEE_ID", "MAX_PP").distinct()
-    at_last = settle(
-        null_safe_join(
-            checks.select("EMPLOYEE_ID", "PAYROLL_SEQUENCE", *STATE),
-            periods,
-            ["EMPLOYEE_ID", ("PAYROLL_SEQUENCE", "MAX_PP")],
-            "left_semi",
-        ).distinct(),
-        "open_periods",
-    )
+    at_last = settle(at_last, "open_periods")
     for columns in (SNAPSHOT, ["MOU"], ["JOB_CLASS"]):
         rows = attach_last_period(rows, at_last, columns, how="inner")
     return SnapshotPanel(done, rows, snapshot(at_last, ["BIWEEKLY_RATE"]))
 
 
+def _spelled_at_last(spelled: DataFrame, rows: DataFrame) -> DataFrame:
+    """Distinct attributes at ``MAX_PP``: regular spells ending there, others in it."""
+    period = F.coalesce("other_pp", "last_pp")
+    ends = spelled.select("EMPLOYEE_ID", period.alias("PAYROLL_SEQUENCE"), *STATE)
+    return _only_at(ends, rows)
+
+
+def _checks_at_last(checks: DataFrame, rows: DataFrame) -> DataFrame:
+    return _only_at(checks.select("EMPLOYEE_ID", "PAYROLL_SEQUENCE", *STATE), rows)
+
+
+def _only_at(states: DataFrame, rows: DataFrame) -> DataFrame:
+    wanted = rows.select("EMPLOYEE_ID", "MAX_PP").distinct()
+    on = ["EMPLOYEE_ID", ("PAYROLL_SEQUENCE", "MAX_PP")]
+    return null_safe_join(states, wanted, on, "left_semi").distinct()
+
+
 # -- columns ------------------------------------------------------------------
 
 

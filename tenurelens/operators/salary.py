@@ -42,6 +42,33 @@ def summary(checks: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
             strict_sum("OT_TYPE_PAY", n).alias("OT_TYPE_PAY"),
         )
     )
+    return _with_ratios(totals)
+
+
+def summary_of_spells(spelled: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """The same statistics from the sums the spells carry."""
+    checks = F.sum("checks")
+
+    def total(c: str) -> Column:
+        return F.when(F.sum(f"n_{c}") == checks, F.round(F.sum(f"sum_{c}"), cfg.sum_decimals))
+
+    rate = F.round(F.sum(F.col("BIWEEKLY_RATE") * F.col("checks")), cfg.sum_decimals)
+    regular = F.col("other_pp").isNull() & (F.col("JOB_STATUS") == cfg.active_status)
+    totals = (
+        spelled.filter(regular)
+        .groupBy(*SALARY_KEYS)
+        .agg(
+            F.when(F.count("BIWEEKLY_RATE") == F.count(F.lit(1)), rate / checks).alias("RATE_PP"),
+            (total("HW_TYPE_HOURS") / checks).alias("HW_HOURS_PP"),
+            (total("OT_TYPE_HOURS") / checks).alias("OT_HOURS_PP"),
+            total("HW_TYPE_PAY").alias("HW_TYPE_PAY"),
+            total("OT_TYPE_PAY").alias("OT_TYPE_PAY"),
+        )
+    )
+    return _with_ratios(totals)
+
+
+def _with_ratios(totals: DataFrame) -> DataFrame:
     return totals.withColumns(
         {
             "OT_TYPE_PAY_PERSENT": overtime_share("OT_TYPE_PAY", "HW_TYPE_PAY"),

@@ -30,8 +30,9 @@ def build_history(
 ) -> History:
     checks = ey.with_fiscal_year(payroll, settle_lookup(calendar, "calendar"))
     ladder = settle_lookup(steps.step_table(job_steps, cfg), "job_steps")
-    salaries = settle(salary.summary(checks, cfg), "salaries")
-    found = ey.snapshot_panel(checks, cfg)
+    spelled = settle(ey.spells(checks, cfg), "spells")
+    salaries = salary.summary_of_spells(spelled, cfg)
+    found = ey.snapshot_panel(checks, spelled, cfg)
 
     rows = found.single.withColumn("single", F.lit(True))
     if found.multiple is not None:
