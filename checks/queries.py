@@ -16,7 +16,7 @@ from tenurelens.operators.profile import profile
 from tenurelens.plans import frames, modelling
 from tenurelens.plans.history import History, build_history
 from tenurelens.sources import io, schema, trade_payroll as trade
-from tenurelens.sources.workspace import Lookup, scratch_path, settle_lookup
+from tenurelens.sources.workspace import Lookup, scratch_path, settle, settle_lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -175,7 +175,7 @@ def join_pension(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join_peer_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = labelled(spark, d)
+    rows = settle(labelled(spark, d), "labelled")
     peers = settle_lookup(el.peer_stats(rows, CFG.eligible_age, CFG.eligible_service), "peers")
     joined = el.attach_peers(rows.filter(el.is_eligible(CFG)), peers)
     return joined.select(*ID, "eligible_persent", "total_ecount")
@@ -183,6 +183,7 @@ def join_peer_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def join_peer_stats_score(spark: SparkSession, d: str) -> DataFrame:
     rows = stepped(spark, d).withColumns({c: F.lit(None).cast("double") for c in schema.SALARY_STATS})
+    rows = settle(rows, "stepped")
     last = rows.filter(F.col("FISCAL_YEAR") == CFG.last_fiscal_year)
     peers = settle_lookup(el.peer_stats(last, CFG.forward_age, CFG.forward_service), "peers")
     ahead = sf.roll_forward(sf.score_population(rows, CFG), CFG)
@@ -196,7 +197,7 @@ def join_fallback_salary(spark: SparkSession, d: str) -> DataFrame:
 
 def join_target_means(names: Sequence[str]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = eligible(spark, d)
+        rows = settle(eligible(spark, d), "eligible")
         means = encode.TargetMeans.fit(rows, cfg=CFG)
         return means.apply(rows, names).select(*ID, *names)
 
@@ -349,14 +350,22 @@ def pension_estimate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def paid_with_fallback(spark: SparkSession, d: str) -> tuple[DataFrame, Lookup]:
+    """Panel and fallback over salary statistics that are computed once."""
+    stats = settle(salaries(spark, d), "salaries")
+    return salary.attach(stepped(spark, d), stats), settle_lookup(salary.fallback(stats, CFG), "fallback")
+
+
 def impute_train(spark: SparkSession, d: str) -> DataFrame:
-    rows = salary.attach_fallback(paid(spark, d).filter(el.is_eligible(CFG)), fallback(spark, d))
+    panel, means = paid_with_fallback(spark, d)
+    rows = salary.attach_fallback(panel.filter(el.is_eligible(CFG)), means)
     return salary.impute_train(rows).select(*ID, *schema.SALARY_STATS)
 
 
 def impute_score(spark: SparkSession, d: str) -> DataFrame:
-    rows = salary.attach_fallback(rolled(spark, d), fallback(spark, d))
-    return salary.impute_score(rows, CFG).select(*ID, *schema.SALARY_STATS)
+    panel, means = paid_with_fallback(spark, d)
+    ahead = sf.roll_forward(sf.score_population(panel, CFG), CFG)
+    return salary.impute_score(salary.attach_fallback(ahead, means), CFG).select(*ID, *schema.SALARY_STATS)
 
 
 def normalise_categories(spark: SparkSession, d: str) -> DataFrame:
@@ -366,7 +375,7 @@ def normalise_categories(spark: SparkSession, d: str) -> DataFrame:
 
 def score_unseen(spark: SparkSession, d: str) -> DataFrame:
     """Means of the earlier years, applied to the last one."""
-    rows = eligible(spark, d)
+    rows = settle(eligible(spark, d), "eligible")
     earlier = rows.filter(F.col("FISCAL_YEAR") < CFG.last_fiscal_year)
     means = encode.TargetMeans.fit(earlier, cfg=CFG)
     last = rows.filter(F.col("FISCAL_YEAR") == CFG.last_fiscal_year)
