@@ -95,7 +95,7 @@ def both_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
     frame = frames.train_frame(history(spark, d), CFG).frame
     rows = modelling.model_rows(frame, "model_rows", CFG).filter("is_train")
-    return forest.stable_layout(rows, 8)
+    return forest.stable_layout(rows)
 
 
 # -- sources and sinks --------------------------------------------------------
@@ -247,8 +247,8 @@ def target_means_all(spark: SparkSession, d: str) -> DataFrame:
     """Every key set of the one-pass fit, with its name."""
     means = encode.TargetMeans.fit(eligible(spark, d), cfg=CFG)
     name = F.coalesce(*[F.when(F.col("set_id") == i, n) for n, i in means.sets.items()])
-    keys = [k for k in means.table.frame.columns if k not in ("set_id", "target_mean")]
-    return means.table.frame.select(name.alias("mean_name"), *keys, "target_mean")
+    keys = [k for k in means.table.columns if k not in ("set_id", "target_mean")]
+    return means.table.select(name.alias("mean_name"), *keys, "target_mean")
 
 
 def profile_nulls(spark: SparkSession, d: str) -> DataFrame:

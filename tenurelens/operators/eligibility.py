@@ -59,16 +59,25 @@ def with_pension(frame: DataFrame, cfg: PolicyConfig = PolicyConfig(), growth: f
 
 
 def pension_table(
-    frame: DataFrame, rates: DataFrame, cfg: PolicyConfig = PolicyConfig(), growth: float | None = None
+    frame: DataFrame,
+    rates: DataFrame,
+    cfg: PolicyConfig = PolicyConfig(),
+    growth: float | None = None,
+    how: str = "left",
 ) -> DataFrame:
     """One row per frame row and distinct rate at its last period."""
     base = frame.select("EMPLOYEE_ID", "FISCAL_YEAR", "MAX_PP", "age", "service_year")
-    return with_pension(null_safe_join(base, rates, LAST_PERIOD), cfg, growth)
+    return with_pension(null_safe_join(base, rates, LAST_PERIOD, how), cfg, growth)
 
 
-def attach_pension(frame: DataFrame, pension: DataFrame) -> DataFrame:
-    """Join back on employee and period; repeated keys repeat rows."""
-    return null_safe_join(frame, pension.select("EMPLOYEE_ID", "MAX_PP", *PENSION), ["EMPLOYEE_ID", "MAX_PP"])
+def attach_pension(frame: DataFrame, pension: DataFrame, how: str = "left") -> DataFrame:
+    """Join back on employee and period; repeated keys repeat rows.
+
+    A table made from ``frame`` holds all of its keys, so ``how="inner"`` gives
+    the same rows and lets Spark split a hot key on either side.
+    """
+    table = pension.select("EMPLOYEE_ID", "MAX_PP", *PENSION)
+    return null_safe_join(frame, table, ["EMPLOYEE_ID", "MAX_PP"], how)
 
 
 # -- peers --------------------------------------------------------------------

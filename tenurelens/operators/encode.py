@@ -11,7 +11,7 @@ from tenurelens.config import PolicyConfig
 from tenurelens.functions.hashing import char_hash
 from tenurelens.functions.nullsafe import in_list, strict_avg
 from tenurelens.operators.joins import lookup_join
-from tenurelens.sources.workspace import Lookup, settle_lookup
+from tenurelens.sources.workspace import Lookup, settle
 
 # output column -> key columns
 TARGET_MEANS: dict[str, tuple[str, ...]] = {
@@ -63,8 +63,9 @@ class TargetMeans:
     category of its own; a category not seen in the fit gives NULL.
     """
 
-    table: Lookup
+    table: DataFrame
     sets: dict[str, int]
+    rows: dict[str, int]
     cfg: PolicyConfig
 
     @classmethod
@@ -78,11 +79,13 @@ class TargetMeans:
             name: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys)
             for name, keys in TARGET_MEANS.items()
         }
-        return cls(settle_lookup(means, "target_means"), sets, cfg)
+        table = settle(means, "target_means")
+        sizes = dict(table.groupBy("set_id").count().collect())
+        return cls(table, sets, {name: sizes.get(i, 0) for name, i in sets.items()}, cfg)
 
     def means(self, name: str) -> DataFrame:
         keys = TARGET_MEANS[name]
-        own = self.table.frame.filter(F.col("set_id") == self.sets[name])
+        own = self.table.filter(F.col("set_id") == self.sets[name])
         return own.select(*keys, F.col("target_mean").alias(name))
 
     def fallback(self, name: str = "jclass_persent") -> DataFrame:
@@ -91,7 +94,7 @@ class TargetMeans:
 
     def apply(self, frame: DataFrame, names: Sequence[str] = tuple(TARGET_MEANS)) -> DataFrame:
         for name in names:
-            frame = lookup_join(frame, Lookup(self.means(name), self.table.rows), TARGET_MEANS[name])
+            frame = lookup_join(frame, Lookup(self.means(name), self.rows[name]), TARGET_MEANS[name])
         return frame
 
     def apply_unseen(self, frame: DataFrame) -> DataFrame:

@@ -73,8 +73,9 @@ def feature_value(name: str, cfg: PolicyConfig = PolicyConfig()) -> Column:
 
 
 def assemble(frame: DataFrame, cfg: PolicyConfig = PolicyConfig(), keep: Sequence[str] = ()) -> DataFrame:
-    """Row key, label and weight where known, split and feature vector."""
+    """Row key, label and weight where known, split, row hash, feature vector."""
     kept = [*ROW_KEY, *keep]
+    features = {c: feature_value(c, cfg) for c in FEATURES}
     labels = []
     if "retire" in frame.columns:
         labels = [F.col("retire").cast("double").alias("label"), class_weight(cfg=cfg).alias("weight")]
@@ -82,16 +83,22 @@ def assemble(frame: DataFrame, cfg: PolicyConfig = PolicyConfig(), keep: Sequenc
         *kept,
         *labels,
         (split_bucket(cfg) < cfg.train_percent).alias("is_train"),
-        *[feature_value(c, cfg).alias(f"x_{c}") for c in FEATURES],
+        F.xxhash64(*features.values()).alias("row_hash"),
+        *[value.alias(f"x_{c}") for c, value in features.items()],
     )
     vectors = VectorAssembler(inputCols=[f"x_{c}" for c in FEATURES], outputCol="features")
     return vectors.transform(values).drop(*[f"x_{c}" for c in FEATURES])
 
 
-def stable_layout(rows: DataFrame, partitions: int) -> DataFrame:
-    """Same rows, same partitions, same order on every run, for a seeded fit."""
-    order = [*ROW_KEY, F.xxhash64(F.col("features").cast("string"))]
-    return rows.repartition(partitions, *ROW_KEY).sortWithinPartitions(*order)
+def stable_layout(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Same rows, same partitions, same order on every run, for a seeded fit.
+
+    The row hash spreads an employee-year that was multiplied by a join.
+    """
+    if partitions is None:
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*ROW_KEY, "row_hash"]
+    return rows.repartition(partitions, *order).sortWithinPartitions(*order)
 
 
 # -- fit ----------------------------------------------------------------------

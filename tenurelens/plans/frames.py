@@ -25,8 +25,8 @@ def _pension(history: History, rows: DataFrame, cfg: PolicyConfig, growth: float
     if history.rates is None:
         return single.drop("single")
     others = rows.filter(~F.col("single")).drop("BIWEEKLY_RATE")
-    table = el.pension_table(others, history.rates, cfg, growth)
-    return single.unionByName(el.attach_pension(others, table)).drop("single")
+    table = el.pension_table(others, history.rates, cfg, growth, how="inner")
+    return single.unionByName(el.attach_pension(others, table, how="inner")).drop("single")
 
 
 def train_base(history: History, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:

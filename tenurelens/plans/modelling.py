@@ -36,7 +36,7 @@ def train(
     frame: DataFrame,
     params: forest.ForestParams = forest.FINAL_FORESTS[-1],
     cfg: PolicyConfig = PolicyConfig(),
-    partitions: int = 8,
+    partitions: int | None = None,
 ) -> Trained:
     rows = model_rows(frame, "model_rows", cfg)
     training = forest.stable_layout(rows.filter("is_train"), partitions).persist()
