@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tenurelens.config import PolicyConfig
 from tenurelens.functions.nullsafe import in_list
 from tenurelens.operators.joins import lookup_join
-from tenurelens.sources.workspace import Lookup
+from tenurelens.sources.workspace import Lookup, settle_lookup
+
+
+STEP_KEYS = ["JOB", "JOB_CLASS_TITLE", "PAY_GRADE"]
+PANEL_STEP_KEYS = [("JOB_CLASS", "JOB"), "JOB_CLASS_TITLE", "PAY_GRADE"]
 
 
 def unambiguous(steps: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
@@ -30,7 +34,13 @@ def step_table(steps: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFram
 
 
 def attach_steps(panel: DataFrame, steps: Lookup) -> DataFrame:
-    return lookup_join(panel, steps, [("JOB_CLASS", "JOB"), "JOB_CLASS_TITLE", "PAY_GRADE"])
+    return lookup_join(panel, steps, PANEL_STEP_KEYS)
+
+
+def repeated_jobs(steps: Lookup) -> Lookup:
+    """Keys for which the step table has more than one highest step."""
+    twice = steps.frame.groupBy(*STEP_KEYS).count().filter("count > 1")
+    return settle_lookup(twice.select(*STEP_KEYS, F.lit(True).alias("repeated")), "repeated_jobs")
 
 
 def step_default(cfg: PolicyConfig = PolicyConfig()) -> Column:

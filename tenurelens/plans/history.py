@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tenurelens.config import PolicyConfig
 from tenurelens.operators import employee_year as ey, salary, steps
+from tenurelens.operators.joins import lookup_join
 from tenurelens.sources.schema import PANEL
 from tenurelens.sources.workspace import Lookup, settle, settle_lookup
 
@@ -28,7 +29,7 @@ class History:
 def build_history(
     payroll: DataFrame, calendar: DataFrame, job_steps: DataFrame, cfg: PolicyConfig = PolicyConfig()
 ) -> History:
-    checks = ey.with_fiscal_year(payroll, settle_lookup(calendar, "calendar"))
+    checks = ey.with_fiscal_year(payroll, _checked(calendar))
     ladder = settle_lookup(steps.step_table(job_steps, cfg), "job_steps")
     spelled = settle(ey.spells(checks, cfg), "spells")
     salaries = salary.summary_of_spells(spelled, cfg)
@@ -40,11 +41,42 @@ def build_history(
             {"BIWEEKLY_RATE": F.lit(None).cast("double"), "single": F.lit(False)}
         )
         rows = rows.unionByName(others)
+    rows, rates = _steps_apart(rows, found.rates, ladder)
     rows = ey.with_label(ey.with_ages(rows, cfg), cfg)
     rows = salary.attach(rows, salaries).withColumn("whether_supervisor", ey.supervisor_flag(cfg))
     rows = steps.with_steps(rows, ladder, cfg).select(*PANEL, "BIWEEKLY_RATE", "single")
     return History(
         settle(rows, "history", partition_by=["FISCAL_YEAR"]),
-        found.rates,
+        rates,
         settle_lookup(salary.fallback(salaries, cfg), "fallback"),
     )
+
+
+def _checked(calendar: DataFrame) -> Lookup:
+    """The calendar, refused if it would count a check twice."""
+    known = settle_lookup(calendar, "calendar")
+    periods = known.frame.select("PAYROLL_SEQUENCE").distinct().count()
+    if periods < known.rows:
+        raise ValueError("the fiscal calendar holds a pay period more than once")
+    return known
+
+
+def _steps_apart(
+    rows: DataFrame, rates: DataFrame | None, ladder: Lookup
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows the step table will repeat are no longer ``single``.
+
+    The pension join multiplies them, so their rates move to the rate table.
+    """
+    repeated = steps.repeated_jobs(ladder)
+    if repeated.rows == 0:
+        return rows, rates
+    marked = lookup_join(rows, repeated, steps.PANEL_STEP_KEYS)
+    split = F.col("single") & F.col("repeated").isNotNull()
+    moved = marked.filter(split).select(
+        "EMPLOYEE_ID", F.col("MAX_PP").alias("PAYROLL_SEQUENCE"), "BIWEEKLY_RATE"
+    )
+    kept = marked.withColumns(
+        {"BIWEEKLY_RATE": F.when(~split, F.col("BIWEEKLY_RATE")), "single": F.col("single") & ~split}
+    )
+    return kept.drop("repeated"), moved if rates is None else rates.unionByName(moved)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, functions as F
@@ -46,5 +48,25 @@ def train(
         training.unpersist()
 
 
+def tune(
+    rows: DataFrame,
+    beta: float,
+    cfg: PolicyConfig = PolicyConfig(),
+    stages: Sequence[forest.Stage] | None = None,
+    partitions: int | None = None,
+    parallelism: int = 4,
+) -> DataFrame:
+    """All search stages for one beta; by default the full grid of 248 points."""
+    training = forest.stable_layout(rows.filter("is_train"), partitions).persist()
+    try:
+        found = [
+            forest.grid_search(training, stage, beta, cfg, parallelism).withColumn("stage", F.lit(number))
+            for number, stage in enumerate(stages or forest.stages(beta), start=1)
+        ]
+    finally:
+        training.unpersist()
+    return reduce(DataFrame.unionByName, found)
+
+
 def predicted_total(scored: DataFrame) -> DataFrame:
     return scored.agg(F.sum("pred").alias("predicted_total"))
