@@ -11,12 +11,16 @@ import re
 DAY = "strptime({0}, '%d-%b-%y')"
 
 
-def strict_avg(c: str, n: int) -> str:
-    return f"case when count({c}) = count(*) then round(sum({c}), {n}) / count(*) end"
+def exact_sum(c: str, n: int) -> str:
+    return f"sum(cast(round_even({c} * 1e{n}, 0) as bigint))::double / 1e{n}"
 
 
 def strict_sum(c: str, n: int) -> str:
-    return f"case when count({c}) = count(*) then round(sum({c}), {n}) end"
+    return f"case when count({c}) = count(*) then {exact_sum(c, n)} end"
+
+
+def strict_avg(c: str, n: int) -> str:
+    return f"case when count({c}) = count(*) then {exact_sum(c, n)} / count(*) end"
 
 
 def ieee_div(a: str, b: str) -> str:
@@ -151,7 +155,7 @@ def same(keys: list[str], a: str, b: str) -> str:
 def with_means(source: str, fitted: str, names: list[str] | None = None) -> str:
     names = list(MEANS) if names is None else names
     joins = [
-        f"left join (select {', '.join(MEANS[n])}, avg(retire) as {n} from {fitted} group by all) m{i} "
+        f"left join (select {', '.join(MEANS[n])}, sum(retire)::double / count(retire) as {n} from {fitted} group by all) m{i} "
         f"on {same(MEANS[n], 'f', f'm{i}')}"
         for i, n in enumerate(names)
     ]
@@ -161,7 +165,7 @@ def with_means(source: str, fitted: str, names: list[str] | None = None) -> str:
 
 def job_fallback(fitted: str) -> str:
     return (
-        f"(select {strict_avg('v', 6)} from (select avg(retire) as v from {fitted} "
+        f"(select {strict_avg('v', 15)} from (select sum(retire)::double / count(retire) as v from {fitted} "
         "group by FMS_DEPARTMENT_TITLE, JOB_CLASS_TITLE))"
     )
 
@@ -223,7 +227,7 @@ CTES = {
     select *, {ieee_div('OT_TYPE_PAY2', '(OT_TYPE_PAY2 + HW_TYPE_PAY2)')} as OT_TYPE_PAY_PERSENT2,
       RATE_PP2 + {ieee_div('(RATE_PP2 * OT_TYPE_PAY2)', 'HW_TYPE_PAY2')} as RATE_PP_ESTIMATE2
     from (select JOB_CLASS_TITLE, SALARY_STEP,
-        {', '.join(f"{strict_avg(c, 6)} as {c}2" for c in ['RATE_PP', 'HW_HOURS_PP', 'OT_HOURS_PP', 'HW_TYPE_PAY', 'OT_TYPE_PAY'])}
+        {', '.join(f"{strict_avg(c, 8)} as {c}2" for c in ['RATE_PP', 'HW_HOURS_PP', 'OT_HOURS_PP', 'HW_TYPE_PAY', 'OT_TYPE_PAY'])}
       from salaries group by JOB_CLASS_TITLE, SALARY_STEP)""",
     "stepless": f"""
     select l.*, {', '.join('s.' + c for c in STATS)}, m.MOU,
@@ -350,7 +354,7 @@ def hashed(columns: list[str]) -> str:
 
 def target_mean(name: str) -> str:
     keys = ", ".join(MEANS[name])
-    return upto("eligible", f"select {keys}, avg(retire) as {name} from eligible group by {keys}")
+    return upto("eligible", f"select {keys}, sum(retire)::double / count(retire) as {name} from eligible group by {keys}")
 
 
 def all_means() -> str:
@@ -359,7 +363,7 @@ def all_means() -> str:
     parts = []
     for name, keys in MEANS.items():
         out = ", ".join(c if c in keys else f"cast(null as {kinds.get(c, 'varchar')}) as {c}" for c in columns)
-        parts.append(f"select '{name}' as mean_name, {out}, avg(retire) as target_mean from eligible group by {', '.join(keys)}")
+        parts.append(f"select '{name}' as mean_name, {out}, sum(retire)::double / count(retire) as target_mean from eligible group by {', '.join(keys)}")
     return upto("eligible", " union all ".join(parts))
 
 
@@ -370,7 +374,7 @@ def profile() -> str:
         "facts",
         " union all ".join(
             f"select '{c}' as column_name, count(*) as row_count, count(*) - count({c}) as nulls, "
-            f"min({c})::double as min, round(avg({c}::double), 6) as mean, max({c})::double as max from facts"
+            f"min({c})::double as min, {exact_sum(c + '::double', 4)} / count({c}) as mean, max({c})::double as max from facts"
             for c in numbers
         ),
     )
@@ -391,7 +395,7 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         "retire_rate_by_department": upto(
             "labelled",
-            "select FMS_DEPARTMENT_TITLE, count(*) as employee_years, avg(retire) as retire_rate "
+            "select FMS_DEPARTMENT_TITLE, count(*) as employee_years, sum(retire)::double / count(retire) as retire_rate "
             "from labelled where age >= 55 and service_year >= 10 group by all",
         ),
         "scan_payroll": on("facts"),

@@ -72,10 +72,11 @@ class PolicyConfig:
         ("MARITAL_STATUS", ("",), "Unknown"),
     )
 
-    # sums of pay are snapped to this many decimals, so that a result does not
-    # depend on the order in which tasks add up
+    # sums run in fixed point, so that a result does not depend on the order in
+    # which tasks add up: decimals of pay and hours, of their group means, of shares
     sum_decimals: int = 4
-    mean_decimals: int = 6
+    mean_decimals: int = 8
+    share_decimals: int = 15
 
     # model
     split_seed: int = 82

@@ -26,15 +26,39 @@ def strict_max(c: Column | str) -> Column:
     return F.when(_complete(c), F.max(c))
 
 
+LOW = 2**24
+
+
+def fixed_parts(c: Column | str, decimals: int = 4) -> tuple[Column, Column]:
+    """High and low part, as bigints, of a number in units of 10^-decimals."""
+    units = F.rint(_column(c) * F.lit(10.0**decimals))
+    high = F.floor(units / F.lit(float(LOW)))
+    return high, (units - high * F.lit(float(LOW))).cast("bigint")
+
+
+def from_parts(high: Column, low: Column, decimals: int = 4) -> Column:
+    units = high.cast("decimal(20,0)") * F.lit(LOW) + low
+    return units.cast("double") / F.lit(10.0**decimals)
+
+
+def exact_sum(c: Column | str, decimals: int = 4) -> Column:
+    """Sum in fixed point: equal for every order and grouping of the additions.
+
+    The two parts are summed apart, so that a group of many rows neither rounds
+    nor overflows, at the price of plain bigint additions.
+    """
+    high, low = fixed_parts(c, decimals)
+    return from_parts(F.sum(high), F.sum(low), decimals)
+
+
 def strict_sum(c: Column | str, decimals: int = 4) -> Column:
-    """Sum snapped to ``decimals``: equal for every order of addition."""
     c = _column(c)
-    return F.when(_complete(c), F.round(F.sum(c), decimals))
+    return F.when(_complete(c), exact_sum(c, decimals))
 
 
 def strict_avg(c: Column | str, decimals: int = 4) -> Column:
     c = _column(c)
-    return F.when(_complete(c), F.round(F.sum(c), decimals) / F.count(F.lit(1)))
+    return F.when(_complete(c), exact_sum(c, decimals) / F.count(F.lit(1)))
 
 
 def ieee_div(num: Column | str, den: Column | str) -> Column:

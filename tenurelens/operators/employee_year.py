@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tenurelens.config import PolicyConfig
 from tenurelens.functions.dates import birth_date, hire_date, next_year_start, parse_dmy, whole_years
-from tenurelens.functions.nullsafe import in_list, strict_max
+from tenurelens.functions.nullsafe import fixed_parts, in_list, strict_max
 from tenurelens.operators.joins import lookup_join, null_safe_join
 from tenurelens.sources.schema import PANEL_KEYS, SNAPSHOT
 from tenurelens.sources.workspace import Lookup, settle
@@ -64,7 +64,7 @@ def spells(checks: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
 
     Regular checks of a combination become one row with its last period; other
     checks keep their period in ``other_pp``. Each row carries the number of
-    checks and the sums from which the salary statistics follow. Since the keys
+    checks and the fixed-point sums from which the salary statistics follow. Since the keys
     hold every attribute, checks shrink before they are shuffled and no
     employee's checks gather in one task.
     """
@@ -77,7 +77,11 @@ def spells(checks: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
             F.max(period).alias("last_pp"),
             F.count(F.lit(1)).alias("checks"),
             *[F.count(c).alias(f"n_{c}") for c in MEASURES],
-            *[F.sum(c).alias(f"sum_{c}") for c in MEASURES],
+            *[
+                F.sum(part).alias(f"{name}_{c}")
+                for c in MEASURES
+                for name, part in zip(("high", "low"), fixed_parts(c, cfg.sum_decimals))
+            ],
         )
     )
 

@@ -105,7 +105,7 @@ class TargetMeans:
 
 
 def mean_of_groups(means: DataFrame, name: str, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
-    return means.agg(strict_avg(name, cfg.mean_decimals).alias(f"{name}_fallback"))
+    return means.agg(strict_avg(name, cfg.share_decimals).alias(f"{name}_fallback"))
 
 
 def hashed_columns(column: str) -> list[Column]:

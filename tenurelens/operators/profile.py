@@ -6,16 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tenurelens.functions.nullsafe import exact_sum
 
-def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per numeric column: rows, nulls, minimum, mean and maximum."""
+
+def profile(df: DataFrame, columns: Sequence[str], decimals: int = 4) -> DataFrame:
+    """One row per numeric column: rows, nulls, minimum, mean and maximum.
+
+    The sum behind the mean runs in fixed point, as in ``strict_avg``.
+    """
     wide = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[
             F.struct(
                 (F.count(F.lit(1)) - F.count(c)).alias("nulls"),
                 F.min(c).cast("double").alias("min"),
-                F.round(F.avg(F.col(c).cast("double")), 6).alias("mean"),
+                (exact_sum(F.col(c).cast("double"), decimals) / F.count(c)).alias("mean"),
                 F.max(c).cast("double").alias("max"),
             ).alias(c)
             for c in columns

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenurelens.config import PolicyConfig
-from tenurelens.functions.nullsafe import ieee_div, strict_avg, strict_sum
+from tenurelens.functions.nullsafe import fixed_parts, from_parts, ieee_div, strict_avg, strict_sum
 from tenurelens.operators.joins import lookup_join, null_safe_join
 from tenurelens.sources.schema import SALARY_KEYS, SALARY_STATS
 from tenurelens.sources.workspace import Lookup
@@ -47,18 +47,21 @@ def summary(checks: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
 
 def summary_of_spells(spelled: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
     """The same statistics from the sums the spells carry."""
+    n = cfg.sum_decimals
     checks = F.sum("checks")
 
     def total(c: str) -> Column:
-        return F.when(F.sum(f"n_{c}") == checks, F.round(F.sum(f"sum_{c}"), cfg.sum_decimals))
+        complete = F.sum(f"n_{c}") == checks
+        return F.when(complete, from_parts(F.sum(f"high_{c}"), F.sum(f"low_{c}"), n))
 
-    rate = F.round(F.sum(F.col("BIWEEKLY_RATE") * F.col("checks")), cfg.sum_decimals)
+    high, low = (F.sum(part * F.col("checks")) for part in fixed_parts("BIWEEKLY_RATE", n))
+    rated = F.count("BIWEEKLY_RATE") == F.count(F.lit(1))
     regular = F.col("other_pp").isNull() & (F.col("JOB_STATUS") == cfg.active_status)
     totals = (
         spelled.filter(regular)
         .groupBy(*SALARY_KEYS)
         .agg(
-            F.when(F.count("BIWEEKLY_RATE") == F.count(F.lit(1)), rate / checks).alias("RATE_PP"),
+            F.when(rated, from_parts(high, low, n) / checks).alias("RATE_PP"),
             (total("HW_TYPE_HOURS") / checks).alias("HW_HOURS_PP"),
             (total("OT_TYPE_HOURS") / checks).alias("OT_HOURS_PP"),
             total("HW_TYPE_PAY").alias("HW_TYPE_PAY"),

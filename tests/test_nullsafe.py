@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tenurelens.functions.nullsafe import ieee_div, in_list, strict_avg, strict_max, strict_sum, three_valued
+from tenurelens.functions.nullsafe import exact_sum, ieee_div, in_list, strict_avg, strict_max, strict_sum, three_valued
 
 
 @pytest.fixture
@@ -29,6 +29,14 @@ def test_sums_do_not_depend_on_the_order_of_addition(spark):
         assert df.agg(strict_sum("x")).first()[0] == 202469334.0
 
 
+def test_large_and_negative_sums_are_exact(spark):
+    df = spark.range(1_000_000).selectExpr("case when id % 2 = 0 then 98765432109.8765 else -0.0001 end as x")
+    assert df.agg(exact_sum("x")).first()[0] == (500_000 * 987654321098765 - 500_000) / 10_000
+    # far beyond what one bigint of ten-thousandths could hold
+    big = spark.range(1000).selectExpr("1e15 as x")
+    assert big.agg(exact_sum("x")).first()[0] == 1e18
+
+
 @pytest.mark.parametrize(
     "num, den, expected",
     [
