@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -150,32 +151,38 @@ def snapshot_panel(
     employee-years with two birth or hire dates go back to the checks.
     """
     panel = settle(one_pass_panel(spelled), "panel")
-    flags = ["one_state", "one_person"]
     clean = F.col("one_state") & F.col("one_person")
     disputed = settle(overruled(spelled, panel.filter(clean)), "disputed")
-    done = panel.filter(clean).drop(*flags)
+    done = panel.filter(clean)
     several = panel.filter("one_person and not one_state")
-    if not disputed.isEmpty():
-        several = several.unionByName(null_safe_join(panel.filter(clean), disputed, YEAR, "left_semi"))
+    twofold = panel.filter("not one_person")
+    disputes, severals, twofolds = _sizes(disputed, several, twofold)
+    if disputes:
+        several = several.unionByName(null_safe_join(done, disputed, YEAR, "left_semi"))
         done = null_safe_join(done, disputed, YEAR, "left_anti")
+    done = done.drop("one_state", "one_person")
+    if disputes + severals + twofolds == 0:
+        return SnapshotPanel(done)
+
     rows = several.select(*YEAR, *PERSON, "MAX_PP")
     at_last = _spelled_at_last(spelled, rows)
-
-    twofold = panel.filter("not one_person").select(*YEAR)
-    if not twofold.isEmpty():
-        theirs = null_safe_join(checks, twofold, YEAR, "left_semi")
+    if twofolds:
+        theirs = null_safe_join(checks, twofold.select(*YEAR), YEAR, "left_semi")
         again = settle(last_period(theirs, cfg), "twofold_panel")
         rows = rows.unionByName(again)
         at_last = at_last.unionByName(_checks_at_last(checks, again))
-    elif several.isEmpty():
-        return SnapshotPanel(done)
-
     at_last = settle(at_last, "open_periods")
     for columns in (SNAPSHOT, ["MOU"], ["JOB_CLASS"]):
         rows = attach_last_period(rows, at_last, columns, how="inner")
     return SnapshotPanel(done, rows, snapshot(at_last, ["BIWEEKLY_RATE"]))
 
 
+def _sizes(*frames: DataFrame) -> list[int]:
+    """Row counts of several frames over written tables, in one job."""
+    counts = [f.agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.lit(i)) for i, f in enumerate(frames)]
+    return [r["n"] for r in sorted(reduce(DataFrame.unionByName, counts).collect(), key=lambda r: r["i"])]
+
+
 def _spelled_at_last(spelled: DataFrame, rows: DataFrame) -> DataFrame:
     """Distinct attributes at ``MAX_PP``: regular spells ending there, others in it."""
     period = F.coalesce("other_pp", "last_pp")

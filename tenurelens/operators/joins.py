@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tenurelens.sources.workspace import Lookup
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 SALTS = 64
 
 Key = str | tuple[str, str]

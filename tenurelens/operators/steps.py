@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tenurelens.config import PolicyConfig
 from tenurelens.functions.nullsafe import in_list
 from tenurelens.operators.joins import lookup_join
-from tenurelens.sources.workspace import Lookup, settle_lookup
+from tenurelens.sources.workspace import Lookup
 
 
 STEP_KEYS = ["JOB", "JOB_CLASS_TITLE", "PAY_GRADE"]
@@ -37,10 +37,10 @@ def attach_steps(panel: DataFrame, steps: Lookup) -> DataFrame:
     return lookup_join(panel, steps, PANEL_STEP_KEYS)
 
 
-def repeated_jobs(steps: Lookup) -> Lookup:
+def repeated_jobs(steps: Lookup) -> DataFrame:
     """Keys for which the step table has more than one highest step."""
     twice = steps.frame.groupBy(*STEP_KEYS).count().filter("count > 1")
-    return settle_lookup(twice.select(*STEP_KEYS, F.lit(True).alias("repeated")), "repeated_jobs")
+    return twice.select(*STEP_KEYS, F.lit(True).alias("repeated"))
 
 
 def step_default(cfg: PolicyConfig = PolicyConfig()) -> Column:

@@ -54,11 +54,11 @@ def build_history(
 
 def _checked(calendar: DataFrame) -> Lookup:
     """The calendar, refused if it would count a check twice."""
-    known = settle_lookup(calendar, "calendar")
-    periods = known.frame.select("PAYROLL_SEQUENCE").distinct().count()
-    if periods < known.rows:
+    table = settle(calendar, "calendar")
+    rows, periods = table.agg(F.count(F.lit(1)), F.count_distinct("PAYROLL_SEQUENCE")).first()
+    if periods < rows:
         raise ValueError("the fiscal calendar holds a pay period more than once")
-    return known
+    return Lookup(table, rows)
 
 
 def _steps_apart(
@@ -69,9 +69,9 @@ def _steps_apart(
     The pension join multiplies them, so their rates move to the rate table.
     """
     repeated = steps.repeated_jobs(ladder)
-    if repeated.rows == 0:
+    if repeated.isEmpty():
         return rows, rates
-    marked = lookup_join(rows, repeated, steps.PANEL_STEP_KEYS)
+    marked = lookup_join(rows, settle_lookup(repeated, "repeated_jobs"), steps.PANEL_STEP_KEYS)
     split = F.col("single") & F.col("repeated").isNotNull()
     moved = marked.filter(split).select(
         "EMPLOYEE_ID", F.col("MAX_PP").alias("PAYROLL_SEQUENCE"), "BIWEEKLY_RATE"
