@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -410,11 +411,29 @@ def class_weight(spark: SparkSession, d: str) -> DataFrame:
     return labelled(spark, d).select(*ID, "retire", forest.class_weight(cfg=CFG).alias("weight"))
 
 
-def rf_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Confusion counts of the fitted forest on its training and test rows."""
+def rf_fit(forests: Sequence[forest.ForestParams]) -> Query:
+    """Confusion counts of each fitted forest on its training and test rows."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        frame = frames.train_frame(history(spark, d), CFG).frame
+        rows = modelling.model_rows(frame, "model_rows", CFG)
+        found = []
+        for params in forests:
+            said = modelling.fit_rows(rows, params, CFG).predictions()
+            counts = said.groupBy("is_train", F.col("label").cast("int").alias("label")).agg(
+                *[F.count(F.when(F.col("prediction") == p, 1)).alias(f"predicted_{p}") for p in (0, 1)]
+            )
+            found.append(counts.select(F.lit(params.depth).alias("depth"), F.lit(params.features).alias("max_features"), *counts.columns))
+        return reduce(DataFrame.unionByName, found)
+
+    return run
+
+
+def rf_predict_all(spark: SparkSession, d: str) -> DataFrame:
+    """Prediction of every training-frame row, test rows included."""
     trained = modelling.train(frames.train_frame(history(spark, d), CFG).frame, cfg=CFG)
-    said = trained.predictions().groupBy("is_train", F.col("label").cast("int").alias("label"))
-    return said.agg(*[F.count(F.when(F.col("prediction") == p, 1)).alias(f"predicted_{p}") for p in (0, 1)])
+    said = trained.predictions()
+    return said.select(*ID, "is_train", F.col("label").cast("int").alias("retire"), F.col("prediction").cast("int").alias("pred"))
 
 
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
@@ -570,7 +589,9 @@ def queries() -> dict[str, Query]:
         "hash_all": hash_all,
         "split_train_test": split_train_test,
         "class_weight": class_weight,
-        "rf_fit": rf_fit,
+        "rf_fit": rf_fit(forest.FINAL_FORESTS[-1:]),
+        "rf_fit_deep": rf_fit(forest.FINAL_FORESTS[:-1]),
+        "rf_predict_all": rf_predict_all,
         "feature_importance": feature_importance,
         "rf_score": rf_score,
         "agg_predicted_total": agg_predicted_total,

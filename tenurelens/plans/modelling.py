@@ -40,7 +40,16 @@ def train(
     cfg: PolicyConfig = PolicyConfig(),
     partitions: int | None = None,
 ) -> Trained:
-    rows = model_rows(frame, "model_rows", cfg)
+    return fit_rows(model_rows(frame, "model_rows", cfg), params, cfg, partitions)
+
+
+def fit_rows(
+    rows: DataFrame,
+    params: forest.ForestParams,
+    cfg: PolicyConfig = PolicyConfig(),
+    partitions: int | None = None,
+) -> Trained:
+    """Fit on the training part of assembled rows."""
     training = forest.stable_layout(rows.filter("is_train"), partitions).persist()
     try:
         return Trained(forest.fit(training, params, cfg), rows)

@@ -22,7 +22,7 @@ def duck():
 
 def test_only_the_model_has_no_sql():
     assert set(QUERIES) - set(SQL) == {
-        "rf_fit", "feature_importance", "rf_score", "agg_predicted_total", "grid_search", "grid_results",
+        "rf_fit", "rf_fit_deep", "rf_predict_all", "feature_importance", "rf_score", "agg_predicted_total", "grid_search", "grid_results",
     }
     assert not set(SQL) - set(QUERIES)
 
@@ -48,6 +48,14 @@ def test_score_is_one_row_per_person(spark):
     assert {r["pred"] for r in scored} <= {0, 1}
 
 
+def test_every_forest_counts_every_row(spark):
+    found = QUERIES["rf_fit_deep"](spark, SMALL).collect()
+    for features in ("8", "20"):
+        assert sum(r["predicted_0"] + r["predicted_1"] for r in found if r["max_features"] == features) == 198
+    everyone = QUERIES["rf_predict_all"](spark, SMALL)
+    assert everyone.count() == 198 and not everyone.filter("pred is null or retire is null").count()
+
+
 def test_grid_results_is_the_best_point(spark):
     assert len(QUERIES["grid_results"](spark, SMALL).collect()) == 1
 
