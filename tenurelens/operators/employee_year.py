@@ -205,14 +205,15 @@ def _only_at(states: DataFrame, rows: DataFrame) -> DataFrame:
 
 def with_ages(panel: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
     """Parse both dates, repair centuries, drop rows without a hire date."""
-    parsed = panel.withColumns(
+    parsed = panel.withColumns({c: parse_dmy(c) for c in PERSON})
+    repaired = parsed.filter(F.col("ORIGINAL_HIRE_DATE").isNotNull()).withColumns(
         {
-            "DATE_OF_BIRTH": birth_date(parse_dmy("DATE_OF_BIRTH"), cfg),
-            "ORIGINAL_HIRE_DATE": hire_date(parse_dmy("ORIGINAL_HIRE_DATE"), cfg),
+            "DATE_OF_BIRTH": birth_date("DATE_OF_BIRTH", cfg),
+            "ORIGINAL_HIRE_DATE": hire_date("ORIGINAL_HIRE_DATE", cfg),
             "next_fy_startdate": next_year_start("FISCAL_YEAR", cfg),
         }
     )
-    return parsed.filter(F.col("ORIGINAL_HIRE_DATE").isNotNull()).withColumns(
+    return repaired.withColumns(
         {
             "age": whole_years("next_fy_startdate", "DATE_OF_BIRTH", cfg),
             "service_year": whole_years("next_fy_startdate", "ORIGINAL_HIRE_DATE", cfg),
