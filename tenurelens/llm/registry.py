@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tenurelens.llm import mixing
+from tenurelens.llm import line_dedup, mixing
 
 QUERIES = {
+    "op5_line_dedup": line_dedup.query,
     "op10_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op5_line_dedup": line_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
