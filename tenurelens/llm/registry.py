@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tenurelens.llm import line_dedup, mixing
+from tenurelens.llm import line_dedup, mixing, packing, token_index
 
 QUERIES = {
+    "op3_packing": packing.query,
     "op5_line_dedup": line_dedup.query,
+    "op7_token_index": token_index.query,
     "op10_mixing": mixing.query,
 }
 
