@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tenurelens.llm import line_dedup, mixing, packing, token_index
+from tenurelens.llm import archives, line_dedup, mixing, packing, token_index
 
 QUERIES = {
     "op3_packing": packing.query,
+    "op4_archives": archives.query,
     "op5_line_dedup": line_dedup.query,
     "op7_token_index": token_index.query,
     "op10_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op4_archives": archives.ORACLE,
+    "op4_archives": archives.query,
     "op5_line_dedup": line_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

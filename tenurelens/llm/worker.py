@@ -38,7 +38,7 @@ class Committed:
         self.system, base = file_system(folder)
         self.system.create_dir(base, recursive=True)
         self.path, self.part = f"{base}/{name}", f"{base}/.{name}.{attempt}"
-        self.out = self.system.open_output_stream(self.part)
+        self.out = self.system.open_output_stream(self.part, compression=None)
         self.at = 0
 
     def write(self, data: bytes) -> None:
