@@ -14,7 +14,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_archives": archives.ORACLE,
-    "op4_archives": archives.query,
     "op5_line_dedup": line_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
