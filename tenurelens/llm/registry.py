@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tenurelens.llm import archives, line_dedup, mixing, packing, token_index
+from tenurelens.llm import archives, language_id, line_dedup, mixing, packing, token_index
 
 QUERIES = {
+    "op2_language_id": language_id.query,
     "op3_packing": packing.query,
     "op4_archives": archives.query,
     "op5_line_dedup": line_dedup.query,
