@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenurelens.llm import archives, language_id, line_dedup, mixing, packing, token_index
+from tenurelens.llm import archives, language_id, line_dedup, mixing, neighbours, packing, token_index, vector_dedup
 
 QUERIES = {
     "op2_language_id": language_id.query,
@@ -10,11 +10,14 @@ QUERIES = {
     "op4_archives": archives.query,
     "op5_line_dedup": line_dedup.query,
     "op7_token_index": token_index.query,
+    "op8_neighbours": neighbours.query,
+    "op9_vector_dedup": vector_dedup.query,
     "op10_mixing": mixing.query,
 }
 
 ORACLES = {
     "op4_archives": archives.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
+    "op9_vector_dedup": vector_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
