@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tenurelens.llm import archives, language_id, line_dedup, mixing, neighbours, packing, token_index, vector_dedup
+from tenurelens.llm import archives, language_id, license_scan, line_dedup, mixing, neighbours, ngram_join, packing, token_index, vector_dedup
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.query,
     "op2_language_id": language_id.query,
     "op3_packing": packing.query,
     "op4_archives": archives.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_license_scan": license_scan.query,
     "op7_token_index": token_index.query,
     "op8_neighbours": neighbours.query,
     "op9_vector_dedup": vector_dedup.query,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op4_archives": archives.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op9_vector_dedup": vector_dedup.ORACLE,

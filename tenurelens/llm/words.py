@@ -8,14 +8,18 @@ code runs per word.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, _MASK, 256, dtype=np.uint64)
@@ -43,12 +47,24 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and per text the index where its words begin (one more at the end)."""
-    joined = b"\n".join(texts) + b"\n"
-    raw = _LOWER[np.frombuffer(joined, dtype=np.uint8)]
-    lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    ends = np.cumsum(lengths)
+@dataclass
+class Words:
+    """All words of a batch of texts: hashes, place in ``raw``, and per text the index of its first word, one more at the end."""
+
+    raw: np.ndarray
+    hashes: np.ndarray
+    begins: np.ndarray
+    stops: np.ndarray
+    first: np.ndarray
+    #: Where each text begins in ``raw``; behind each text is a line feed.
+    texts: np.ndarray
+
+
+def words_of(texts: list[bytes], table: np.ndarray | None = LOWER) -> Words:
+    """``table`` maps bytes before words are sought; None leaves them."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    raw = raw if table is None else table[raw]
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
     blank = _BLANK[raw]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if not blank[0]:
@@ -57,8 +73,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _power_tables(len(raw) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[raw] * up[: len(raw)])])
     hashes = mix((sums[stops] - sums[begins]) * down[begins])
-    first = np.searchsorted(begins, np.concatenate([[0], ends]))
-    return hashes, first
+    starts = np.concatenate([[0], ends])
+    return Words(raw, hashes, begins, stops, np.searchsorted(begins, starts), starts[:-1])
 
 
 def shingle_runs(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +82,8 @@ def shingle_runs(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
 
     A text with fewer words is one shingle, its whole sequence; one without words has none.
     """
-    words, first = word_hashes(texts)
+    found = words_of(texts)
+    words, first = found.hashes, found.first
     n = np.diff(first)
     runs = np.full(max(len(words) - size + 1, 0), size, dtype=np.uint64)
     for k in range(size):
@@ -99,3 +116,12 @@ def blocks(items: list, weight, most: int):
         total += w
     if out:
         yield out
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int):
+    """Consecutive slices of a batch whose texts in ``column`` add up to about ``most`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    for part in blocks(sizes.tolist(), lambda n: n + 1, most):
+        yield batch.slice(at, len(part))
+        at += len(part)
