@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tenurelens.llm.words import blocks
 
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     return train(np.stack(x), np.array(y), languages, s)
 
 
-def _predict(network: Network | None, size: int):
+def _predict(network: Network | None, size: int, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.tables() if network else []
         for batch in batches:
@@ -198,19 +198,21 @@ def _predict(network: Network | None, size: int):
                     best = int(row.argmax())
                     lang[i], score[i] = network.languages[best], min(1.0, float(row[best]))
             columns = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang), pa.array(score)], [*batch.schema.names, *names])
 
     return run
 
 
-def predict(docs: DataFrame, network: Network | None, settings: Settings = Settings()) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (0 to 1) to ``docs``, whose column ``text`` is read whole.
+def predict(
+    docs: DataFrame, network: Network | None, settings: Settings = Settings(), names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Adds the language and its score (0 to 1) under ``names`` to ``docs``, whose column ``text`` is read whole.
 
     ``und`` with score 0 is for NULL texts, texts without a letter, and all texts if
     there is no network.
     """
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_predict(network, settings.window), f"{names}, lang_pred string, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.mapInArrow(_predict(network, settings.window, names), schema)
 
 
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

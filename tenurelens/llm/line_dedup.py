@@ -137,9 +137,15 @@ def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int) -> Data
     ).distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    min_words: int = MIN_WORDS,
+    names: tuple[str, str] = ("lines_total", "lines_deleted"),
+) -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from ``text``, and two columns more:
-    ``lines_total`` and ``lines_deleted``, counted in lines that hold words.
+    all lines and deleted lines under ``names``, counted in lines that hold words.
 
     Every row stays, also one that loses all lines. Lines are compared without white space
     at their ends; blank lines go with the line before them. NULL and empty texts have no
@@ -157,8 +163,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     columns = [F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(c) for c in docs.columns]
     return out.select(
         *columns,
-        F.when(F.col(text).isNull(), 0).otherwise(total).alias("lines_total"),
-        F.coalesce(F.size("__gone"), F.lit(0)).alias("lines_deleted"),
+        F.when(F.col(text).isNull(), 0).otherwise(total).alias(names[0]),
+        F.coalesce(F.size("__gone"), F.lit(0)).alias(names[1]),
     )
 
 
