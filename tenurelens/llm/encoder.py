@@ -1,8 +1,9 @@
-"""Token ids of whole texts by a public tokenizer file, with each distinct word encoded once per batch.
+"""Token ids of whole texts by a public tokenizer file, with each distinct word encoded once while it is remembered.
 
-Both kinds of file known here never merge across white space, so a text's ids are
-those of its white-space-delimited pieces in order. Any other file, and a text with rare
-white space, is encoded in one go; the ids are the same either way.
+Both kinds of file known here never merge across a lone blank or line feed between words, so
+a text's ids are those of its pieces in order. Words are told apart by 64-bit hashes in
+numpy; only words not yet known go to the tokenizer. A text with other white space, where
+it matters, and any other kind of file is encoded in one go; the ids are the same either way.
 """
 
 from __future__ import annotations
@@ -14,15 +15,45 @@ from itertools import chain
 
 import numpy as np
 
+from tenurelens.llm.words import mix, words_of
 from tenurelens.llm.worker import kept
 
-#: Entries of a worker's cache; it is emptied when full, so its memory is bounded.
-CACHE_WORDS = 600_000
-#: Longer pieces are encoded but not kept.
-CACHE_CHARS = 40
+#: Words that a worker remembers; when full, the half met least often is forgotten.
+CACHE_WORDS = 1_000_000
 
-_RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_ATTACHED = re.compile("[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
+_RARE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BEFORE = (" ", "\n", "")
+
+
+class _Known:
+    """Ids of words by the words' keys, sorted."""
+
+    def __init__(self):
+        self.keys, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        start = len(self.pool) + np.cumsum(length) - length
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(length.sum()))])
+        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
+        self.keys = np.concatenate([self.keys, keys])[order]
+        self.met = np.concatenate([self.met, np.zeros(len(keys), np.int64)])[order]
+        self.start, self.length = np.concatenate([self.start, start])[order], np.concatenate([self.length, length])[order]
+
+    def forget(self) -> None:
+        """Keeps the half met most often, and half of the counts."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: len(self.keys) // 2])
+        start, length = self.start[keep], self.length[keep]
+        self.pool = self.pool[_spans(start, length)]
+        self.keys, self.met, self.length = self.keys[keep], self.met[keep] // 2, length
+        self.start = np.cumsum(length) - length
+
+
+def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of the spans given, one behind the other."""
+    before = np.cumsum(length) - length
+    return np.repeat(start - before, length) + np.arange(length.sum())
 
 
 class Encoder:
@@ -37,35 +68,70 @@ class Encoder:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
         plain = not spec["normalizer"] and before.get("type") == "ByteLevel"
-        if plain and before.get("use_regex") and not before.get("add_prefix_space"):
-            self.pieces = _ATTACHED.findall
-        elif (spec["model"].get("end_of_word_suffix") or "") == "</w>" and spec["normalizer"]:
-            self.pieces = str.split
-        else:
-            self.pieces = None
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: A blank belongs to the word behind it.
+        self.attached = bool(plain and before.get("use_regex") and not before.get("add_prefix_space"))
+        #: White space is dropped.
+        self.dropped = (spec["model"].get("end_of_word_suffix") or "") == "</w>" and bool(spec["normalizer"])
+        self.known = _Known()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _whole(self, texts: list[str], raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which texts have white space that must be seen as a whole."""
+        if not (self.attached or self.dropped):
+            return np.ones(len(texts), dtype=bool)
+        odd = np.zeros(len(texts), dtype=bool)
+        if self.attached:
+            blank = (raw == 32) | (raw == 10)
+            pair = np.flatnonzero(blank[1:] & blank[:-1])
+            control = np.flatnonzero((raw >= 9) & (raw <= 13) & (raw != 10))
+            at = np.concatenate([pair, pair + 1, control])
+            text = np.searchsorted(starts, at, "right") - 1
+            # the line feed behind a text isn't part of it
+            ends = np.concatenate([starts[1:], [len(raw)]]) - 1
+            odd[text[at < ends[text]]] = True
+            odd |= np.fromiter((not t.isascii() and _RARE_SPACE.search(t) is not None for t in texts), dtype=bool, count=len(texts))
+        return odd
+
     def __call__(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
         """uint32 ids of each text, with ``end`` appended."""
-        tail = [] if end is None else [end]
-        if self.pieces is None:
-            return [np.array(ids + tail, dtype=np.uint32) for ids in self._encode(texts)]
-        split = [None if _RARE_SPACE.search(t) else self.pieces(t) for t in texts]
+        tail = np.array([] if end is None else [end], dtype=np.uint32)
+        if not texts:
+            return []
+        w = words_of([t.encode("utf-8") for t in texts], table=None)
+        odd = self._whole(texts, w.raw, w.texts)
+        count = np.diff(w.first)
+        use = np.repeat(~odd, count)
+        keys, begins, stops = w.hashes[use], w.begins[use], w.stops[use]
+        if self.attached:
+            state = np.where(w.raw[begins - 1] == 32, 0, 1)
+            state[np.isin(begins, w.texts)] = 2
+            keys = mix(keys + state.astype(np.uint64), 9)
+        else:
+            state = np.full(len(keys), 2)
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list(set(chain.from_iterable(p for p in split if p)).difference(known))
-        known.update(zip(new, map(tuple, self._encode(new)), strict=True))
+        at = np.searchsorted(known.keys, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        inside = at < len(known.keys)
+        new[inside] = known.keys[at[inside]] != distinct[inside]
+        if new.any():
+            data, some = w.raw.tobytes(), first[new]
+            words = [_BEFORE[s] + data[a:b].decode("utf-8") for s, a, b in zip(state[some].tolist(), begins[some].tolist(), stops[some].tolist(), strict=True)]
+            known.add(distinct[new], self._encode(words))
+            at = np.searchsorted(known.keys, distinct)
+        known.met[at] += 1
+        start, length = known.start[at][inverse], known.length[at][inverse]
+        ids = known.pool[_spans(start, length)]
+        count[odd] = 0
+        word = np.concatenate([[0], np.cumsum(count)])
+        cuts = np.concatenate([[0], np.cumsum(length)])[word]
         out = []
-        for text, pieces in zip(texts, split, strict=True):
-            ids = self._encode([text])[0] if pieces is None else list(chain.from_iterable(map(known.__getitem__, pieces)))
-            out.append(np.array(ids + tail, dtype=np.uint32))
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del known[w]
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            out.append(np.concatenate([np.array(self._encode([texts[i]])[0], dtype=np.uint32) if odd[i] else ids[a:b], tail]))
+        if len(known.keys) > CACHE_WORDS:
+            known.forget()
         return out
 
 

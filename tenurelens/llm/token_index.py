@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tenurelens.llm.encoder import encoder
-from tenurelens.llm.words import blocks, mix
+from tenurelens.llm.words import blocks, mix, slices
 from tenurelens.llm.worker import Committed, read_range
 from tenurelens.sources.workspace import scratch_path, settle
 
@@ -27,7 +27,7 @@ END_ID = 2
 MAGIC = b"TIDX0001"
 #: Bits of a level for each key that reaches it.
 SPREAD = 2.0
-BATCH_CHARS = 2_000_000
+BATCH_BYTES = 3_000_000
 _FINGERPRINT = 1000
 
 
@@ -126,10 +126,10 @@ def _write(folder: str, tokenizer: str, end: int):
         name, attempt = f"shard-{task.partitionId():06d}", task.taskAttemptId()
         payload, keys, counts = None, [], []
         for batch in batches:
-            rows = list(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True))
-            for part in blocks(rows, lambda r: len(r[1] or "") + 1, BATCH_CHARS):
+            for some in slices(batch, "text", BATCH_BYTES):
                 payload = payload or Committed(folder, f"{name}.ids", attempt)
-                for (k, _), ids in zip(part, encode([t or "" for _, t in part], end), strict=True):
+                texts = [t or "" for t in some["text"].to_pylist()]
+                for k, ids in zip(some["doc_id"].to_pylist(), encode(texts, end), strict=True):
                     payload.write(ids.astype(f"<u{width}").tobytes())
                     keys.append(k)
                     counts.append(len(ids))
