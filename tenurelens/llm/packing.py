@@ -4,8 +4,8 @@ Pieces are dealt to partitions and packed there by best-fit decreasing. Dual-fea
 functions give a lower bound of every partition's number of sequences, and of all
 pieces together. A partition above its bound is packed once more, with best fits of up to
 three pieces at a time. While more sequences are in use than that bound, the pieces of the
-sequences with room left are exchanged between partitions: dealt anew by another
-hash, and packed again. A round that saves nothing ends it.
+emptier sequences are exchanged between partitions: dealt anew by another hash, and packed
+again. A round that saves nothing ends it.
 """
 
 from __future__ import annotations
@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tenurelens.llm.encoder import encoder
-from tenurelens.llm.words import blocks
+from tenurelens.llm.words import slices
 from tenurelens.sources.workspace import settle
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces that meet in one task.
 PARTITION_PIECES = 32_768
-#: Texts encoded at once, in characters.
-BATCH_CHARS = 2_000_000
+#: Texts encoded at once, in bytes.
+BATCH_BYTES = 3_000_000
 _ROUND = 1 << 56
 _PART = 1 << 24
 
@@ -200,9 +200,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
     done, used, turn = [], _bins(packed), 1
     total = used
     while total > bound:
-        # a partition at its own bound is done, but for the room in its last sequences
-        room = F.col("fill") < capacity
-        open_ = packed.where(room)
+        # a sequence with more room than those with room have on average gives its pieces up
+        mean = packed.where((F.col("offset") == 0) & (F.col("fill") < capacity)).agg(F.avg("fill")).first()[0]
+        room = F.col("fill") <= (capacity if mean is None else mean)
+        open_ = packed.where(room & (F.col("fill") < capacity))
         moved, before = open_.count(), _bins(open_)
         if not moved:
             break
@@ -222,10 +223,10 @@ def _pieces(tokenizer: str, end: int, capacity: int):
     def run(batches):
         encode = encoder(tokenizer)
         for batch in batches:
-            ids_of = zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
-            for rows in blocks([(d, t or "") for d, t in ids_of], lambda r: len(r[1]) + 1, BATCH_CHARS):
+            for some in slices(batch, "text", BATCH_BYTES):
                 doc, piece, start, length, data = [], [], [], [], []
-                for (d, _), ids in zip(rows, encode([t for _, t in rows], end), strict=True):
+                texts = [t or "" for t in some["text"].to_pylist()]
+                for d, ids in zip(some["doc_id"].to_pylist(), encode(texts, end), strict=True):
                     first = len(ids) % capacity or capacity
                     cuts = [0, *range(first, len(ids) + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
