@@ -11,16 +11,15 @@ import re
 DAY = "strptime({0}, '%d-%b-%y')"
 
 
-def exact_sum(c: str, n: int) -> str:
-    return f"sum(cast(round_even({c} * 1e{n}, 0) as bigint))::double / 1e{n}"
+OUTPUT_DECIMALS = 8
 
 
-def strict_sum(c: str, n: int) -> str:
-    return f"case when count({c}) = count(*) then {exact_sum(c, n)} end"
+def strict_sum(c: str) -> str:
+    return f"case when count({c}) = count(*) then fsum({c}) end"
 
 
-def strict_avg(c: str, n: int) -> str:
-    return f"case when count({c}) = count(*) then {exact_sum(c, n)} / count(*) end"
+def strict_avg(c: str) -> str:
+    return f"case when count({c}) = count(*) then fsum({c}) / count(*) end"
 
 
 def ieee_div(a: str, b: str) -> str:
@@ -58,6 +57,7 @@ MEANS = {
     "jclass_persent": ["FMS_DEPARTMENT_TITLE", "JOB_CLASS_TITLE"],
     "CSTEP_persent": ["HIGHEST_STEP", "SALARY_STEP"],
 }
+# Unit codes, retirement factors and pay-step ceilings, as in the rules checked.
 SUPERVISORS = "12, 13, 16, 17, 19, 20, 22, 25, 32, 36, 39, 63"
 PEER_KEYS = "FISCAL_YEAR, FMS_DEPARTMENT_TITLE, JOB_CLASS_TITLE"
 
@@ -165,7 +165,7 @@ def with_means(source: str, fitted: str, names: list[str] | None = None) -> str:
 
 def job_fallback(fitted: str) -> str:
     return (
-        f"(select {strict_avg('v', 15)} from (select sum(retire)::double / count(retire) as v from {fitted} "
+        f"(select {strict_avg('v')} from (select sum(retire)::double / count(retire) as v from {fitted} "
         "group by FMS_DEPARTMENT_TITLE, JOB_CLASS_TITLE))"
     )
 
@@ -218,16 +218,16 @@ CTES = {
     select *, {ieee_div('OT_TYPE_PAY', '(OT_TYPE_PAY + HW_TYPE_PAY)')} as OT_TYPE_PAY_PERSENT,
       RATE_PP + {ieee_div('(RATE_PP * OT_TYPE_PAY)', 'HW_TYPE_PAY')} as RATE_PP_ESTIMATE
     from (select EMPLOYEE_ID, FISCAL_YEAR, JOB_CLASS_TITLE, SALARY_STEP,
-        {strict_avg('BIWEEKLY_RATE', 4)} as RATE_PP, {strict_avg('HW_TYPE_HOURS', 4)} as HW_HOURS_PP,
-        {strict_avg('OT_TYPE_HOURS', 4)} as OT_HOURS_PP, {strict_sum('c.HW_TYPE_PAY', 4)} as HW_TYPE_PAY,
-        {strict_sum('c.OT_TYPE_PAY', 4)} as OT_TYPE_PAY
+        {strict_avg('BIWEEKLY_RATE')} as RATE_PP, {strict_avg('HW_TYPE_HOURS')} as HW_HOURS_PP,
+        {strict_avg('OT_TYPE_HOURS')} as OT_HOURS_PP, {strict_sum('c.HW_TYPE_PAY')} as HW_TYPE_PAY,
+        {strict_sum('c.OT_TYPE_PAY')} as OT_TYPE_PAY
       from checks c where JOB_STATUS = 'Active' and CHECK_TYPE = 'Regular'
       group by EMPLOYEE_ID, FISCAL_YEAR, JOB_CLASS_TITLE, SALARY_STEP)""",
     "fallback": f"""
     select *, {ieee_div('OT_TYPE_PAY2', '(OT_TYPE_PAY2 + HW_TYPE_PAY2)')} as OT_TYPE_PAY_PERSENT2,
       RATE_PP2 + {ieee_div('(RATE_PP2 * OT_TYPE_PAY2)', 'HW_TYPE_PAY2')} as RATE_PP_ESTIMATE2
     from (select JOB_CLASS_TITLE, SALARY_STEP,
-        {', '.join(f"{strict_avg(c, 8)} as {c}2" for c in ['RATE_PP', 'HW_HOURS_PP', 'OT_HOURS_PP', 'HW_TYPE_PAY', 'OT_TYPE_PAY'])}
+        {', '.join(f"{strict_avg(c)} as {c}2" for c in ['RATE_PP', 'HW_HOURS_PP', 'OT_HOURS_PP', 'HW_TYPE_PAY', 'OT_TYPE_PAY'])}
       from salaries group by JOB_CLASS_TITLE, SALARY_STEP)""",
     "stepless": f"""
     select l.*, {', '.join('s.' + c for c in STATS)}, m.MOU,
@@ -285,7 +285,7 @@ CTES = {
 }
 
 
-def upto(last: str, select: str, fan_out: bool = False) -> str:
+def _upto(last: str, select: str, fan_out: bool = False) -> str:
     """``select`` over the relations up to ``last`` that it needs."""
     ctes = dict(CTES)
     if fan_out:
@@ -301,15 +301,48 @@ def upto(last: str, select: str, fan_out: bool = False) -> str:
     return f"with {head}\n{select}"
 
 
-def on(last: str, columns: str = "*", where: str = "") -> str:
-    return upto(last, f"select {columns} from {last} {where}")
+STATS2 = [f"{c}2" for c in STATS]
+# columns that come from sums of doubles, by query
+ROUNDED = {
+    "agg_salary_summary": [*STATS, "HW_TYPE_PAY", "OT_TYPE_PAY"],
+    "agg_mean_of_means": [*STATS2, "HW_TYPE_PAY2", "OT_TYPE_PAY2"],
+    "drop_scratch": STATS,
+    "ratio_overtime": ["OT_TYPE_PAY_PERSENT"],
+    "rate_estimate": ["RATE_PP_ESTIMATE"],
+    "roll_rate": ["RATE_PP", "RATE_PP_ESTIMATE"],
+    "join_salary_summary": STATS,
+    "join_fallback_salary": STATS2,
+    "impute_train": STATS,
+    "impute_score": STATS,
+    "profile_nulls": ["mean"],
+    "target_mean_fallback": ["jclass_persent_fallback"],
+    "score_unseen": ["jclass_persent"],
+    "train_frame": [*STATS, "jclass_persent"],
+    "score_frame": [*STATS, "jclass_persent"],
+}
+FAN_OUT_TWINS = [
+    "train_frame",
+    "score_frame",
+    "join_salary_summary",
+    "join_step_dim",
+    "peer_share",
+    "target_means_all",
+    "impute_train",
+    "union_score_frame",
+]
+ROUNDED |= {f"{name}_fanout": ROUNDED[name] for name in FAN_OUT_TWINS if name in ROUNDED}
+
+
+def rounded(sql: str, columns: list[str]) -> str:
+    out = ", ".join(f"round({c}, {OUTPUT_DECIMALS}) as {c}" for c in columns)
+    return f"select * replace ({out}) from ({sql})"
 
 
 ID = "EMPLOYEE_ID, FISCAL_YEAR"
 
 
 def attached(columns: str, fan_out: bool = False) -> str:
-    return upto(
+    return _upto(
         "checks",
         f"select {ID}, MAX_PP, {columns} from last_pp join {at_last(columns)} s "
         "on EMPLOYEE_ID = id_ and MAX_PP = seq_",
@@ -349,32 +382,32 @@ def hashed(columns: list[str]) -> str:
     parts = [(c, *hash_counts(c, *HASHED[c])) for c in columns]
     joins = " ".join(f"left join {lk} h{i} on cast(p.{c} as varchar) = h{i}.v" for i, (c, lk, _) in enumerate(parts))
     out = ", ".join(cols for _, _, cols in parts)
-    return upto("panel", f"select {ID}, {out} from panel p {joins}")
+    return _upto("panel", f"select {ID}, {out} from panel p {joins}")
 
 
 def target_mean(name: str) -> str:
     keys = ", ".join(MEANS[name])
-    return upto("eligible", f"select {keys}, sum(retire)::double / count(retire) as {name} from eligible group by {keys}")
+    return _upto("eligible", f"select {keys}, sum(retire)::double / count(retire) as {name} from eligible group by {keys}")
 
 
-def all_means() -> str:
+def all_means(fan_out: bool = False) -> str:
     columns = list(dict.fromkeys(k for keys in MEANS.values() for k in keys))
     kinds = {"HIGHEST_STEP": "int", "SALARY_STEP": "int", "MOU": "int"}
     parts = []
     for name, keys in MEANS.items():
         out = ", ".join(c if c in keys else f"cast(null as {kinds.get(c, 'varchar')}) as {c}" for c in columns)
         parts.append(f"select '{name}' as mean_name, {out}, sum(retire)::double / count(retire) as target_mean from eligible group by {', '.join(keys)}")
-    return upto("eligible", " union all ".join(parts))
+    return _upto("eligible", " union all ".join(parts), fan_out)
 
 
 def profile() -> str:
     numbers = ["EMPLOYEE_ID", "PAYROLL_SEQUENCE", "SALARY_STEP", "JOB_CLASS", "MOU", "BIWEEKLY_RATE"]
     numbers += ["HW_TYPE_HOURS", "OT_TYPE_HOURS", "HW_TYPE_PAY", "OT_TYPE_PAY"]
-    return upto(
+    return _upto(
         "facts",
         " union all ".join(
             f"select '{c}' as column_name, count(*) as row_count, count(*) - count({c}) as nulls, "
-            f"min({c})::double as min, {exact_sum(c + '::double', 4)} / count({c}) as mean, max({c})::double as max from facts"
+            f"min({c})::double as min, fsum({c}::double) / count({c}) as mean, max({c})::double as max from facts"
             for c in numbers
         ),
     )
@@ -388,7 +421,13 @@ FULL = {
 }
 
 
-def oracle_sql() -> dict[str, str]:
+def _plain(fan_out: bool) -> dict[str, str]:
+    def upto(last: str, select: str, fan_out: bool = fan_out) -> str:
+        return _upto(last, select, fan_out)
+
+    def on(last: str, columns: str = "*", where: str = "") -> str:
+        return upto(last, f"select {columns} from {last} {where}")
+
     one_key = [n for n, k in MEANS.items() if len(k) == 1]
     two_keys = [n for n, k in MEANS.items() if len(k) == 2]
     stats = ", ".join(STATS)
@@ -485,7 +524,7 @@ def oracle_sql() -> dict[str, str]:
         "target_mean_step": target_mean("CSTEP_persent"),
         **{f"target_mean_{MEANS[n][0].lower()}": target_mean(n) for n in one_key},
         "target_mean_fallback": upto("eligible", f"select {job_fallback('eligible')} as jclass_persent_fallback"),
-        "target_means_all": all_means(),
+        "target_means_all": all_means(fan_out),
         "distinct_snapshot": upto(
             "facts", f"select distinct EMPLOYEE_ID, PAYROLL_SEQUENCE, {SNAPSHOT} from facts"
         ),
@@ -576,7 +615,12 @@ def oracle_sql() -> dict[str, str]:
             "labelled", f"{ID}, retire, case retire when 1 then 5 else 1 end::double as weight"
         ),
     }
-    for name, fan_out in (("", False), ("_fanout", True)):
-        sql["train_frame" + name] = upto("train_base", with_means("train_base", "train_base"), fan_out)
-        sql["score_frame" + name] = upto("score_base", seen("score_base", "train_base"), fan_out)
+    sql["train_frame"] = upto("train_base", with_means("train_base", "train_base"))
+    sql["score_frame"] = upto("score_base", seen("score_base", "train_base"))
     return sql
+
+
+def oracle_sql() -> dict[str, str]:
+    sql, several = _plain(False), _plain(True)
+    sql |= {f"{name}_fanout": several[name] for name in FAN_OUT_TWINS}
+    return {name: rounded(q, ROUNDED[name]) if name in ROUNDED else q for name, q in sql.items()}

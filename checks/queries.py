@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from checks import trade_payroll as trade
+from checks.oracle import FAN_OUT_TWINS, OUTPUT_DECIMALS, ROUNDED
 from tenurelens.config import PolicyConfig
 from tenurelens.functions import dates
 from tenurelens.functions.nullsafe import in_list
@@ -15,30 +18,49 @@ from tenurelens.operators import eligibility as el, employee_year as ey, encode,
 from tenurelens.operators import salary, score_frame as sf, steps
 from tenurelens.operators.profile import profile
 from tenurelens.plans import frames, modelling
-from tenurelens.plans.history import History, build_history
-from tenurelens.sources import io, schema, trade_payroll as trade
+from tenurelens.plans.history import History, build_history, panel_rows
+from tenurelens.sources import io, schema
 from tenurelens.sources.workspace import Lookup, scratch_path, settle, settle_lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 CFG = replace(PolicyConfig(), last_fiscal_year=trade.LAST_FISCAL_YEAR)
 ID = ["EMPLOYEE_ID", "FISCAL_YEAR"]
-SMALL_FOREST = forest.ForestParams(trees=10, depth=3)
+# whether the payroll of the running query has several titles and rates per period
+_FAN_OUT: ContextVar[bool] = ContextVar("fan_out", default=False)
 
 
 # -- shared inputs ------------------------------------------------------------
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    return trade.payroll(spark, d)
+    return trade.payroll(spark, d, _FAN_OUT.get())
+
+
+def fanned(query: Query) -> Query:
+    """The same query over the payroll with several titles and rates per period."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        token = _FAN_OUT.set(True)
+        try:
+            return query(spark, d)
+        finally:
+            _FAN_OUT.reset(token)
+
+    return run
+
+
+def rounded(query: Query, columns: Sequence[str]) -> Query:
+    """Sums of doubles differ in their last bits between engines, so both sides round what they return."""
+    return lambda spark, d: query(spark, d).withColumns({c: F.round(c, OUTPUT_DECIMALS) for c in columns})
 
 
 def calendar(spark: SparkSession, d: str) -> Lookup:
     return settle_lookup(trade.fiscal_calendar(spark, d), "calendar")
 
 
-def checks(spark: SparkSession, d: str, fan_out: bool = False) -> DataFrame:
-    return ey.with_fiscal_year(trade.payroll(spark, d, fan_out), calendar(spark, d))
+def checks(spark: SparkSession, d: str) -> DataFrame:
+    return ey.with_fiscal_year(facts(spark, d), calendar(spark, d))
 
 
 def ladder(spark: SparkSession, d: str) -> Lookup:
@@ -50,9 +72,10 @@ def aged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled panel with the last-period attributes, one aggregation."""
-    rows = ey.one_pass_panel(ey.spells(checks(spark, d), CFG)).drop("one_state", "one_person")
-    return ey.with_label(ey.with_ages(rows, CFG), CFG)
+    """Labelled panel with the last-period attributes, as the history builds it."""
+    rows = checks(spark, d)
+    panel, _ = panel_rows(rows, settle(ey.spells(rows, CFG), "spells"), CFG)
+    return ey.with_label(ey.with_ages(panel, CFG), CFG).drop("single")
 
 
 def stepped(spark: SparkSession, d: str) -> DataFrame:
@@ -81,10 +104,8 @@ def fallback(spark: SparkSession, d: str) -> Lookup:
     return settle_lookup(salary.fallback(salaries(spark, d), CFG), "fallback")
 
 
-def history(spark: SparkSession, d: str, fan_out: bool = False) -> History:
-    return build_history(
-        trade.payroll(spark, d, fan_out), trade.fiscal_calendar(spark, d), trade.job_steps(spark, d), CFG
-    )
+def history(spark: SparkSession, d: str) -> History:
+    return build_history(facts(spark, d), trade.fiscal_calendar(spark, d), trade.job_steps(spark, d), CFG)
 
 
 def both_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +176,7 @@ def attached(columns: Sequence[str]) -> Query:
 
 
 def join_last_period_fanout(spark: SparkSession, d: str) -> DataFrame:
-    rows = checks(spark, d, fan_out=True)
+    rows = checks(spark, d)
     joined = ey.attach_last_period(ey.last_period(rows, CFG), rows, ["JOB_CLASS_TITLE"])
     return joined.select(*ID, "MAX_PP", "JOB_CLASS_TITLE")
 
@@ -342,7 +363,8 @@ def retirement_factor(spark: SparkSession, d: str) -> DataFrame:
 
 def pension_estimate(spark: SparkSession, d: str) -> DataFrame:
     """This year's estimate, and the one with the rate grown by a year."""
-    rows = labelled(spark, d).withColumn("retirement_factor", el.retirement_factor(CFG))
+    rows = labelled(spark, d).drop("BIWEEKLY_RATE").withColumn("retirement_factor", el.retirement_factor(CFG))
+    rows = ey.attach_last_period(rows, facts(spark, d), ["BIWEEKLY_RATE"], how="inner")
     rate = F.col("BIWEEKLY_RATE")
     return rows.select(
         *ID,
@@ -358,9 +380,7 @@ def paid_with_fallback(spark: SparkSession, d: str) -> tuple[DataFrame, Lookup]:
 
 
 def impute_train(spark: SparkSession, d: str) -> DataFrame:
-    panel, means = paid_with_fallback(spark, d)
-    rows = salary.attach_fallback(panel.filter(el.is_eligible(CFG)), means)
-    return salary.impute_train(rows).select(*ID, *schema.SALARY_STATS)
+    return frames.train_base(history(spark, d), CFG).select(*ID, *schema.SALARY_STATS)
 
 
 def impute_score(spark: SparkSession, d: str) -> DataFrame:
@@ -431,14 +451,14 @@ def rf_fit(forests: Sequence[forest.ForestParams]) -> Query:
 
 def rf_predict_all(spark: SparkSession, d: str) -> DataFrame:
     """Prediction of every training-frame row, test rows included."""
-    trained = modelling.train(frames.train_frame(history(spark, d), CFG).frame, cfg=CFG)
-    said = trained.predictions()
-    return said.select(*ID, "is_train", F.col("label").cast("int").alias("retire"), F.col("prediction").cast("int").alias("pred"))
+    frame = frames.train_frame(history(spark, d), CFG).frame
+    said = modelling.train(frame, forest.FINAL_FORESTS[0], CFG).predictions()
+    return said.select(*frame.columns, "is_train", F.col("prediction").cast("int").alias("pred"))
 
 
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    trained = modelling.train(frames.train_frame(history(spark, d), CFG).frame, cfg=CFG)
-    return forest.importances(spark, trained.model)
+    frame = frames.train_frame(history(spark, d), CFG).frame
+    return forest.importances(spark, modelling.train(frame, forest.FINAL_FORESTS[0], CFG).model)
 
 
 def rf_score(spark: SparkSession, d: str) -> DataFrame:
@@ -451,11 +471,10 @@ def agg_predicted_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    """A stage of the search with a reduced grid and small forests."""
+    """The last stage of the search for beta 0.3, whole: every point, all trees and folds."""
     rows = training_rows(spark, d).persist()
-    stage = forest.Stage(SMALL_FOREST, {"depth": (3, 5), "min_split": (50, 130)})
     try:
-        return forest.grid_search(rows, stage, beta=0.5, cfg=replace(CFG, folds=3))
+        return forest.grid_search(rows, forest.stages(0.3)[-1], beta=0.3, cfg=CFG)
     finally:
         rows.unpersist()
 
@@ -475,16 +494,13 @@ def retire_rate_by_department(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def train_frame(fan_out: bool) -> Query:
-    return lambda spark, d: frames.train_frame(history(spark, d, fan_out), CFG).frame
+def train_frame(spark: SparkSession, d: str) -> DataFrame:
+    return frames.train_frame(history(spark, d), CFG).frame
 
 
-def score_frame(fan_out: bool) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        past = history(spark, d, fan_out)
-        return frames.score_frame(past, frames.train_frame(past, CFG).means, CFG)
-
-    return run
+def score_frame(spark: SparkSession, d: str) -> DataFrame:
+    past = history(spark, d)
+    return frames.score_frame(past, frames.train_frame(past, CFG).means, CFG)
 
 
 MEAN_QUERIES = {
@@ -499,15 +515,13 @@ MEAN_QUERIES = {
 HASH_QUERIES = {f"hash_{column.lower()}": column for column in encode.HASHED}
 
 
-def queries() -> dict[str, Query]:
+def _plain() -> dict[str, Query]:
     one_key = [n for n, k in encode.TARGET_MEANS.items() if len(k) == 1]
     two_keys = [n for n, k in encode.TARGET_MEANS.items() if len(k) == 2]
     return {
         "retire_rate_by_department": retire_rate_by_department,
-        "train_frame": train_frame(False),
-        "score_frame": score_frame(False),
-        "train_frame_fanout": train_frame(True),
-        "score_frame_fanout": score_frame(True),
+        "train_frame": train_frame,
+        "score_frame": score_frame,
         # sources and sinks
         "scan_payroll": facts,
         "scan_fiscal_calendar": trade.fiscal_calendar,
@@ -530,7 +544,7 @@ def queries() -> dict[str, Query]:
         # joins
         "join_fiscal_year": lambda s, d: checks(s, d).select("EMPLOYEE_ID", "PAYROLL_SEQUENCE", "FISCAL_YEAR"),
         "join_last_period": attached(schema.SNAPSHOT),
-        "join_last_period_fanout": join_last_period_fanout,
+        "join_last_period_fanout": fanned(join_last_period_fanout),
         "join_last_period_mou": attached(["MOU"]),
         "join_last_period_jobclass": attached(["JOB_CLASS"]),
         "join_last_period_rate": attached(["BIWEEKLY_RATE"]),
@@ -598,3 +612,9 @@ def queries() -> dict[str, Query]:
         "grid_search": grid_search,
         "grid_results": grid_results,
     }
+
+
+def queries() -> dict[str, Query]:
+    found = _plain()
+    found |= {f"{name}_fanout": fanned(found[name]) for name in FAN_OUT_TWINS}
+    return {name: rounded(q, ROUNDED[name]) if name in ROUNDED else q for name, q in found.items()}

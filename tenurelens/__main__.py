@@ -4,7 +4,9 @@
 
 Inputs are CSV files with a header, or parquet where the path ends in .parquet.
 ``DIR`` receives train, score, predictions, confusion, importances and total as
-parquet, and the predictions of the coming year as CSV.
+parquet, and the predictions of the coming year as CSV. ``--frames DIR`` starts from the
+train and score frames of an earlier run instead of payroll. ``--tune`` also writes
+the whole search, all points of all stages for each beta.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def _read(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
     return reader(spark, path, fields)
 
 
-def run(spark: SparkSession, payroll: str, calendar: str, steps: str, out: str, cfg: PolicyConfig) -> None:
+def run(spark: SparkSession, payroll: str, calendar: str, steps: str, out: str, cfg: PolicyConfig, tune: bool = False) -> None:
     history = build_history(
         _read(spark, payroll, schema.PAYROLL),
         _read(spark, calendar, schema.FISCAL_CALENDAR),
@@ -38,13 +40,21 @@ def run(spark: SparkSession, payroll: str, calendar: str, steps: str, out: str,
     fitted = frames.train_frame(history, cfg)
     train = settle(fitted.frame, "train")
     score = settle(frames.score_frame(history, fitted.means, cfg), "score")
-    trained = modelling.train(train, cfg=cfg)
-    said = trained.predictions()
-    coming = trained.score(score, cfg)
-
     io.write_parquet(train, f"{out}/train")
     io.write_parquet(score, f"{out}/score")
-    known = said.select(*forest.ROW_KEY, "is_train", "label", F.col("prediction").cast("int").alias("pred"))
+    model(spark, train, score, out, cfg, tune)
+
+
+def model(spark: SparkSession, train: DataFrame, score: DataFrame, out: str, cfg: PolicyConfig, tune: bool = False) -> None:
+    """The first forest predicts the rows it knows and ranks features; the last one predicts the coming year."""
+    trained = modelling.train(train, forest.FINAL_FORESTS[0], cfg)
+    said = trained.predictions()
+    coming = modelling.fit_rows(trained.rows, forest.FINAL_FORESTS[-1], cfg).score(score, cfg)
+    if tune:
+        for beta in cfg.betas:
+            io.write_parquet(modelling.tune(trained.rows, beta, cfg), f"{out}/search_{beta}")
+
+    known = said.select(*train.columns, "is_train", F.col("prediction").cast("int").alias("pred"))
     io.write_parquet(known, f"{out}/predictions")
     for name, part in (("train", said.filter("is_train")), ("test", said.filter("not is_train"))):
         io.write_parquet(forest.confusion(part), f"{out}/confusion_{name}")
@@ -55,13 +65,21 @@ def run(spark: SparkSession, payroll: str, calendar: str, steps: str, out: str,
 
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tenurelens", description="Retirement model from payroll history")
-    for name in ("payroll", "calendar", "steps", "out"):
-        parser.add_argument(f"--{name}", required=True)
+    for name in ("payroll", "calendar", "steps", "frames"):
+        parser.add_argument(f"--{name}")
+    parser.add_argument("--out", required=True)
+    parser.add_argument("--tune", action="store_true")
     parser.add_argument("--last-fiscal-year", type=int, default=PolicyConfig.last_fiscal_year)
     args = parser.parse_args(argv)
+    if not args.frames and not (args.payroll and args.calendar and args.steps):
+        parser.error("give --payroll, --calendar and --steps, or --frames")
     spark = SparkSession.builder.appName("tenurelens").getOrCreate()
     cfg = replace(PolicyConfig(), last_fiscal_year=args.last_fiscal_year)
-    run(spark, args.payroll, args.calendar, args.steps, args.out, cfg)
+    if args.frames:
+        train, score = (spark.read.parquet(f"{args.frames}/{name}") for name in ("train", "score"))
+        model(spark, train, score, args.out, cfg, args.tune)
+    else:
+        run(spark, args.payroll, args.calendar, args.steps, args.out, cfg, args.tune)
 
 
 if __name__ == "__main__":

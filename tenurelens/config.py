@@ -72,10 +72,11 @@ class PolicyConfig:
         ("MARITAL_STATUS", ("",), "Unknown"),
     )
 
-    # sums run in fixed point, so that a result does not depend on the order in
-    # which tasks add up: decimals of pay and hours, of their group means, of shares
-    sum_decimals: int = 4
-    mean_decimals: int = 8
+    # sums run in fixed point, finer than amounts of money and hours need, so that a
+    # result does not depend on the order in which tasks add up: decimals of pay and
+    # hours, of their group means, of shares
+    sum_decimals: int = 10
+    mean_decimals: int = 10
     share_decimals: int = 15
 
     # model
@@ -84,6 +85,9 @@ class PolicyConfig:
     class_weights: tuple[tuple[int, float], ...] = ((0, 1.0), (1, 5.0))
     forest_seed: int = 10
     missing_feature: float = -1.0
-    feature_limit: float = 1e18
+    # what an infinite feature becomes; finite values stay
+    infinite_feature: float = 1e18
+    # a seeded fit depends on the layout of its rows, so it has a size of its own
+    fit_partitions: int = 32
     folds: int = 5
     betas: tuple[float, ...] = field(default=(0.5, 0.3))

@@ -8,9 +8,15 @@ from tenurelens.config import PolicyConfig
 from tenurelens.functions.nullsafe import _column
 
 
+# tried in turn: months by name or number, years of two or four digits
+SPELLINGS = ("d-MMM-yy", "d-MMM-yyyy", "d-M-yy", "d-M-yyyy", "d-MMMM-yy", "d-MMMM-yyyy")
+
+
 def parse_dmy(text: Column | str) -> Column:
-    """``07-JUL-55`` to a date; anything unreadable is NULL."""
-    return F.try_to_date(_column(text), "d-MMM-yy")
+    """``07-JUL-55``, ``7/7/1955`` or ``7 July 1955`` to a date; anything unreadable is NULL."""
+    usual = F.try_to_date(_column(text), SPELLINGS[0])
+    plain = F.regexp_replace(F.trim(_column(text)), r"[\s/.,-]+", "-")
+    return F.coalesce(usual, *[F.try_to_date(plain, s) for s in SPELLINGS])
 
 
 def into_century(date: Column | str, century: int) -> Column:

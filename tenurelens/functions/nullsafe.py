@@ -1,7 +1,7 @@
 """Aggregates, division, membership and join conditions with explicit nulls.
 
-A statistic over a group with a missing value is missing; 0/0 is missing, x/0 is
-infinite; membership of a missing value is false; missing keys join each other.
+A statistic over a group with a missing value is missing, and NaN is missing; 0/0 is
+missing, x/0 is infinite; membership of a missing value is false; missing keys join each other.
 """
 
 from __future__ import annotations
@@ -26,22 +26,29 @@ def strict_max(c: Column | str) -> Column:
     return F.when(_complete(c), F.max(c))
 
 
-LOW = 2**24
+LOW = 2**32
+DECIMALS = 10
 
 
-def fixed_parts(c: Column | str, decimals: int = 4) -> tuple[Column, Column]:
+def known(c: Column | str) -> Column:
+    """The number, with NaN as NULL."""
+    c = _column(c)
+    return F.when(~F.isnan(c.cast("double")), c)
+
+
+def fixed_parts(c: Column | str, decimals: int = DECIMALS) -> tuple[Column, Column]:
     """High and low part, as bigints, of a number in units of 10^-decimals."""
-    units = F.rint(_column(c) * F.lit(10.0**decimals))
+    units = F.rint(known(c) * F.lit(10.0**decimals))
     high = F.floor(units / F.lit(float(LOW)))
     return high, (units - high * F.lit(float(LOW))).cast("bigint")
 
 
-def from_parts(high: Column, low: Column, decimals: int = 4) -> Column:
+def from_parts(high: Column, low: Column, decimals: int = DECIMALS) -> Column:
     units = high.cast("decimal(20,0)") * F.lit(LOW) + low
     return units.cast("double") / F.lit(10.0**decimals)
 
 
-def exact_sum(c: Column | str, decimals: int = 4) -> Column:
+def exact_sum(c: Column | str, decimals: int = DECIMALS) -> Column:
     """Sum in fixed point: equal for every order and grouping of the additions.
 
     The two parts are summed apart, so that a group of many rows neither rounds
@@ -51,13 +58,13 @@ def exact_sum(c: Column | str, decimals: int = 4) -> Column:
     return from_parts(F.sum(high), F.sum(low), decimals)
 
 
-def strict_sum(c: Column | str, decimals: int = 4) -> Column:
-    c = _column(c)
+def strict_sum(c: Column | str, decimals: int = DECIMALS) -> Column:
+    c = known(c)
     return F.when(_complete(c), exact_sum(c, decimals))
 
 
-def strict_avg(c: Column | str, decimals: int = 4) -> Column:
-    c = _column(c)
+def strict_avg(c: Column | str, decimals: int = DECIMALS) -> Column:
+    c = known(c)
     return F.when(_complete(c), exact_sum(c, decimals) / F.count(F.lit(1)))
 
 

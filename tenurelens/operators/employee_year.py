@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tenurelens.config import PolicyConfig
 from tenurelens.functions.dates import birth_date, hire_date, next_year_start, parse_dmy, whole_years
-from tenurelens.functions.nullsafe import fixed_parts, in_list, strict_max
+from tenurelens.functions.nullsafe import fixed_parts, in_list, known, strict_max
 from tenurelens.operators.joins import lookup_join, null_safe_join
 from tenurelens.sources.schema import PANEL_KEYS, SNAPSHOT
 from tenurelens.sources.workspace import Lookup, settle
@@ -77,7 +77,7 @@ def spells(checks: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
         .agg(
             F.max(period).alias("last_pp"),
             F.count(F.lit(1)).alias("checks"),
-            *[F.count(c).alias(f"n_{c}") for c in MEASURES],
+            *[F.count(known(c)).alias(f"n_{c}") for c in MEASURES],
             *[
                 F.sum(part).alias(f"{name}_{c}")
                 for c in MEASURES

@@ -66,10 +66,14 @@ def fold(cfg: PolicyConfig = PolicyConfig()) -> Column:
 
 
 def feature_value(name: str, cfg: PolicyConfig = PolicyConfig()) -> Column:
-    """A finite double: missing has a value of its own, infinities are clipped."""
-    limit = F.lit(cfg.feature_limit)
-    clipped = F.greatest(F.least(F.col(name).cast("double"), limit), -limit)
-    return F.when(F.col(name).isNull(), cfg.missing_feature).otherwise(clipped)
+    """A finite double: missing values get a number, infinities a large one; others stay."""
+    value = F.col(name).cast("double")
+    infinite = F.when(value > 0, cfg.infinite_feature).otherwise(-cfg.infinite_feature)
+    return (
+        F.when(value.isNull() | F.isnan(value), cfg.missing_feature)
+        .when(F.abs(value) == float("inf"), infinite)
+        .otherwise(value)
+    )
 
 
 def assemble(frame: DataFrame, cfg: PolicyConfig = PolicyConfig(), keep: Sequence[str] = ()) -> DataFrame:
@@ -90,13 +94,11 @@ def assemble(frame: DataFrame, cfg: PolicyConfig = PolicyConfig(), keep: Sequenc
     return vectors.transform(values).drop(*[f"x_{c}" for c in FEATURES])
 
 
-def stable_layout(rows: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Same rows, same partitions, same order on every run, for a seeded fit.
+def stable_layout(rows: DataFrame, partitions: int = PolicyConfig.fit_partitions) -> DataFrame:
+    """Same rows, same partitions, same order on every run and session, for a seeded fit.
 
     The row hash spreads an employee-year that was multiplied by a join.
     """
-    if partitions is None:
-        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*ROW_KEY, "row_hash"]
     return rows.repartition(partitions, *order).sortWithinPartitions(*order)
 
@@ -202,6 +204,8 @@ class Stage:
 
 # Ranges of the four search stages and what each holds constant.
 def stages(beta: float) -> tuple[Stage, ...]:
+    if beta not in (0.5, 0.3):
+        raise ValueError(f"there is no search for beta {beta}")
     deep = beta == 0.5
     found = ForestParams(100, 15, 60, 10) if deep else ForestParams(100, 3, 130, 40)
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tenurelens.sources.workspace import Lookup
 
 BROADCAST_ROWS = 250_000
-SALTS = 64
+BROADCAST_BYTES = 64 << 20
 
 Key = str | tuple[str, str]
 
@@ -41,20 +41,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[Key], how: st
     return joined.drop(*[f"__key_{r}" for _, r in pairs])
 
 
-def lookup_join(left: DataFrame, lookup: Lookup, on: Sequence[Key], salts: int = SALTS) -> DataFrame:
+def lookup_join(left: DataFrame, lookup: Lookup, on: Sequence[Key]) -> DataFrame:
     """Left join to a lookup whose row count was measured.
 
-    Up to ``BROADCAST_ROWS`` rows the lookup is broadcast and ``left`` does not
-    move. Beyond that the lookup is copied once per salt and the rows of a hot
-    key are dealt out over ``salts`` tasks; each row still meets each of its
-    matches exactly once.
+    Up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes the lookup is broadcast and
+    ``left`` does not move. Beyond that it is a plain left join, in which AQE splits
+    the left rows of a hot key over several tasks.
     """
-    if lookup.rows <= BROADCAST_ROWS:
-        return null_safe_join(left, F.broadcast(lookup.frame), on)
-    return salted_join(left, lookup.frame, on, salts)
-
-
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[Key], salts: int = SALTS) -> DataFrame:
-    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    copied = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return null_safe_join(dealt, copied, [*on, "__salt"]).drop("__salt")
+    small = lookup.rows <= BROADCAST_ROWS and lookup.bytes <= BROADCAST_BYTES
+    return null_safe_join(left, F.broadcast(lookup.frame) if small else lookup.frame, on)

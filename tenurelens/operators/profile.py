@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tenurelens.functions.nullsafe import exact_sum
+from tenurelens.functions.nullsafe import DECIMALS, exact_sum, known
 
 
-def profile(df: DataFrame, columns: Sequence[str], decimals: int = 4) -> DataFrame:
+def profile(df: DataFrame, columns: Sequence[str], decimals: int = DECIMALS) -> DataFrame:
     """One row per numeric column: rows, nulls, minimum, mean and maximum.
 
     The sum behind the mean runs in fixed point, as in ``strict_avg``.
@@ -18,10 +18,10 @@ def profile(df: DataFrame, columns: Sequence[str], decimals: int = 4) -> DataFra
         F.count(F.lit(1)).alias("rows"),
         *[
             F.struct(
-                (F.count(F.lit(1)) - F.count(c)).alias("nulls"),
-                F.min(c).cast("double").alias("min"),
-                (exact_sum(F.col(c).cast("double"), decimals) / F.count(c)).alias("mean"),
-                F.max(c).cast("double").alias("max"),
+                (F.count(F.lit(1)) - F.count(known(c))).alias("nulls"),
+                F.min(known(c)).cast("double").alias("min"),
+                (exact_sum(F.col(c).cast("double"), decimals) / F.count(known(c))).alias("mean"),
+                F.max(known(c)).cast("double").alias("max"),
             ).alias(c)
             for c in columns
         ],

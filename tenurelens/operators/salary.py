@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenurelens.config import PolicyConfig
-from tenurelens.functions.nullsafe import fixed_parts, from_parts, ieee_div, strict_avg, strict_sum
+from tenurelens.functions.nullsafe import fixed_parts, from_parts, ieee_div, known, strict_avg, strict_sum
 from tenurelens.operators.joins import lookup_join, null_safe_join
 from tenurelens.sources.schema import SALARY_KEYS, SALARY_STATS
 from tenurelens.sources.workspace import Lookup
@@ -55,7 +55,7 @@ def summary_of_spells(spelled: DataFrame, cfg: PolicyConfig = PolicyConfig()) ->
         return F.when(complete, from_parts(F.sum(f"high_{c}"), F.sum(f"low_{c}"), n))
 
     high, low = (F.sum(part * F.col("checks")) for part in fixed_parts("BIWEEKLY_RATE", n))
-    rated = F.count("BIWEEKLY_RATE") == F.count(F.lit(1))
+    rated = F.count(known("BIWEEKLY_RATE")) == F.count(F.lit(1))
     regular = F.col("other_pp").isNull() & (F.col("JOB_STATUS") == cfg.active_status)
     totals = (
         spelled.filter(regular)

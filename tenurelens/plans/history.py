@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tenurelens.config import PolicyConfig
 from tenurelens.operators import employee_year as ey, salary, steps
 from tenurelens.operators.joins import lookup_join
+from tenurelens.sources.io import clean_numbers
 from tenurelens.sources.schema import PANEL
 from tenurelens.sources.workspace import Lookup, settle, settle_lookup
 
@@ -29,19 +30,12 @@ class History:
 def build_history(
     payroll: DataFrame, calendar: DataFrame, job_steps: DataFrame, cfg: PolicyConfig = PolicyConfig()
 ) -> History:
-    checks = ey.with_fiscal_year(payroll, _checked(calendar))
+    checks = ey.with_fiscal_year(clean_numbers(payroll), _checked(calendar))
     ladder = settle_lookup(steps.step_table(job_steps, cfg), "job_steps")
     spelled = settle(ey.spells(checks, cfg), "spells")
     salaries = salary.summary_of_spells(spelled, cfg)
-    found = ey.snapshot_panel(checks, spelled, cfg)
-
-    rows = found.single.withColumn("single", F.lit(True))
-    if found.multiple is not None:
-        others = found.multiple.withColumns(
-            {"BIWEEKLY_RATE": F.lit(None).cast("double"), "single": F.lit(False)}
-        )
-        rows = rows.unionByName(others)
-    rows, rates = _steps_apart(rows, found.rates, ladder)
+    rows, rates = panel_rows(checks, spelled, cfg)
+    rows, rates = _steps_apart(rows, rates, ladder)
     rows = ey.with_label(ey.with_ages(rows, cfg), cfg)
     rows = salary.attach(rows, salaries).withColumn("whether_supervisor", ey.supervisor_flag(cfg))
     rows = steps.with_steps(rows, ladder, cfg).select(*PANEL, "BIWEEKLY_RATE", "single")
@@ -52,6 +46,23 @@ def build_history(
     )
 
 
+def panel_rows(
+    checks: DataFrame, spelled: DataFrame, cfg: PolicyConfig = PolicyConfig()
+) -> tuple[DataFrame, DataFrame | None]:
+    """Employee-years with their last-period attributes, and the rates of those with several rows there."""
+    unnamed = spelled.filter(F.col("EMPLOYEE_ID").isNull()).agg(F.sum("checks")).first()[0]
+    if unnamed:
+        raise ValueError(f"{unnamed} checks have no EMPLOYEE_ID")
+    found = ey.snapshot_panel(checks, spelled, cfg)
+    rows = found.single.withColumn("single", F.lit(True))
+    if found.multiple is not None:
+        others = found.multiple.withColumns(
+            {"BIWEEKLY_RATE": F.lit(None).cast("double"), "single": F.lit(False)}
+        )
+        rows = rows.unionByName(others)
+    return rows, found.rates
+
+
 def _checked(calendar: DataFrame) -> Lookup:
     """The calendar, refused if it would count a check twice."""
     table = settle(calendar, "calendar")

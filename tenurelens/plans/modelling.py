@@ -15,8 +15,12 @@ from tenurelens.sources.workspace import settle
 
 
 def model_rows(frame: DataFrame, name: str, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
-    """Hashed and assembled rows, written once: the fit reads them many times."""
-    return settle(forest.assemble(encode.hash_encode(frame), cfg), name)
+    """The frame's columns with hashed and assembled features, written once: the fit reads them many times."""
+    return settle(assembled(frame, cfg), name)
+
+
+def assembled(frame: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    return forest.assemble(encode.hash_encode(frame), cfg, keep=[c for c in frame.columns if c not in forest.ROW_KEY])
 
 
 @dataclass(frozen=True)
@@ -25,13 +29,13 @@ class Trained:
     rows: DataFrame
 
     def predictions(self) -> DataFrame:
+        """Training and test rows with all their columns, ``is_train`` and ``prediction``."""
         return self.model.transform(self.rows)
 
     def score(self, frame: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
-        rows = forest.assemble(encode.hash_encode(frame), cfg)
-        return self.model.transform(rows).select(
-            *forest.ROW_KEY, F.col("prediction").cast("int").alias("pred")
-        )
+        """``frame`` with ``pred``: a row stands for itself also where its key occurs again."""
+        said = self.model.transform(assembled(frame, cfg))
+        return said.select(*frame.columns, F.col("prediction").cast("int").alias("pred"))
 
 
 def train(
@@ -50,7 +54,7 @@ def fit_rows(
     partitions: int | None = None,
 ) -> Trained:
     """Fit on the training part of assembled rows."""
-    training = forest.stable_layout(rows.filter("is_train"), partitions).persist()
+    training = forest.stable_layout(rows.filter("is_train"), partitions or cfg.fit_partitions).persist()
     try:
         return Trained(forest.fit(training, params, cfg), rows)
     finally:
@@ -66,7 +70,7 @@ def tune(
     parallelism: int = 4,
 ) -> DataFrame:
     """All search stages for one beta; by default the full grid of 248 points."""
-    training = forest.stable_layout(rows.filter("is_train"), partitions).persist()
+    training = forest.stable_layout(rows.filter("is_train"), partitions or cfg.fit_partitions).persist()
     try:
         found = [
             forest.grid_search(training, stage, beta, cfg, parallelism).withColumn("stage", F.lit(number))

@@ -17,16 +17,32 @@ def _from_text(field: T.StructField) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Delimited text with a header, by a named schema.
+    """Delimited text with a header; the columns of ``schema`` by name, in any order among others.
 
     Fields are read as text and typed afterwards, so blank text stays a
-    category and only ``NA`` becomes NULL; a malformed number fails the job.
+    category and only ``NA`` becomes NULL; a malformed number fails the job, and
+    so does a missing column. A quote within quotes is doubled.
     """
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.csv(path, schema=text, header=True, enforceSchema=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"')
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
     return raw.select(*[_from_text(f) for f in schema.fields])
 
 
+def _number(field: T.StructField) -> Column:
+    """NaN is missing; an infinite number is refused."""
+    value = F.col(f"`{field.name}`").cast(field.dataType)
+    if not isinstance(field.dataType, T.DoubleType):
+        return value
+    refused = F.raise_error(F.lit(f"{field.name} is infinite")).cast("double")
+    return F.when(F.abs(value) == float("inf"), refused).when(~F.isnan(value), value)
+
+
+def clean_numbers(df: DataFrame) -> DataFrame:
+    return df.select(*[_number(f).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     found = spark.read.parquet(path)
     return found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -38,6 +54,8 @@ def write_csv(df: DataFrame, path: str) -> None:
         path,
         header=True,
         nullValue=MISSING_TEXT,
+        quote='"',
+        escape='"',
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     )

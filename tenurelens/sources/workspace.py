@@ -7,12 +7,13 @@ prunes its own columns.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -22,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {SETTING} to a folder every executor can reach")
     return _local_folder()
 
@@ -49,12 +50,16 @@ def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 @dataclass(frozen=True)
 class Lookup:
-    """A written lookup table together with its measured number of rows."""
+    """A written lookup table together with its measured number of rows and of bytes, about."""
 
     frame: DataFrame
     rows: int
+    bytes: int = 0
 
 
 def settle_lookup(df: DataFrame, name: str) -> Lookup:
     table = settle(df, name)
-    return Lookup(table, table.count())
+    texts = [c for c, kind in table.dtypes if kind == "string"]
+    chars = [F.sum(F.octet_length(F.col(f"`{c}`"))) for c in texts]
+    rows, *lengths = table.agg(F.count(F.lit(1)), *chars).first()
+    return Lookup(table, rows, sum(n or 0 for n in lengths) + 16 * rows * len(table.columns))

@@ -61,3 +61,11 @@ def test_year_start_and_whole_years(spark):
 def test_whole_years_count_blocks_of_365_days(spark):
     df = spark.createDataFrame([(date(2019, 7, 1), date(2009, 7, 3)), (date(2019, 7, 1), date(2009, 7, 4))], "a date, b date")
     assert [r[0] for r in df.select(dates.whole_years("a", "b")).collect()] == [10, 9]
+
+
+def test_other_spellings(spark):
+    texts = ["07-JUL-55", "07-JUL-1955", "7/7/1955", "07-07-55", "7 July 1955", " 7.jul.55 ", "7-13-55", "x"]
+    from tenurelens.functions.dates import birth_date, parse_dmy
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(birth_date(parse_dmy("t")).alias("d")).collect()
+    assert [str(r.d) for r in rows] == ["1955-07-07"] * 6 + ["None"] * 2

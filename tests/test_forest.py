@@ -126,7 +126,25 @@ def test_train_and_score(frame):
     frame = frame.drop(*encode.HASHED_COLUMNS)
     trained = modelling.train(frame, ForestParams(trees=5, depth=3, min_split=20, min_leaf=5))
     scored = trained.score(frame.drop("retire"))
-    assert scored.columns == ["EMPLOYEE_ID", "FISCAL_YEAR", "pred"]
+    assert scored.columns == [*frame.drop("retire").columns, "pred"]
     assert scored.count() == frame.count()
     total = modelling.predicted_total(scored).first()[0]
     assert total == trained.predictions().filter("prediction = 1").count()
+
+
+def test_layout_does_not_follow_the_session(spark, rows_):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    params, found = ForestParams(trees=5, depth=3, min_split=20, min_leaf=5), []
+    try:
+        for n in ("4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            model = forest.fit(forest.stable_layout(rows_), params)
+            found.append([r.prediction for r in model.transform(rows_).orderBy("EMPLOYEE_ID", "FISCAL_YEAR", "row_hash").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def test_a_beta_without_a_search_is_refused():
+    with pytest.raises(ValueError, match="no search for beta"):
+        forest.stages(0.7)

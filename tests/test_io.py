@@ -61,3 +61,20 @@ class OnCluster:
 def test_a_cluster_must_name_its_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         workspace.shared_folder(OnCluster)
+
+
+def test_columns_are_read_by_name(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tenurelens.sources import io
+
+    (tmp_path / "x.csv").write_text('more,TITLE,N\n1,"CLERK ""A"" TYPIST",7\n2,NA,NaN\n')
+    fields = T.StructType([T.StructField("N", T.DoubleType()), T.StructField("TITLE", T.StringType())])
+    found = io.read_csv(spark, str(tmp_path / "x.csv"), fields)
+    assert found.columns == ["N", "TITLE"]
+    assert [tuple(r) for r in io.clean_numbers(found).collect()] == [(7.0, 'CLERK "A" TYPIST'), (None, None)]
+    with pytest.raises(ValueError, match="no column"):
+        io.read_csv(spark, str(tmp_path / "x.csv"), fields.add("MISSING", "string"))
+    infinite = spark.createDataFrame([(float("inf"),)], "HW_TYPE_PAY double")
+    with pytest.raises(Exception, match="HW_TYPE_PAY is infinite"):
+        io.clean_numbers(infinite).collect()

@@ -1,10 +1,9 @@
-"""Missing keys match; broadcast and salted lookups agree."""
+"""Missing keys match; broadcast and shuffled lookups agree."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tenurelens.operators import joins
-from tenurelens.operators.joins import lookup_join, null_safe_join, salted_join
+from tenurelens.operators.joins import lookup_join, null_safe_join
 from tenurelens.sources.workspace import Lookup, settle_lookup
 
 LEFT = [("a", 1), (None, 2), ("z", 3), ("a", 4)]
@@ -34,18 +33,6 @@ def test_repeated_right_rows_multiply(spark, rows):
     assert rows(null_safe_join(left, right, ["EMPLOYEE_ID"])) == [(1, "x", 7), (1, "x", 8)]
 
 
-def test_salted_join_equals_plain_join(spark, rows):
-    left = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
-    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), (None, 4)], "k string, v int")
-    assert rows(salted_join(left, right, ["k"], salts=8)) == rows(null_safe_join(left, right, ["k"]))
-
-
-def test_a_hot_key_is_spread_over_the_salts(spark):
-    left = spark.range(4000).select(F.lit("hot").alias("k"), "id")
-    spread = left.withColumn("s", F.pmod(F.xxhash64(*left.columns), F.lit(8))).groupBy("s").count().collect()
-    assert len(spread) == 8 and max(r["count"] for r in spread) < 700
-
-
 def test_the_measured_size_decides(sides, rows, monkeypatch):
     left, right = sides
     lookup = settle_lookup(right, "right")
@@ -54,11 +41,11 @@ def test_the_measured_size_decides(sides, rows, monkeypatch):
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
     large = lookup_join(left, lookup, ["k"])
-    assert "__salt" in large._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" not in large._jdf.queryExecution().analyzed().toString()
     assert rows(small) == rows(large) == sorted(MATCHED, key=repr)
 
 
-def test_salted_side_is_not_hinted(sides, spark):
+def test_wide_rows_are_not_hinted(sides, spark):
     left, right = sides
-    plan = lookup_join(left, Lookup(right, 10**9), ["k"])._jdf.queryExecution().analyzed().toString()
+    plan = lookup_join(left, Lookup(right, 3, 10**9), ["k"])._jdf.queryExecution().analyzed().toString()
     assert "strategy=broadcast" not in plan

