@@ -6,7 +6,8 @@ they share a token among the first ones of both (the prefix). Sets with a shared
 fall into groups; each group, or each pair of blocks of a large one, is joined in one task:
 its ordered sets form a trie, every set walks down it, paths in common are counted
 once, and a subtree is left when the tokens that remain cannot lift the overlap to what is needed.
-Equal sets are one class and enter once.
+This is done twice: with the prefixes alone, which part the groups, and
+then with whole sets in what is left of them. Equal sets are one class and enter once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tenurelens.llm.components import connected_components
 from tenurelens.llm.words import blocks, mix, shingle_runs
@@ -31,7 +32,7 @@ class Settings:
     #: Documents link when percent * union <= 100 * intersection.
     percent: int = 90
     #: Cells of the frequency sketch; it decides the order of tokens, never a link.
-    cells: int = 1 << 18
+    cells: int = 1 << 22
     #: Tokens of all sets of a block; groups beyond it are joined in pairs of blocks.
     block_tokens: int = 1 << 19
     #: Cells of the map of documents whose sets are needed; others are not shingled again.
@@ -53,30 +54,71 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _sketched(s: Settings):
+    """Counts of shingles by hash, one row for each part of the cells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(s.cells, dtype=np.int64)
+        counts, waiting, n = np.zeros(s.cells, dtype=np.uint32), [], 0
         for batch in batches:
             for part in blocks(_texts(batch["text"]), len, BATCH_BYTES):
                 runs, _ = shingle_runs(part, s.size)
-                counts += np.bincount((runs % np.uint64(s.cells)).astype(np.int64), minlength=s.cells)
-        cells = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(counts[cells])], ["cell", "n"])
+                waiting.append((runs % np.uint64(s.cells)).astype(np.int32))
+                n += len(runs)
+                if n > s.cells:
+                    counts += np.bincount(np.concatenate(waiting), minlength=s.cells).astype(np.uint32)
+                    waiting, n = [], 0
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=s.cells).astype(np.uint32)
+        if counts.any():
+            kind = "<u2" if counts.max() < 1 << 16 else "<u4"
+            data = [x.astype(kind).tobytes() for x in np.split(counts, _parts(s))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(data)), pa.int32()), pa.array(data, pa.binary())], ["part", "counts"])
+
+    return run
+
+
+def _parts(s: Settings) -> int:
+    return max(1, s.cells >> 16)
+
+
+def _leveled(s: Settings):
+    """The sum of the rows of each part, as levels; the rows of a part follow each other."""
+    size = s.cells // _parts(s)
+
+    def levels(part: int, total: np.ndarray) -> pa.RecordBatch:
+        data = np.minimum(255, np.round(8 * np.log2(total + 1.0))).astype(np.uint8).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["part", "levels"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for batch in batches:
+            for part, data in zip(batch["part"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                if part != at:
+                    if at is not None:
+                        yield levels(at, total)
+                    at, total = part, np.zeros(size, dtype=np.int64)
+                total += np.frombuffer(data, dtype=f"<u{len(data) // size}")
+        if at is not None:
+            yield levels(at, total)
 
     return run
 
 
 def frequency_levels(texts: DataFrame, s: Settings) -> np.ndarray:
-    """The level of each cell: eight steps to a doubling of the shingles counted in it, over the whole table."""
-    counted = texts.mapInArrow(_sketched(s), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(s.cells)
-    total[counted["cell"].to_numpy()] = counted["n"].to_numpy()
-    return np.minimum(255, np.round(8 * np.log2(total + 1))).astype(np.uint64)
+    """The level of each cell: eight steps to a doubling of the shingles counted in it, over the whole table.
+
+    One byte for each cell comes to the driver, however many texts there are.
+    """
+    counted = texts.mapInArrow(_sketched(s), "part int, counts binary").repartition("part").sortWithinPartitions("part")
+    out = np.zeros((_parts(s), s.cells // _parts(s)), dtype=np.uint8)
+    for row in counted.mapInArrow(_leveled(s), "part int, levels binary").collect():
+        out[row["part"]] = np.frombuffer(row["levels"], dtype=np.uint8)
+    return out.reshape(-1)
 
 
 def ordered_sets(texts: list[bytes], levels: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """All texts' distinct tokens, ascending within each text, and where each text's begin."""
     runs, first = shingle_runs(texts, s.size)
-    level = levels[(runs % np.uint64(s.cells)).astype(np.int64)]
+    level = levels[(runs % np.uint64(s.cells)).astype(np.int64)].astype(np.uint64)
     tokens = (level << np.uint64(56)) | (mix(runs, 77) >> np.uint64(8))
     for a, b in zip(first[:-1], first[1:], strict=True):
         tokens[a:b].sort()
@@ -132,10 +174,11 @@ class Trie:
     """A trie of ordered sets with chains of single children joined, at most ``step`` tokens to a node.
 
     Built from the sets in lexicographic order: a set's path leaves its predecessor's where
-    their common prefix ends. Nodes are numbered from parents to children.
+    their common prefix ends. The sets may be prefixes of larger ones of the given sizes.
     """
 
-    def __init__(self, sets: list[np.ndarray], step: int = 32):
+    def __init__(self, sets: list[np.ndarray], sizes: list[int] | None = None, step: int = 32):
+        self.sizes = [len(x) for x in sets] if sizes is None else sizes
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         begin, end, parent, depth, ends = [], [], [], [], []
         flat: list[np.ndarray] = []
@@ -179,20 +222,19 @@ class Trie:
                 ends[path[-1]].append(i)
             before = x
         self.tokens = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-        self.begin, self.end, self.depth = (np.array(v, dtype=np.int64) for v in (begin, end, depth))
-        parents = np.array(parent, dtype=np.int64)
+        self.begin, self.end = (np.array(v, dtype=np.int64) for v in (begin, end))
+        depths, parents = np.array(depth, dtype=np.int64), np.array(parent, dtype=np.int64)
         count = len(parents)
-        by_parent = np.argsort(parents, kind="stable")
-        self.children = by_parent
-        self.first = np.searchsorted(parents[by_parent], np.arange(-1, count + 1), "left")
+        self.children = np.argsort(parents, kind="stable")
+        self.first = np.searchsorted(parents[self.children], np.arange(-1, count + 1), "left")
         self.ends = ends
         self.has_end = np.array([bool(e) for e in ends], dtype=bool)
-        # sizes of the sets below each node, from the deepest up
+        # sizes of the sets that end at or below each node, from the deepest up
         self.least, self.most = np.full(count, 1 << 62, np.int64), np.zeros(count, np.int64)
-        for k in np.argsort(-self.depth, kind="stable").tolist():
-            if ends[k]:
-                self.least[k] = min(self.least[k], self.depth[k])
-                self.most[k] = max(self.most[k], self.depth[k])
+        for k in np.argsort(-depths, kind="stable").tolist():
+            for i in ends[k]:
+                self.least[k] = min(self.least[k], self.sizes[i])
+                self.most[k] = max(self.most[k], self.sizes[i])
             if parents[k] >= 0:
                 p = parents[k]
                 self.least[p] = min(self.least[p], self.least[k])
@@ -204,38 +246,46 @@ class Trie:
         return self.children[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
 
     def linked(self, x: np.ndarray, size: int, member: np.ndarray, least: int, most: int, percent: int) -> list[int]:
-        """The stored sets of ``least`` to ``most`` tokens that reach the threshold with ``x`` of ``size`` tokens.
+        """The stored sets of ``least`` to ``most`` tokens that reach the threshold with a set of ``size`` tokens.
 
-        ``x`` holds the tokens that the trie knows, ``member`` is a scratch array over them, all False.
+        ``x`` is that set or its first tokens; of prefixes, those are returned that may still
+        reach it. ``member`` is a scratch array over all tokens, all False.
         """
         member[x] = True
-        rank = None
+        rank = np.cumsum(member)
+        unseen = size - len(x)
+        last = int(x[-1]) if unseen else len(member)
         found: list[int] = []
         nodes = self._below(np.array([-1]))
         overlap = np.zeros(len(nodes), dtype=np.int64)
+        passed = overlap.copy()  # tokens of a path that were compared with all of x that could equal them
         while len(nodes):
             fits = (self.most[nodes] >= least) & (self.least[nodes] <= most)
-            nodes, overlap = nodes[fits], overlap[fits]
+            nodes, overlap, passed = nodes[fits], overlap[fits], passed[fits]
             if not len(nodes):
                 break
             length = self.end[nodes] - self.begin[nodes]
             ends = np.cumsum(length)
-            at = np.repeat(self.begin[nodes] - (ends - length), length) + np.arange(ends[-1])
-            hits = np.concatenate([[0], np.cumsum(member[self.tokens[at]])])
+            tokens = self.tokens[np.repeat(self.begin[nodes] - (ends - length), length) + np.arange(ends[-1])]
+            hits = np.concatenate([[0], np.cumsum(member[tokens])])
             overlap = overlap + hits[ends] - hits[ends - length]
-            if rank is None:
-                rank = np.cumsum(member)
-            left = rank[-1] - rank[self.tokens[self.end[nodes] - 1]]
+            if unseen:
+                known = np.concatenate([[0], np.cumsum(tokens <= last)])
+                passed = passed + known[ends] - known[ends - length]
+            else:
+                passed = passed + length
+            left = size - rank[self.tokens[self.end[nodes] - 1]]
             smallest = np.maximum(np.maximum(self.least[nodes], least), overlap)
-            can = overlap + np.minimum(left, np.minimum(self.most[nodes], most) - self.depth[nodes])
+            can = overlap + np.minimum(left, np.minimum(self.most[nodes], most) - passed)
             go = can >= needed(smallest, size, percent)
-            nodes, overlap = nodes[go], overlap[go]
+            nodes, overlap, passed, left = nodes[go], overlap[go], passed[go], left[go]
             for k in np.flatnonzero(self.has_end[nodes]).tolist():
-                n = int(self.depth[nodes[k]])
-                if least <= n <= most and 100 * overlap[k] >= percent * (n + size - overlap[k]):
-                    found += self.ends[nodes[k]]
+                for i in self.ends[nodes[k]]:
+                    n = self.sizes[i]
+                    if least <= n <= most and overlap[k] + min(left[k], n - passed[k]) >= needed(n, size, percent):
+                        found.append(i)
             n = self.first[nodes + 2] - self.first[nodes + 1]
-            overlap = np.repeat(overlap, n)
+            overlap, passed = np.repeat(overlap, n), np.repeat(passed, n)
             nodes = self._below(nodes)
         member[x] = False
         return found
@@ -260,7 +310,9 @@ class _Joined:
             self.links.append((i, j))
 
 
-def spanning_links(sets: list[np.ndarray], left: list[int], right: list[int] | None, percent: int) -> list[tuple[int, int]]:
+def spanning_links(
+    sets: list[np.ndarray], sizes: list[int], left: list[int], right: list[int] | None, percent: int
+) -> list[tuple[int, int]]:
     """Links that connect what all links connect: among ``left``, or between ``left`` and ``right``.
 
     Within a block a set asks only for sets that aren't larger, so each pair is seen once
@@ -269,10 +321,10 @@ def spanning_links(sets: list[np.ndarray], left: list[int], right: list[int] | N
     names, ids = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, np.int64))
     cuts = np.cumsum([0, *map(len, sets)])
     local = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    trie = Trie([local[i] for i in left])
+    trie = Trie([local[i] for i in left], [sizes[i] for i in left])
     member, joined = np.zeros(len(names), dtype=bool), _Joined(len(sets))
     for i in left if right is None else right:
-        n = len(local[i])
+        n = sizes[i]
         least = -(-percent * n // 100)
         most = n if right is None else 100 * n // percent
         for j in trie.linked(local[i], n, member, least, most, percent):
@@ -284,39 +336,41 @@ def spanning_links(sets: list[np.ndarray], left: list[int], right: list[int] | N
 def _joined(s: Settings):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("side", "ascending"), ("class", "ascending")])
-        ids, sides, data = (table[c].to_pylist() for c in ("class", "side", "tokens"))
+        ids, sides, sizes, data = (table[c].to_pylist() for c in ("class", "side", "n", "tokens"))
         # a class may come in several times, by equal rows
         keep = [i for i in range(len(ids)) if i == 0 or (ids[i], sides[i]) != (ids[i - 1], sides[i - 1])]
-        sets = [np.frombuffer(data[i], dtype=np.uint64) for i in keep]
+        sets = [np.frombuffer(x, dtype=np.uint64) if isinstance(x, bytes) else np.array(x, dtype=np.int64).view(np.uint64) for x in (data[i] for i in keep)]
         left = [k for k, i in enumerate(keep) if sides[i] == 0]
         right = [k for k, i in enumerate(keep) if sides[i] == 1]
         own = bool(table["own"][0].as_py())
-        links = spanning_links(sets, left, None if own else right, s.percent) if left and (own or right) else []
+        links = spanning_links(sets, [sizes[i] for i in keep], left, None if own else right, s.percent) if left and (own or right) else []
         a, b = ([ids[keep[link[e]]] for link in links] for e in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _tasks(members: DataFrame, s: Settings) -> DataFrame:
-    """Each class of a group once for every pair of blocks it takes part in.
+_TASK = ["component", "at", "first", "second"]
 
-    A group whose sets hold up to ``block_tokens`` tokens is one block. A larger one is cut by
+
+def _tasks(members: DataFrame, columns: list[str], s: Settings) -> DataFrame:
+    """Each member of a group (component, class, n, weight) once for every pair of blocks it takes part in.
+
+    A group of up to ``block_tokens`` tokens, by weight, is one block. A larger one is cut by
     size first: linked sizes differ by less than one step, so a step meets itself and the next.
     """
-    weights = members.groupBy("component").agg(F.sum("n").alias("tokens"))
-    step = F.floor(F.ln(F.col("n").cast("double")) / -np.log(s.percent / 100.0)).cast("long")
+    weights = members.groupBy("component").agg(F.sum("weight").alias("tokens"), F.count("*").alias("sets")).where("sets > 1")
+    step = _step(F.col("n"), s)
     sized = members.join(weights, "component")
     stepped = settle(
-        sized.withColumn("step", F.when(F.col("tokens") <= s.block_tokens, F.lit(-1).cast("long")).otherwise(step)).drop("tokens"), "stepped"
+        sized.withColumn("step", F.when(F.col("tokens") <= s.block_tokens, F.lit(-1).cast("long")).otherwise(step)).drop("tokens", "sets"), "stepped"
     )
-    steps = stepped.groupBy("component", "step").agg(F.ceil(F.sum("n") / s.block_tokens).cast("int").alias("blocks"))
+    steps = stepped.groupBy("component", "step").agg(F.ceil(F.sum("weight") / s.block_tokens).cast("int").alias("blocks"))
     after = steps.select("component", (F.col("step") - 1).alias("step"), F.col("blocks").alias("after"))
     before = steps.select("component", (F.col("step") + 1).alias("step"), F.col("blocks").alias("before"))
+    # a group has either the one step -1 or others, so -1 meets no neighbour
     around = steps.join(after, ["component", "step"], "left").join(before, ["component", "step"], "left")
-    # a group in one block has no neighbours: its step -1 must not meet step 0, which only sets of one token have
-    alone = F.col("step") == -1
-    around = around.select("component", "step", "blocks", *(F.when(alone, 0).otherwise(F.coalesce(c, F.lit(0))).alias(c) for c in ("after", "before")))
+    around = around.select("component", "step", "blocks", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("after", "before")))
     dealt = stepped.join(around, ["component", "step"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
 
     def upto(n):
@@ -325,12 +379,46 @@ def _tasks(members: DataFrame, s: Settings) -> DataFrame:
     me = F.col("block")
     every = F.concat(
         # block pairs within the step: the smaller block is on side 0
-        F.transform(upto(F.col("blocks")), lambda b: F.struct((F.col("step") * 2).alias("at"), F.least(me, b).alias("first"), F.greatest(me, b).alias("second"), F.when(me <= b, 0).otherwise(1).alias("side"), (me == b).alias("own"))),
+        F.transform(
+            upto(F.col("blocks")),
+            lambda b: F.struct((F.col("step") * 2).alias("at"), F.least(me, b).alias("first"), F.greatest(me, b).alias("second"), F.when(me <= b, 0).otherwise(1).alias("side"), (me == b).alias("own")),
+        ),
         # this step's blocks on side 0 with the next step's, and on side 1 with those of the step before
         F.transform(upto(F.col("after")), lambda b: F.struct((F.col("step") * 2 + 1).alias("at"), me.alias("first"), b.alias("second"), F.lit(0).alias("side"), F.lit(False).alias("own"))),
         F.transform(upto(F.col("before")), lambda b: F.struct((F.col("step") * 2 - 1).alias("at"), b.alias("first"), me.alias("second"), F.lit(1).alias("side"), F.lit(False).alias("own"))),
     )
-    return dealt.withColumn("t", F.explode(every)).select("class", "doc_id", "h1", "h2", "component", "t.at", "t.first", "t.second", "t.side", "t.own")
+    return dealt.withColumn("t", F.explode(every)).select("component", "class", "n", *columns, "t.at", "t.first", "t.second", "t.side", "t.own")
+
+
+def _grouped(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes that have links, with the component of each."""
+    groups = connected_components(links)
+    return settle(groups.join(classes.withColumnRenamed("class", "node"), "node").withColumnRenamed("node", "class"), "members")
+
+
+def _step(n, s: Settings):
+    """Sizes of one step differ by less than the threshold allows for linked sets."""
+    return F.floor(F.ln(n.cast("double")) / -np.log(s.percent / 100.0)).cast("long")
+
+
+def _touching(classes: DataFrame, s: Settings) -> DataFrame:
+    """Links that connect the classes which share a prefix token and whose sizes may be linked.
+
+    The classes of a token and step are tied to the least of them, which is found by partial
+    aggregation, and neighbouring steps of a token to each other where their sizes come near enough.
+    """
+    first = classes.select("class", "n", F.explode("prefix").alias("token")).withColumn("step", _step(F.col("n"), s))
+    stepped = first.groupBy("token", "step").agg(
+        F.min("class").alias("least"), F.count("*").alias("times"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    order = Window.partitionBy("token").orderBy("step")
+    beside = stepped.select("*", F.lag("least").over(order).alias("before"), F.lag("high").over(order).alias("before_high"))
+    near = F.coalesce(100 * F.col("before_high") >= s.percent * F.col("low"), F.lit(False))
+    tied = settle(beside.withColumn("near", near).where("times > 1 or near"), "tied")
+    inside = first.join(tied.where("times > 1").select("token", "step", "least"), ["token", "step"])
+    return tied.where("near").select(F.col("least").alias("a"), F.col("before").alias("b")).union(
+        inside.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
+    )
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -354,21 +442,19 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", set
         .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )
-    first = classes.select("class", F.explode("prefix").alias("token"))
-    shared = first.groupBy("token").agg(F.min("class").alias("least"), F.count("*").alias("times")).where("times > 1")
-    touching = first.join(shared.select("token", "least"), "token").select(F.col("class").alias("a"), F.col("least").alias("b"))
-    groups = connected_components(touching)
-    members = settle(
-        groups.join(classes.select(F.col("class").alias("node"), "n", "doc_id", *same), "node").withColumnRenamed("node", "class"), "members"
-    )
+    touching = _touching(classes, s)
+    near = _grouped(touching, classes.select("class", "n", "prefix")).withColumn("weight", F.size("prefix"))
+    prefixes = _tasks(near, ["prefix"], s).withColumnRenamed("prefix", "tokens")
+    candidates = settle(prefixes.groupBy(*_TASK).applyInArrow(_joined(s), "a long, b long"), "candidates")
+    members = _grouped(candidates, classes.select("class", "n", "doc_id", *same)).withColumn("weight", F.col("n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(s.wanted)).cast("int").alias("place")
     wanted = np.zeros(s.wanted, dtype=bool)
     wanted[members.select(place).distinct().toArrow()["place"].to_numpy()] = True
     sets = texts.select("doc_id", "text", place).mapInArrow(_gathered(levels, wanted, s), "doc_id long, h1 long, h2 long, tokens binary")
-    tasks = _tasks(members, s)
+    tasks = _tasks(members, ["doc_id", *same], s)
     match = (F.col("s.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("s.h1") == F.col("t.h1")) & (F.col("s.h2") == F.col("t.h2"))
-    loaded = tasks.alias("t").join(sets.alias("s"), match).select("t.component", "t.at", "t.first", "t.second", "t.side", "t.own", "t.class", "s.tokens")
-    links = settle(loaded.groupBy("component", "at", "first", "second").applyInArrow(_joined(s), "a long, b long"), "links")
+    loaded = tasks.alias("t").join(sets.alias("s"), match).select(*(f"t.{c}" for c in _TASK), "t.side", "t.own", "t.class", "t.n", "s.tokens")
+    links = settle(loaded.groupBy(*_TASK).applyInArrow(_joined(s), "a long, b long"), "links")
     joined = connected_components(links)
     named = classes.select("class", "doc_id", *same).join(joined, F.col("class") == F.col("node"), "left")
     named = settle(named.select("doc_id", *same, F.coalesce("component", "class").alias("component")), "named")
