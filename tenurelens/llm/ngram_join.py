@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ class Settings:
     cells: int = 1 << 22
     #: Tokens of all sets of a block; groups beyond it are joined in pairs of blocks.
     block_tokens: int = 1 << 19
+    #: A token counted so often by the sketch is hot, and its classes are tied in parts.
+    hot: int = 100_000
     #: Cells of the map of documents whose sets are needed; others are not shingled again.
     wanted: int = 1 << 22
 
@@ -85,7 +88,7 @@ def _leveled(s: Settings):
     size = s.cells // _parts(s)
 
     def levels(part: int, total: np.ndarray) -> pa.RecordBatch:
-        data = np.minimum(255, np.round(8 * np.log2(total + 1.0))).astype(np.uint8).tobytes()
+        data = _level(total).astype(np.uint8).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["part", "levels"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,24 +404,34 @@ def _step(n, s: Settings):
     return F.floor(F.ln(n.cast("double")) / -np.log(s.percent / 100.0)).cast("long")
 
 
+def _level(count):
+    """Eight steps to a doubling, in one byte."""
+    return np.minimum(255, np.round(8 * np.log2(np.asarray(count) + 1.0)))
+
+
 def _touching(classes: DataFrame, s: Settings) -> DataFrame:
     """Links that connect the classes which share a prefix token and whose sizes may be linked.
 
-    The classes of a token and step are tied to the least of them, which is found by partial
-    aggregation, and neighbouring steps of a token to each other where their sizes come near enough.
+    A token's classes are chained by size, cut where neighbours differ too much. Its level bounds
+    their number, but for hot tokens: their classes are chained within a step of sizes and
+    one of 64 parts, and the first of each part to the next first of the same or the next step.
     """
-    first = classes.select("class", "n", F.explode("prefix").alias("token")).withColumn("step", _step(F.col("n"), s))
-    stepped = first.groupBy("token", "step").agg(
-        F.min("class").alias("least"), F.count("*").alias("times"), F.min("n").alias("low"), F.max("n").alias("high")
-    )
-    order = Window.partitionBy("token").orderBy("step")
-    beside = stepped.select("*", F.lag("least").over(order).alias("before"), F.lag("high").over(order).alias("before_high"))
-    near = F.coalesce(100 * F.col("before_high") >= s.percent * F.col("low"), F.lit(False))
-    tied = settle(beside.withColumn("near", near).where("times > 1 or near"), "tied")
-    inside = first.join(tied.where("times > 1").select("token", "step", "least"), ["token", "step"])
-    return tied.where("near").select(F.col("least").alias("a"), F.col("before").alias("b")).union(
-        inside.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
-    )
+    first = classes.select("class", "n", F.explode("prefix").alias("token"))
+    hot = F.shiftrightunsigned("token", 56) >= int(_level(s.hot))
+
+    def chained(rows: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("n", "class")
+        return rows.withColumn("b", F.lag("class").over(order)).withColumn("smaller", F.lag("n").over(order))
+
+    near = 100 * F.col("smaller") >= s.percent * F.col("n")
+    cold = chained(first.where(~hot), "token").where(near)
+    parts = first.where(hot).withColumns({"step": _step(F.col("n"), s), "part": F.pmod("class", F.lit(64))})
+    parts = chained(parts, "token", "step", "part")
+    heads = parts.where(F.col("b").isNull()).select("token", "class", "step")
+    order = Window.partitionBy("token").orderBy("step", "class")
+    heads = heads.withColumns({"b": F.lag("class").over(order), "before": F.lag("step").over(order)})
+    links = [cold, parts.where(F.col("b").isNotNull()), heads.where(F.col("step") - F.col("before") <= 1)]
+    return reduce(DataFrame.union, [x.select(F.col("class").alias("a"), "b") for x in links])
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:

@@ -40,11 +40,11 @@ def edited(rng, n):
     return out
 
 
-@pytest.mark.parametrize(("size", "percent", "tokens"), [(3, 90, 1 << 19), (5, 80, 1 << 19), (3, 90, 200), (2, 70, 150)])
-def test_against_all_pairs(spark, size, percent, tokens):
+@pytest.mark.parametrize(("size", "percent", "tokens", "hot"), [(5, 80, 1 << 19, 10**5), (3, 90, 200, 1), (2, 70, 150, 40)])
+def test_against_all_pairs(spark, size, percent, tokens, hot):
     texts = edited(random.Random(size * percent), 160)
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
-    settings = ngram_join.Settings(size=size, percent=percent, block_tokens=tokens, cells=64)
+    settings = ngram_join.Settings(size=size, percent=percent, block_tokens=tokens, cells=64, hot=hot)
     found = ngram_join.link_documents(documents(spark, rows), settings=settings).orderBy("doc_id").collect()
     sets = [shingles(t, size) for t in texts]
     assert [r.n_shingles for r in found] == [len(s) for s in sets]
