@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenurelens.llm import language_id, line_dedup, mixing, ngram_join, packing, registry
+from tenurelens.llm.rows import numbered
 from tenurelens.sources.workspace import settle
 
 #: Near duplicates share this part of their shingles of five words.
@@ -26,7 +27,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs of 50 words or more are deleted; documents that lose all lines go."""
-    found = line_dedup.dedup_lines(docs, names=("__lines", "__deleted"))
+    found = line_dedup.dedup_lines(numbered(docs), names=("__lines", "__deleted"))
     kept = found.where((F.col("__deleted") == 0) | (F.col("__deleted") < F.col("__lines")))
     length = F.when(F.col("__deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return kept.withColumn("n_chars", length).select(*docs.columns)
@@ -34,7 +35,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates, also by way of others, the document with the least doc_id stays; of equal ids the first row."""
-    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = numbered(docs)
     linked = ngram_join.link_documents(rows, key="__row", settings=NEAR).select("__row", F.col("component_id").alias("__group"))
     ids = settle(rows.select("__row", "doc_id").join(linked, "__row"), "groups")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")

@@ -19,13 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tenurelens.llm.mixing import word_count
+from tenurelens.llm.rows import ROW
 from tenurelens.sources.workspace import settle
 
 MIN_WORDS = 50
 SPACE = " \t\n\x0b\x0c\r"
 #: A line takes the blank lines behind it along, and blank lines at the start of a text.
 LINE_END = r"\n(?=[^\n]*[^\x20\x09-\x0D])"
-ROW, AT = "__row", "__at"
+AT = "__at"
 
 
 def _lines(text: Column) -> Column:
@@ -151,9 +152,10 @@ def dedup_lines(
     at their ends; blank lines go with the line before them. NULL and empty texts have no
     lines and stay as they are. Rows are in the order of the key, NULL last, and of the
     table among equal keys, so of repeated rows the first keeps its lines. A run that
-    overlaps its own earlier copy within a document counts as a copy.
+    overlaps its own earlier copy within a document counts as a copy. A column ``__row`` of unique
+    longs, if there is one, stands for the order of the table.
     """
-    stable = settle(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
+    stable = docs if ROW in docs.columns else settle(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
     gone = repeated_lines(stable, key, text, min_words)
     marks = gone.groupBy(ROW).agg(F.sort_array(F.collect_list(AT)).alias("__gone"))
     out = stable.join(marks, ROW, "left").withColumn("__lines", _lines(F.col(text)))
