@@ -157,8 +157,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.xxhash64(F.col("key").cast("string"), F.lit(s.seed))
     chance = F.least(F.lit(1.0), F.lit(1.5 * s.texts_per_language + 20) / F.col("n"))
+    # one row per label, as the network has one output per label; texts must not be dealt by label
     chosen = (
-        labelled.join(counts, "lang")
+        labelled.join(F.broadcast(counts), "lang")
         .withColumn("place", place)
         .where(F.pmod("place", F.lit(1 << 30)) < chance * (1 << 30))
         .select("lang", "place", "text")
