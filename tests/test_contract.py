@@ -4,14 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from checks import queries as q
+from checks import oracle, queries as q
 from tenurelens.operators import employee_year as ey
 from tenurelens.operators.encode import TargetMeans
 from tenurelens.sources.workspace import settle
 from tests.conftest import SMALL
 from tools.compare import TABLES, kinds, table
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = q.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,10 @@ def test_query_equals_sql(spark, duck, name):
     assert table(df.columns, df.collect()) == table(columns, expected)
 
 
+def test_the_contract_holds_every_query():
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 5
 
