@@ -1,13 +1,15 @@
 """Licence notices in texts, by the Dice coefficient of word bigrams with templates.
 
 Texts are normalised: letters a-z and A-Z alike, digits, and everything beyond ASCII make words, all
-else parts them. A span of words is compared with a template by the sets of their
-bigrams. A span must begin and end with a bigram of the template, and the coefficient bounds
+else parts them. A span of words is compared with a template by their bigrams, repeats
+counted. A span must begin and end with a bigram of the template, and the coefficient bounds
 its size, which leaves few spans of few templates to measure.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,52 +54,79 @@ def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return pairs[at], first
 
 
-def best_span(text: np.ndarray, template: set[int], threshold: float) -> tuple[float, int, int] | None:
-    """(score, first bigram, number of bigrams) of the span most like the template; ties to the first, then the shortest.
+class _Places:
+    """Where a template's bigrams are in a text.
 
-    A span of n bigrams, repeats counted, shares n of them at most, so n is at most (2 - t) / t
-    times the template's. A span that begins or ends with a foreign bigram is less alike than
-    the one without it.
+    A bigram counts in a span as often as in the template at most. A span of n bigrams shares n of
+    them at most, so n is at most (2 - t) / t times the template's. A span that begins or ends with a
+    foreign bigram is less alike than the one without it.
     """
-    hits = [i for i, h in enumerate(text.tolist()) if h in template]
-    most = len(template) * (2 - threshold) / threshold
-    best = None
-    for k, start in enumerate(hits):
-        shared = set()
-        for end in hits[k:]:
-            n = end + 1 - start
-            if n > most:
-                break
-            shared.add(int(text[end]))
-            score = 2 * len(shared) / (n + len(template))
-            if score >= threshold and (best is None or score > best[0]):
-                best = (score, start, n)
-    return best
-
-
-def matches(text: np.ndarray, templates: dict[str, set[int]], threshold: float) -> list[tuple[str, float, int, int]]:
-    """Each template's best span, without those that overlap a better template's."""
-    found = []
-    here = set(text.tolist())
-    for name, template in templates.items():
-        # the span can share no more than the whole text does
-        if 2 * len(here & template) >= threshold * (len(template) + len(here & template)):
-            if span := best_span(text, template, threshold):
-                found.append((name, *span))
-    found.sort(key=lambda m: (-m[1], m[0]))
-    kept: list[tuple[str, float, int, int]] = []
-    for m in found:
+
+    def __init__(self, text: np.ndarray, template: np.ndarray, threshold: float):
+        own, times = np.unique(template, return_counts=True)
+        at = np.minimum(np.searchsorted(own, text), len(own) - 1)
+        self.hits = np.flatnonzero(own[at] == text)
+        which = at[self.hits]
+        self.size, self.threshold = len(template), threshold
+        self.most = int(self.size * (2 - threshold) / threshold + 1e-9)
+        self.shared = int(np.minimum(np.bincount(which, minlength=len(own)), times).sum())
+        # a bigram counts in spans that begin behind the one which is as many repeats before as the template has
+        order = np.argsort(which, kind="stable")
+        before = np.arange(len(order)) - times[which[order]]
+        fits = (before >= 0) & (which[order][np.maximum(before, 0)] == which[order])
+        self.full = np.full(len(order), -1)
+        self.full[order[fits]] = self.hits[order[before[fits]]]
+
+    def best(self, k: int, last: int) -> tuple[float, int, int] | None:
+        """(score, first bigram, number of bigrams) of the best span from hit ``k`` that ends at bigram ``last`` at most; ties to the shortest."""
+        start = int(self.hits[k])
+        stop = np.searchsorted(self.hits, min(start + self.most - 1, last), "right")
+        n = self.hits[k:stop] - start + 1
+        if not len(n):
+            return None
+        score = 2 * np.cumsum(self.full[k:stop] < start) / (n + self.size)
+        i = int(score.argmax())
+        return (float(score[i]), start, int(n[i])) if score[i] >= self.threshold else None
+
+
+def matches(text: np.ndarray, templates: list[tuple[str, np.ndarray]], threshold: float) -> list[tuple[str, float, int, int]]:
+    """Each licence's best span, of all that no better span overlaps; ties by name, then to the first, then the shortest.
+
+    The spans of all templates are taken best first. Only the best span from each place is at
+    hand; where a span taken later on that place's right is in its way, the best one before that follows.
+    """
+    places, heap = [], []
+    for name, template in templates:
+        p = _Places(text, template, threshold)
+        # a span can share no more than the whole text does
+        if p.size and 2 * p.shared >= threshold * (p.size + p.shared):
+            heap += [(-m[0], name, *m[1:], len(places), k) for k in range(len(p.hits)) if (m := p.best(k, len(text)))]
+            places.append(p)
+    heapq.heapify(heap)
+    best: dict[str, tuple[str, float, int, int]] = {}
+    begins: list[int] = []
+    ends: list[int] = []
+    while heap:
+        score, name, start, n, t, k = heapq.heappop(heap)
         # spans of words: n bigrams cover n + 1 words
-        if all(m[2] > k[2] + k[3] or k[2] > m[2] + m[3] for k in kept):
-            kept.append(m)
-    return kept
+        right = bisect_right(begins, start)
+        if right and ends[right - 1] >= start:
+            continue
+        if right < len(begins) and begins[right] <= start + n:
+            if m := places[t].best(k, begins[right] - 2):
+                heapq.heappush(heap, (-m[0], name, *m[1:], t, k))
+            continue
+        begins.insert(right, start)
+        ends.insert(right, start + n)
+        best.setdefault(name, (name, -score, start, n))
+    return list(best.values())
 
 
 def _scan(templates: dict[str, str], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(templates)
         hashes, first = bigrams([templates[n].encode() for n in names])
-        sets = {n: set(hashes[a:b].tolist()) for n, a, b in zip(names, first[:-1], first[1:], strict=True)}
+        known = [(n, hashes[a:b]) for n, a, b in zip(names, first[:-1], first[1:], strict=True)]
         every = np.unique(hashes)
         for batch in batches:
             for some in slices(batch, "text", BATCH_BYTES):
@@ -107,7 +136,7 @@ def _scan(templates: dict[str, str], threshold: float):
                 hit = np.concatenate([[0], np.cumsum(every[at] == pairs)])[begin]
                 docs, rows = some["doc_id"], []
                 for i in np.flatnonzero(hit[1:] > hit[:-1]).tolist():
-                    rows += [(i, *m) for m in matches(pairs[begin[i] : begin[i + 1]], sets, threshold)]
+                    rows += [(i, *m) for m in matches(pairs[begin[i] : begin[i + 1]], known, threshold)]
                 yield pa.RecordBatch.from_arrays(
                     [docs.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] + 1 for r in rows], pa.int64())],
                     ["doc_id", "license", "score", "first_word", "n_words"],
@@ -123,7 +152,7 @@ def scan(
 
     A document has a licence where a span of its words reaches ``threshold``; a span that overlaps one
     that is more like another template doesn't count, so versions of a notice aren't taken for each
-    other. Documents without a licence, NULL and empty texts have no rows; a repeated row has its
+    other; the row has the best span that counts. Documents without a licence, NULL and empty texts have no rows; a repeated row has its
     rows again. Templates of one word have no bigrams and match nothing.
     """
     kind = docs.schema[key].dataType.simpleString()

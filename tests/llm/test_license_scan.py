@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 from tenurelens.llm import license_scan
 from tests.llm.samples import documents, empty
@@ -54,3 +55,38 @@ def test_versions_and_awkward_rows(spark):
     assert found == [("1", "GPL-3.0", 1.0, 2), ("2", "CC-BY-NC-4.0", 1.0, 5), ("2", "MIT", 1.0, 0), ("None", "MIT", 1.0, 0)]
     assert license_scan.scan(empty(spark)).count() == 0
     assert license_scan.scan(documents(spark)).count() == 0
+
+
+def brute_all(text, templates, threshold):
+    """Every span of every template, best first, without those that overlap one taken before; each licence's first."""
+    pairs = list(zip(words(text), words(text)[1:]))
+    found = []
+    for name, t in templates.items():
+        template = Counter(zip(words(t), words(t)[1:]))
+        for a in range(len(pairs)):
+            for b in range(a + 1, len(pairs) + 1):
+                score = 2 * (Counter(pairs[a:b]) & template).total() / (b - a + template.total())
+                if score >= threshold:
+                    found.append((-score, name, a, b - a))
+    kept, best = [], {}
+    for score, name, a, n in sorted(found):
+        if all(a > k + m or k > a + n for k, m in kept):
+            kept.append((a, n))
+            best.setdefault(name, (name, round(-score, 9), a, n + 1))
+    return set(best.values())
+
+
+def test_a_span_elsewhere_survives_the_overlap_of_the_best_one(spark):
+    gpl = ["This work is licensed under the GNU General Public License, version 3.", "The bundled parser is licensed under the GNU General Public License version 2."]
+    found = license_scan.scan(documents(spark, [(1, " ".join(gpl), "en", "s")])).collect()
+    assert sorted((r.license, r.score, r.first_word, r.n_words) for r in found) == [("GPL-2.0", 0.9, 15, 10), ("GPL-3.0", 1.0, 0, 12)]
+
+
+def test_against_all_spans_of_all_templates(spark):
+    rng = random.Random(3)
+    templates = {"x": "a b c a b d", "y": "a b c a b e", "z": "c a b a b a b", "w": "d e a"}
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    found = license_scan.scan(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), templates, 0.6).collect()
+    for i, t in enumerate(texts):
+        own = {(r.license, round(r.score, 9), r.first_word, r.n_words) for r in found if r.doc_id == i}
+        assert own == brute_all(t, templates, 0.6), t
