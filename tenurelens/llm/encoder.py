@@ -3,7 +3,9 @@
 Both kinds of file known here never merge across a lone blank or line feed between words, so
 a text's ids are those of its pieces in order. Words are told apart by 64-bit hashes in
 numpy; only words not yet known go to the tokenizer. A text with other white space, where
-it matters, and any other kind of file is encoded in one go; the ids are the same either way.
+it matters, or with an added token's content, such as ``<|endoftext|>``, which the library
+gives the token's one id, and any other kind of file is encoded in one go. The ids are those
+that a fresh tokenizer gives the whole text.
 """
 
 from __future__ import annotations
@@ -63,7 +65,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        #: Added tokens, found in normalised text or before it; None where there are none.
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -78,10 +82,10 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _whole(self, texts: list[str], raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Which texts have white space that must be seen as a whole."""
+        """Which texts have white space or added tokens that must be seen as a whole."""
         if not (self.attached or self.dropped):
             return np.ones(len(texts), dtype=bool)
-        odd = np.zeros(len(texts), dtype=bool)
+        odd = np.fromiter((self.added is not None and self.added.search(t) is not None for t in texts), dtype=bool, count=len(texts))
         if self.attached:
             blank = (raw == 32) | (raw == 10)
             pair = np.flatnonzero(blank[1:] & blank[:-1])

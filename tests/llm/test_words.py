@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
 
 from tenurelens.llm.encoder import Encoder
 from tenurelens.llm.words import blocks, shingle_runs, words_of
@@ -51,6 +52,19 @@ def test_ids_are_those_of_the_whole_text(name):
     check()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_encoded_as_the_library_does(name):
+    encode, fresh = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    added = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in added
+    texts = ["foo bar", *(x for t in added for x in (t, f"foo {t} bar", f"foo{t}bar\n{t}", f"foo  {t.upper()} bar", t[:-1], f"{t}{t}"))]
+    direct = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in encode(texts, 2)] == [ids + [2] for ids in direct]
+    if name == "byte_bpe_50k.json":
+        assert encode(["foo <|endoftext|> bar"])[0].tolist() == [21943, 220, 50256, 2318]
+
+
 def test_blocks_keep_order_and_lose_nothing():
     parts = list(blocks([1, 2, 50, 3, 4], lambda x: x, 6))
     assert [x for p in parts for x in p] == [1, 2, 50, 3, 4] and [50] in parts
