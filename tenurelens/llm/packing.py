@@ -3,9 +3,10 @@
 Pieces are dealt to partitions and packed there by best-fit decreasing. Dual-feasible
 functions give a lower bound of every partition's number of sequences, and of all
 pieces together. A partition above its bound is packed once more, with best fits of up to
-three pieces at a time. While more sequences are in use than that bound, the pieces of the
-emptier sequences are exchanged between partitions: dealt anew by another hash, and packed
-again. A round that saves nothing ends it.
+three pieces at a time. While more sequences are in use than the bound of all, the pieces of
+sequences with room are exchanged between partitions: dealt anew by another hash, and packed
+again. At first partitions above their own bounds exchange; when a round of those
+saves nothing, all partitions do. A round of all that saves nothing ends it.
 """
 
 from __future__ import annotations
@@ -162,15 +163,14 @@ def _pack(capacity: int, turn: int):
                 "sequence_id": pa.array(turn * _ROUND + part * _PART + bins, pa.int64()),
                 "offset": pa.array(offsets, pa.int64()),
                 "fill": pa.array(fill[bins], pa.int64()),
-                "part": pa.array(np.full(n, part), pa.int64()),
-                "part_bound": pa.array(np.full(n, bound), pa.int64()),
+                "above": pa.array(np.full(n, len(fill) > bound)),
             }
         )
 
     return run
 
 
-_PACKED = "key long, length long, sequence_id long, offset long, fill long, part long, part_bound long"
+_PACKED = "key long, length long, sequence_id long, offset long, fill long, above boolean"
 
 
 def _dealt(pieces: DataFrame, n: int, turn: int, capacity: int, partition_pieces: int) -> DataFrame:
@@ -197,26 +197,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
         counts[row["length"]] = row["count"]
     bound = lower_bound(counts, capacity)
     packed = _dealt(pieces, int(counts.sum()), 0, capacity, partition_pieces)
-    done, used, turn = [], _bins(packed), 1
-    total = used
+    total, turn, every = _bins(packed), 1, False
     while total > bound:
-        # a sequence with more room than those with room have on average gives its pieces up
-        mean = packed.where((F.col("offset") == 0) & (F.col("fill") < capacity)).agg(F.avg("fill")).first()[0]
-        room = F.col("fill") <= (capacity if mean is None else mean)
-        open_ = packed.where(room & (F.col("fill") < capacity))
+        gives = F.col("fill") < capacity
+        if not every:
+            gives = gives & F.col("above")
+        open_ = packed.where(gives)
         moved, before = open_.count(), _bins(open_)
-        if not moved:
+        after = before
+        if moved:
+            again = _dealt(open_, moved, turn, capacity, partition_pieces)
+            after, turn = _bins(again), turn + 1
+        if after < before:
+            packed, total = packed.where(~gives).union(again), total - before + after
+        elif every:
             break
-        again = _dealt(open_, moved, turn, capacity, partition_pieces)
-        after = _bins(again)
-        if after >= before:
-            break
-        done.append(packed.where(~room))
-        packed, total, turn = again, total - before + after, turn + 1
-    out = packed
-    for x in done:
-        out = out.union(x)
-    return out.select("key", "length", "sequence_id", "offset")
+        else:
+            every = True
+    return packed.select("key", "length", "sequence_id", "offset")
 
 
 def _pieces(tokenizer: str, end: int, capacity: int):

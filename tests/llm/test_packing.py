@@ -61,6 +61,17 @@ def test_exchange_between_partitions_saves_sequences(spark):
     assert together.select("sequence_id").distinct().count() < packing._bins(apart)
 
 
+def test_full_partitions_exchange_too_while_the_whole_is_above_its_bound(spark):
+    keys = spark.range(200).selectExpr("id", *(f"pmod(xxhash64(id, {turn}), 2L) as p{turn}" for turn in (0, 1)))
+    at = {(r.p0, r.p1): r.id for r in keys.collect()}
+    # dealt as {600, 400} and {624, 424}, then as {600, 424} and {624, 400}
+    rows = [(at[0, 0], 600), (at[0, 1], 400), (at[1, 1], 624), (at[1, 0], 424)]
+    pieces = spark.createDataFrame(rows, "key long, length long")
+    assert packing._bins(packing._dealt(pieces, 4, 0, 1024, 2)) == 3
+    packed = packing.pack(pieces, partition_pieces=2).collect()
+    assert len({r.sequence_id for r in packed}) == 2 and {(r.key, r.length) for r in packed} == set(rows)
+
+
 def test_awkward_rows_round_trip(spark):
     docs = documents(spark)
     packed = packing.pack_documents(docs, FILE)
