@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_right
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,36 @@ TEMPLATES = {
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
 }
 
+_FSF = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation"
+_LATER = _FSF + ", either version {} of the License, or (at your option) any later version."
+_GPL, _LGPL, _AGPL = "General Public License", "Lesser General Public License", "Affero General Public License"
+
+#: Further notices, as they stand at the head of files.
+NOTICES = [
+    *(("GPL-" + v, _LATER.format(_GPL, v[0])) for v in ("1.0", "2.0", "3.0")),
+    ("LGPL-2.0", _LATER.format("Library General Public License", "2")),
+    ("LGPL-2.1", _LATER.format(_LGPL, "2.1")),
+    ("LGPL-3.0", _LATER.format(_LGPL, "3")),
+    ("AGPL-3.0", _LATER.format(_AGPL, "3")),
+    *(("GPL-" + v, _FSF.format(f"{_GPL} version {v[0]}")) for v in ("2.0", "3.0")),
+    *(("GPL-" + v, _FSF.format(_GPL) + f", version {v[0]}.") for v in ("2.0", "3.0")),
+    ("LGPL-2.1", _FSF.format(_LGPL) + ", version 2.1."),
+    ("LGPL-3.0", _FSF.format(_LGPL) + ", version 3."),
+    ("AGPL-3.0", _FSF.format(_AGPL) + ", version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+]
+
+
+def standard_templates() -> list[tuple[str, str]]:
+    """(licence, wording) of all notices, and of the full texts in ``licences``."""
+    full = sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in resources.files("tenurelens.llm").joinpath("licences").iterdir() if f.name.endswith(".txt"))
+    return [*TEMPLATES.items(), *NOTICES, *full]
+
+
 #: Bytes of words stay, A-Z in lower case; all others become blanks.
 _NORMAL = LOWER.copy()
 _NORMAL[[b for b in range(128) if not chr(b).isalnum()]] = 32
@@ -97,9 +128,11 @@ def matches(text: np.ndarray, templates: list[tuple[str, np.ndarray]], threshold
     """
     places, heap = [], []
     for name, template in templates:
+        if not len(template):
+            continue
         p = _Places(text, template, threshold)
         # a span can share no more than the whole text does
-        if p.size and 2 * p.shared >= threshold * (p.size + p.shared):
+        if 2 * p.shared >= threshold * (p.size + p.shared):
             heap += [(-m[0], name, *m[1:], len(places), k) for k in range(len(p.hits)) if (m := p.best(k, len(text)))]
             places.append(p)
     heapq.heapify(heap)
@@ -122,21 +155,29 @@ def matches(text: np.ndarray, templates: list[tuple[str, np.ndarray]], threshold
     return list(best.values())
 
 
-def _scan(templates: dict[str, str], threshold: float):
+def _scan(templates: list[tuple[str, str]], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = list(templates)
-        hashes, first = bigrams([templates[n].encode() for n in names])
-        known = [(n, hashes[a:b]) for n, a, b in zip(names, first[:-1], first[1:], strict=True)]
-        every = np.unique(hashes)
+        hashes, first = bigrams([t.encode() for _, t in templates])
+        known = [(n, hashes[a:b]) for (n, _), a, b in zip(templates, first[:-1], first[1:], strict=True)]
+        every, which = np.unique(hashes, return_inverse=True)
+        # how often each bigram is in each template
+        times = np.zeros((len(every), len(known)), np.int32)
+        np.add.at(times, (which, np.repeat(np.arange(len(known)), np.diff(first))), 1)
+        need = np.diff(first) * threshold / (2 - threshold) - 1e-6
         for batch in batches:
             for some in slices(batch, "text", BATCH_BYTES):
                 texts = [t or b"" for t in some["text"].cast(pa.binary()).to_pylist()]
                 pairs, begin = bigrams(texts)
                 at = np.minimum(np.searchsorted(every, pairs), len(every) - 1)
-                hit = np.concatenate([[0], np.cumsum(every[at] == pairs)])[begin]
+                found = every[at] == pairs
+                hit = np.concatenate([[0], np.cumsum(found)])[begin]
                 docs, rows = some["doc_id"], []
                 for i in np.flatnonzero(hit[1:] > hit[:-1]).tolist():
-                    rows += [(i, *m) for m in matches(pairs[begin[i] : begin[i + 1]], known, threshold)]
+                    text = slice(begin[i], begin[i + 1])
+                    own, n = np.unique(at[text][found[text]], return_counts=True)
+                    likely = np.flatnonzero(np.minimum(times[own], n[:, None]).sum(axis=0) >= need).tolist()
+                    if likely:
+                        rows += [(i, *m) for m in matches(pairs[text], [known[t] for t in likely], threshold)]
                 yield pa.RecordBatch.from_arrays(
                     [docs.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] + 1 for r in rows], pa.int64())],
                     ["doc_id", "license", "score", "first_word", "n_words"],
@@ -157,7 +198,7 @@ def scan(
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    found = rows.mapInArrow(_scan(templates or TEMPLATES, threshold), f"doc_id {kind}, license string, score double, first_word long, n_words long")
+    found = rows.mapInArrow(_scan(list(templates.items()) if templates else standard_templates(), threshold), f"doc_id {kind}, license string, score double, first_word long, n_words long")
     return found.withColumnRenamed("doc_id", key)
 
 

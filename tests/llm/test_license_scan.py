@@ -84,9 +84,20 @@ def test_a_span_elsewhere_survives_the_overlap_of_the_best_one(spark):
 
 def test_against_all_spans_of_all_templates(spark):
     rng = random.Random(3)
-    templates = {"x": "a b c a b d", "y": "a b c a b e", "z": "c a b a b a b", "w": "d e a"}
+    templates = {"x": "a b c a b d", "y": "a b c a b e", "z": "c a b a b a b", "w": "d e a", "v": "a"}
     texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40))) for _ in range(200)]
     found = license_scan.scan(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), templates, 0.6).collect()
     for i, t in enumerate(texts):
         own = {(r.license, round(r.score, 9), r.first_word, r.n_words) for r in found if r.doc_id == i}
         assert own == brute_all(t, templates, 0.6), t
+
+
+def test_standard_notices_and_full_texts(spark):
+    gpl = "This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by\n# the Free Software Foundation, either version {} of the License, or (at your option) any later version.\n# Foo is distributed in the hope that it will be useful"
+    notices = [("GPL-3.0", gpl.format("General Public License", "3")), ("GPL-2.0", gpl.format("General Public License", "2")), ("LGPL-2.1", gpl.format("Lesser General Public License", "2.1")), ("AGPL-3.0", gpl.format("Affero General Public License", "3"))]
+    full = [(n, t) for n, t in license_scan.standard_templates() if len(words(t)) > 100]
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Apache-2.0", "BSD-3-Clause", "ISC", "Unlicense", "EPL-2.0", "MIT"} <= {n for n, _ in full}
+    cases = [*notices, *((n, "Copyright 2020 A. Person " + " ".join(w if i % 97 else "other" for i, w in enumerate(words(t), 1))) for n, t in full)]
+    found = license_scan.scan(documents(spark, [(i, t, "en", "s") for i, (_, t) in enumerate(cases)])).collect()
+    aside = {"MIT-permission", "BSD-conditions"}
+    assert {i: {r.license for r in found if r.doc_id == i} - aside for i in range(len(cases))} == {i: {n} for i, (n, _) in enumerate(cases)}
