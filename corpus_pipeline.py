@@ -19,8 +19,10 @@ NEAR = ngram_join.Settings(size=5, percent=80)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; NULL texts and texts without a letter go."""
+    """Documents whose language can be told; NULL texts and texts without a letter go, and only these where no label is there to learn from."""
     network = language_id.fit(docs)
+    if network is None:
+        return language_id.with_letters(docs)
     found = language_id.predict(docs, network, names=("__language", "__score"))
     return found.where(F.col("__language") != language_id.UNKNOWN).select(*docs.columns)
 

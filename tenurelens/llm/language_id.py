@@ -216,6 +216,16 @@ def predict(
     return docs.mapInArrow(_predict(network, settings.window, names), schema)
 
 
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose column ``text`` has a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in batch["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of ``docs`` (doc_id, text, lang).
 

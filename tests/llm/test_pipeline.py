@@ -50,6 +50,13 @@ def test_stages_take_effect(spark):
     assert seen[3] <= clean and seen[4] == seen[3]
 
 
+def test_without_labels_only_texts_without_letters_go(spark):
+    rows = [(1, "a b c", None, "s"), (1, "a b c", None, "s"), (2, None, None, "s"), (3, "12 34 !", None, None), (4, "é", None, "s"), (None, "x", None, "s")]
+    docs = documents(spark, rows, extra=False)
+    kept = corpus_pipeline.known_language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["a b c", "a b c", "x", "é"]
+
+
 def test_stages_bear_awkward_rows_and_empty_tables(spark):
     for docs in (documents(spark), empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
