@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenurelens.llm import archives, language_id, license_scan, line_dedup, mixing, neighbours, ngram_join, packing, token_index, vector_dedup
+from tenurelens.llm import archives, language_id, license_scan, line_dedup, mixing, neighbours, ngram_join, packing, token_counts, token_index, vector_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_neighbours": neighbours.query,
     "op9_vector_dedup": vector_dedup.query,
     "op10_mixing": mixing.query,
+    "op11_token_counts": token_counts.query,
 }
 
 ORACLES = {
