@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenurelens.llm import archives, language_id, license_scan, line_dedup, mixing, neighbours, ngram_join, packing, spelling, token_counts, token_index, vector_dedup
+from tenurelens.llm import archives, language_id, license_scan, line_dedup, merkle, mixing, neighbours, ngram_join, packing, spelling, token_counts, token_index, vector_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.query,
     "op11_token_counts": token_counts.query,
     "op12_spelling_variants": spelling.query,
+    "op13_merkle_manifest": merkle.query,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op9_vector_dedup": vector_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
     "op12_spelling_variants": spelling.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }

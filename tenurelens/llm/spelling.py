@@ -260,10 +260,10 @@ with runs as (
     case when form_n >= 10 * v.n then form_n end as form_n
   from v left join best on v.word = best.word
 ), recursive_paths as (
-  with recursive paths(word, at) as (
+  with recursive paths(word, reached) as (
     select word, word from formed
-    union all select paths.word, formed.form from paths join formed on paths.at = formed.word where formed.form is not null
-  ) select paths.word, paths.at as root from paths join formed on paths.at = formed.word where formed.form is null
+    union all select paths.word, formed.form from paths join formed on paths.reached = formed.word where formed.form is not null
+  ) select paths.word, paths.reached as root from paths join formed on paths.reached = formed.word where formed.form is null
 )
 select formed.word, form, root, n, n_near, form_n from formed join recursive_paths using (word)
 """
