@@ -341,8 +341,8 @@ def _sql_fold(name: str, source: str, levels: str, count: int) -> str:
         own = f"(p.i % {FAN})::int"
         before, after = f"array_to_string(hs[1:{own}], '')", f"array_to_string(hs[{own} + 2:], '')"
         parts.append(
-            f"{name}{k} as (select p.* replace (p.i // {FAN} as i, case when n > 1 then sha256({before} || folded || {after}) else folded end as folded, "
-            f"case when n > 1 then proof || {before} || {after} else proof end as proof) from {source} p "
+            f"{name}{k} as (select p.* replace (p.i // {FAN} as i, case when r.n > 1 then sha256({before} || folded || {after}) else folded end as folded, "
+            f"case when r.n > 1 then proof || {before} || {after} else proof end as proof) from {source} p "
             f"join {levels}_run{k} r on p.tree = r.tree and p.i // {FAN} = r.run)"
         )
         source = f"{name}{k}"
