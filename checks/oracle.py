@@ -198,6 +198,13 @@ CTES = {
     "last_pp": """
     select FISCAL_YEAR, EMPLOYEE_ID, DATE_OF_BIRTH, ORIGINAL_HIRE_DATE, max(PAYROLL_SEQUENCE) as MAX_PP
     from checks where CHECK_TYPE = 'Regular' group by all""",
+    "people": "select EMPLOYEE_ID, MAX_PP, count(*) as people from last_pp group by all",
+    "multiplied": f"""
+    select *, panel_rows * panel_rows * rates as pension_rows from (
+      select *, people * snapshots * units * classes as panel_rows from people join (
+        select EMPLOYEE_ID, PAYROLL_SEQUENCE as MAX_PP, count(distinct row({SNAPSHOT})) as snapshots,
+          count(distinct row(MOU)) as units, count(distinct row(JOB_CLASS)) as classes, count(distinct row(BIWEEKLY_RATE)) as rates
+        from checks group by all) using (EMPLOYEE_ID, MAX_PP))""",
     "dated": f"""
     select FISCAL_YEAR, EMPLOYEE_ID,
       make_date(1900 + year({DAY.format('DATE_OF_BIRTH')}) % 100, month({DAY.format('DATE_OF_BIRTH')}),
@@ -318,6 +325,7 @@ ROUNDED = {
     "target_mean_fallback": ["jclass_persent_fallback"],
     "score_unseen": ["jclass_persent"],
     "train_frame": [*STATS, "jclass_persent"],
+    "train_frame_strict": [*STATS, "jclass_persent"],
     "score_frame": [*STATS, "jclass_persent"],
 }
 FAN_OUT_TWINS = [
@@ -329,6 +337,9 @@ FAN_OUT_TWINS = [
     "target_means_all",
     "impute_train",
     "union_score_frame",
+    "snapshot_counts",
+    "snapshot_report",
+    "snapshot_refused",
 ]
 ROUNDED |= {f"{name}_fanout": ROUNDED[name] for name in FAN_OUT_TWINS if name in ROUNDED}
 
@@ -504,6 +515,19 @@ def _plain(fan_out: bool) -> dict[str, str]:
             "eligible",
             f"select {ID}, {', '.join(two_keys)} from ({with_means('eligible', 'eligible', two_keys)})",
         ),
+        "snapshot_counts": on("multiplied"),
+        "snapshot_report": on(
+            "multiplied",
+            "cast(sum(people) as bigint) as employee_years, count(*) filter (pension_rows > 1) as ambiguous, "
+            "cast(sum(panel_rows) as bigint) as snapshot_rows, cast(sum(pension_rows) as bigint) as pension_rows, "
+            "sum(pension_rows)::double / sum(people)::double as factor",
+        ),
+        "snapshot_refused": on("multiplied", where="where pension_rows > 1"),
+        "snapshot_strict": upto(
+            "checks",
+            f"select {ID}, MAX_PP, {SNAPSHOT}, MOU, JOB_CLASS, BIWEEKLY_RATE from last_pp "
+            f"join {at_last(SNAPSHOT + ', MOU, JOB_CLASS, BIWEEKLY_RATE')} s on EMPLOYEE_ID = id_ and MAX_PP = seq_",
+        ),
         "agg_last_period": on("last_pp"),
         "agg_salary_summary": on("salaries"),
         "agg_mean_of_means": on("fallback"),
@@ -615,7 +639,7 @@ def _plain(fan_out: bool) -> dict[str, str]:
             "labelled", f"{ID}, retire, case retire when 1 then 5 else 1 end::double as weight"
         ),
     }
-    sql["train_frame"] = upto("train_base", with_means("train_base", "train_base"))
+    sql["train_frame"] = sql["train_frame_strict"] = upto("train_base", with_means("train_base", "train_base"))
     sql["score_frame"] = upto("score_base", seen("score_base", "train_base"))
     return sql
 

@@ -15,7 +15,7 @@ from tenurelens.config import PolicyConfig
 from tenurelens.functions import dates
 from tenurelens.functions.nullsafe import in_list
 from tenurelens.operators import eligibility as el, employee_year as ey, encode, forest
-from tenurelens.operators import salary, score_frame as sf, steps
+from tenurelens.operators import salary, score_frame as sf, snapshots, steps
 from tenurelens.operators.profile import profile
 from tenurelens.plans import frames, modelling
 from tenurelens.plans.history import History, build_history, panel_rows
@@ -74,7 +74,7 @@ def aged(spark: SparkSession, d: str) -> DataFrame:
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """Labelled panel with the last-period attributes, as the history builds it."""
     rows = checks(spark, d)
-    panel, _ = panel_rows(rows, settle(ey.spells(rows, CFG), "spells"), CFG)
+    panel, *_ = panel_rows(rows, settle(ey.spells(rows, CFG), "spells"), CFG)
     return ey.with_label(ey.with_ages(panel, CFG), CFG).drop("single")
 
 
@@ -104,8 +104,8 @@ def fallback(spark: SparkSession, d: str) -> Lookup:
     return settle_lookup(salary.fallback(salaries(spark, d), CFG), "fallback")
 
 
-def history(spark: SparkSession, d: str) -> History:
-    return build_history(facts(spark, d), trade.fiscal_calendar(spark, d), trade.job_steps(spark, d), CFG)
+def history(spark: SparkSession, d: str, cfg: PolicyConfig = CFG) -> History:
+    return build_history(facts(spark, d), trade.fiscal_calendar(spark, d), trade.job_steps(spark, d), cfg)
 
 
 def both_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -226,6 +226,38 @@ def join_target_means(names: Sequence[str]) -> Query:
     return run
 
 
+# -- what the joins multiply ---------------------------------------------------
+
+STRICT = replace(CFG, snapshot_mode=snapshots.STRICT)
+
+
+def snapshot_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Attribute rows of every employee's last periods, and rows after the joins."""
+    rows = checks(spark, d)
+    return snapshots.multiplicities(ey.last_period(rows, CFG), rows)
+
+
+def snapshot_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the history, which counts before it joins."""
+    return history(spark, d).report.frame(spark)
+
+
+def snapshot_refused(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that strict mode refuses."""
+    return snapshot_counts(spark, d).where(snapshots.multiplied())
+
+
+def snapshot_strict(spark: SparkSession, d: str) -> DataFrame:
+    """The panel with its attributes, every employee-year by one row or none at all."""
+    rows = checks(spark, d)
+    panel, *_ = panel_rows(rows, settle(ey.spells(rows, STRICT), "spells"), STRICT)
+    return panel.select(*ID, "MAX_PP", *schema.SNAPSHOT, "MOU", "JOB_CLASS", "BIWEEKLY_RATE")
+
+
+def train_frame_strict(spark: SparkSession, d: str) -> DataFrame:
+    return frames.train_frame(history(spark, d, STRICT), STRICT).frame
+
+
 # -- aggregations -------------------------------------------------------------
 
 
@@ -556,6 +588,12 @@ def _plain() -> dict[str, Query]:
         "join_fallback_salary": join_fallback_salary,
         "join_target_means_1": join_target_means(one_key),
         "join_target_means_2": join_target_means(two_keys),
+        # what the joins multiply
+        "snapshot_counts": snapshot_counts,
+        "snapshot_report": snapshot_report,
+        "snapshot_refused": snapshot_refused,
+        "snapshot_strict": snapshot_strict,
+        "train_frame_strict": train_frame_strict,
         # aggregations
         "agg_last_period": lambda s, d: ey.last_period(checks(s, d), CFG),
         "agg_salary_summary": salaries,

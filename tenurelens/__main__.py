@@ -6,7 +6,9 @@ Inputs are CSV files with a header, or parquet where the path ends in .parquet.
 ``DIR`` receives train, score, predictions, confusion, importances and total as
 parquet, and the predictions of the coming year as CSV. ``--frames DIR`` starts from the
 train and score frames of an earlier run instead of payroll. ``--tune`` also writes
-the whole search, all points of all stages for each beta.
+the whole search, all points of all stages for each beta. ``--strict`` refuses payroll with several
+attribute rows in an employee's last period, ``--fan-out-limit`` payroll that they multiply too far;
+``snapshot_report`` says how far.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tenurelens.config import PolicyConfig
-from tenurelens.operators import forest
+from tenurelens.operators import forest, snapshots
 from tenurelens.plans import frames, modelling
 from tenurelens.plans.history import build_history
 from tenurelens.sources import io, schema
@@ -37,6 +39,7 @@ def run(spark: SparkSession, payroll: str, calendar: str, steps: str, out: str,
         _read(spark, steps, schema.JOB_STEPS),
         cfg,
     )
+    io.write_parquet(history.report.frame(spark), f"{out}/snapshot_report")
     fitted = frames.train_frame(history, cfg)
     train = settle(fitted.frame, "train")
     score = settle(frames.score_frame(history, fitted.means, cfg), "score")
@@ -69,12 +72,19 @@ def main(argv: Sequence[str] | None = None) -> None:
         parser.add_argument(f"--{name}")
     parser.add_argument("--out", required=True)
     parser.add_argument("--tune", action="store_true")
+    parser.add_argument("--strict", action="store_true")
+    parser.add_argument("--fan-out-limit", type=float)
     parser.add_argument("--last-fiscal-year", type=int, default=PolicyConfig.last_fiscal_year)
     args = parser.parse_args(argv)
     if not args.frames and not (args.payroll and args.calendar and args.steps):
         parser.error("give --payroll, --calendar and --steps, or --frames")
     spark = SparkSession.builder.appName("tenurelens").getOrCreate()
-    cfg = replace(PolicyConfig(), last_fiscal_year=args.last_fiscal_year)
+    cfg = replace(
+        PolicyConfig(),
+        last_fiscal_year=args.last_fiscal_year,
+        snapshot_mode=snapshots.STRICT if args.strict else snapshots.LITERAL,
+        fan_out_limit=args.fan_out_limit,
+    )
     if args.frames:
         train, score = (spark.read.parquet(f"{args.frames}/{name}") for name in ("train", "score"))
         model(spark, train, score, args.out, cfg, args.tune)

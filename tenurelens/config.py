@@ -72,6 +72,11 @@ class PolicyConfig:
         ("MARITAL_STATUS", ("",), "Unknown"),
     )
 
+    # several attribute rows in a last period: "literal" multiplies as the joins do, "strict"
+    # refuses; a limit refuses more rows to an employee-year in literal mode, too
+    snapshot_mode: str = "literal"
+    fan_out_limit: float | None = None
+
     # sums run in fixed point, finer than amounts of money and hours need, so that a
     # result does not depend on the order in which tasks add up: decimals of pay and
     # hours, of their group means, of shares

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,8 +11,9 @@ from tenurelens.config import PolicyConfig
 from tenurelens.functions.dates import birth_date, hire_date, next_year_start, parse_dmy, whole_years
 from tenurelens.functions.nullsafe import fixed_parts, in_list, known, strict_max
 from tenurelens.operators.joins import lookup_join, null_safe_join
+from tenurelens.operators.snapshots import SnapshotReport, accept, measure
 from tenurelens.sources.schema import PANEL_KEYS, SNAPSHOT
-from tenurelens.sources.workspace import Lookup, settle
+from tenurelens.sources.workspace import Lookup, settle, settle_observed
 
 LAST_PERIOD = ["EMPLOYEE_ID", ("MAX_PP", "PAYROLL_SEQUENCE")]
 
@@ -94,9 +94,11 @@ class SnapshotPanel:
     ``single`` rows have one attribute row at ``MAX_PP`` and carry its rate.
     ``multiple`` rows come from the joins; their rates stay in ``rates`` because
     a row may meet several. Both are None when no such employee-year exists.
+    ``report`` says what the joins multiply.
     """
 
     single: DataFrame
+    report: SnapshotReport
     multiple: DataFrame | None = None
     rates: DataFrame | None = None
 
@@ -148,21 +150,29 @@ def snapshot_panel(
 
     ``spelled`` holds the written spells of ``checks``. Employee-years with one
     attribute row need no join; the others are joined to their own spells. Only
-    employee-years with two birth or hire dates go back to the checks.
+    employee-years with two birth or hire dates go back to the checks. How far the
+    joins will multiply is counted first; ``cfg.snapshot_mode`` decides what is refused.
     """
-    panel = settle(one_pass_panel(spelled), "panel")
     clean = F.col("one_state") & F.col("one_person")
-    disputed = settle(overruled(spelled, panel.filter(clean)), "disputed")
+    panel, seen = settle_observed(
+        one_pass_panel(spelled),
+        "panel",
+        clean=F.count_if(clean),
+        severals=F.count_if(F.col("one_person") & ~F.col("one_state")),
+        twofolds=F.count_if(~F.col("one_person")),
+    )
+    disputed, found = settle_observed(overruled(spelled, panel.filter(clean)), "disputed", rows=F.count(F.lit(1)))
     done = panel.filter(clean)
     several = panel.filter("one_person and not one_state")
     twofold = panel.filter("not one_person")
-    disputes, severals, twofolds = _sizes(disputed, several, twofold)
+    disputes, twofolds = found["rows"], seen["twofolds"]
     if disputes:
         several = several.unionByName(null_safe_join(done, disputed, YEAR, "left_semi"))
         done = null_safe_join(done, disputed, YEAR, "left_anti")
     done = done.drop("one_state", "one_person")
-    if disputes + severals + twofolds == 0:
-        return SnapshotPanel(done)
+    single = seen["clean"] - disputes
+    if disputes + seen["severals"] + twofolds == 0:
+        return SnapshotPanel(done, SnapshotReport(single, 0, single, single))
 
     rows = several.select(*YEAR, *PERSON, "MAX_PP")
     at_last = _spelled_at_last(spelled, rows)
@@ -172,15 +182,13 @@ def snapshot_panel(
         rows = rows.unionByName(again)
         at_last = at_last.unionByName(_checks_at_last(checks, again))
     at_last = settle(at_last, "open_periods")
+    report, ambiguous = measure(rows, at_last, single)
+    accept(report, ambiguous, cfg)
+    if not report.ambiguous:
+        return SnapshotPanel(done.unionByName(attach_last_period(rows, at_last, STATE, how="inner")), report)
     for columns in (SNAPSHOT, ["MOU"], ["JOB_CLASS"]):
         rows = attach_last_period(rows, at_last, columns, how="inner")
-    return SnapshotPanel(done, rows, snapshot(at_last, ["BIWEEKLY_RATE"]))
-
-
-def _sizes(*frames: DataFrame) -> list[int]:
-    """Row counts of several frames over written tables, in one job."""
-    counts = [f.agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.lit(i)) for i, f in enumerate(frames)]
-    return [r["n"] for r in sorted(reduce(DataFrame.unionByName, counts).collect(), key=lambda r: r["i"])]
+    return SnapshotPanel(done, report, rows, snapshot(at_last, ["BIWEEKLY_RATE"]))
 
 
 def _spelled_at_last(spelled: DataFrame, rows: DataFrame) -> DataFrame:

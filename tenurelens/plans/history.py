@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tenurelens.config import PolicyConfig
 from tenurelens.operators import employee_year as ey, salary, steps
 from tenurelens.operators.joins import lookup_join
+from tenurelens.operators.snapshots import NAMED, STRICT, AmbiguousSnapshots, SnapshotReport
 from tenurelens.sources.io import clean_numbers
 from tenurelens.sources.schema import PANEL
 from tenurelens.sources.workspace import Lookup, settle, settle_lookup
@@ -19,12 +20,14 @@ class History:
     """What the training and the scoring frame share.
 
     ``panel`` is written by fiscal year. Its rows carry ``BIWEEKLY_RATE`` where
-    ``single`` is true; the others find their rates in ``rates``.
+    ``single`` is true; the others find their rates in ``rates``. ``report`` counts what
+    the joins on the last period multiply; step rows are not part of it.
     """
 
     panel: DataFrame
     rates: DataFrame | None
     fallback: Lookup
+    report: SnapshotReport
 
 
 def build_history(
@@ -34,8 +37,8 @@ def build_history(
     ladder = settle_lookup(steps.step_table(job_steps, cfg), "job_steps")
     spelled = settle(ey.spells(checks, cfg), "spells")
     salaries = salary.summary_of_spells(spelled, cfg)
-    rows, rates = panel_rows(checks, spelled, cfg)
-    rows, rates = _steps_apart(rows, rates, ladder)
+    rows, rates, report = panel_rows(checks, spelled, cfg)
+    rows, rates = _steps_apart(rows, rates, ladder, cfg)
     rows = ey.with_label(ey.with_ages(rows, cfg), cfg)
     rows = salary.attach(rows, salaries).withColumn("whether_supervisor", ey.supervisor_flag(cfg))
     rows = steps.with_steps(rows, ladder, cfg).select(*PANEL, "BIWEEKLY_RATE", "single")
@@ -43,13 +46,14 @@ def build_history(
         settle(rows, "history", partition_by=["FISCAL_YEAR"]),
         rates,
         settle_lookup(salary.fallback(salaries, cfg), "fallback"),
+        report,
     )
 
 
 def panel_rows(
     checks: DataFrame, spelled: DataFrame, cfg: PolicyConfig = PolicyConfig()
-) -> tuple[DataFrame, DataFrame | None]:
-    """Employee-years with their last-period attributes, and the rates of those with several rows there."""
+) -> tuple[DataFrame, DataFrame | None, SnapshotReport]:
+    """Employee-years with their last-period attributes, the rates of those with several rows there, and how far these multiply."""
     unnamed = spelled.filter(F.col("EMPLOYEE_ID").isNull()).agg(F.sum("checks")).first()[0]
     if unnamed:
         raise ValueError(f"{unnamed} checks have no EMPLOYEE_ID")
@@ -60,7 +64,7 @@ def panel_rows(
             {"BIWEEKLY_RATE": F.lit(None).cast("double"), "single": F.lit(False)}
         )
         rows = rows.unionByName(others)
-    return rows, found.rates
+    return rows, found.rates, found.report
 
 
 def _checked(calendar: DataFrame) -> Lookup:
@@ -73,16 +77,21 @@ def _checked(calendar: DataFrame) -> Lookup:
 
 
 def _steps_apart(
-    rows: DataFrame, rates: DataFrame | None, ladder: Lookup
+    rows: DataFrame, rates: DataFrame | None, ladder: Lookup, cfg: PolicyConfig
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows the step table will repeat are no longer ``single``.
 
-    The pension join multiplies them, so their rates move to the rate table.
+    The pension join multiplies them, so their rates move to the rate table. Strict
+    mode refuses such a table.
     """
-    repeated = steps.repeated_jobs(ladder)
-    if repeated.isEmpty():
+    repeated = settle_lookup(steps.repeated_jobs(ladder), "repeated_jobs")
+    if not repeated.rows:
         return rows, rates
-    marked = lookup_join(rows, settle_lookup(repeated, "repeated_jobs"), steps.PANEL_STEP_KEYS)
+    if cfg.snapshot_mode == STRICT:
+        some = repeated.frame.orderBy(*steps.STEP_KEYS).limit(NAMED).collect()
+        named = ", ".join(str(tuple(r[k] for k in steps.STEP_KEYS)) for r in some)
+        raise AmbiguousSnapshots(f"{repeated.rows} jobs have several highest steps: {named}")
+    marked = lookup_join(rows, repeated, steps.PANEL_STEP_KEYS)
     split = F.col("single") & F.col("repeated").isNotNull()
     moved = marked.filter(split).select(
         "EMPLOYEE_ID", F.col("MAX_PP").alias("PAYROLL_SEQUENCE"), "BIWEEKLY_RATE"

@@ -140,7 +140,7 @@ def test_several_last_period_rows_stay(spark, rows):
         {"EMPLOYEE_ID": 3, "DATE_OF_BIRTH": "16-MAR-55"},
     )
     years = ey.with_fiscal_year(checks, settle_lookup(calendar(spark, YEARS), "cal"))
-    panel, _ = panel_rows(years, settle(ey.spells(years), "spells"))
+    panel, *_ = panel_rows(years, settle(ey.spells(years), "spells"))
     assert rows(panel.groupBy("EMPLOYEE_ID").count()) == [(1, 2), (2, 2), (3, 2)]
 
 
