@@ -13,7 +13,7 @@ no key is frequent. Texts are read twice and never move.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,8 +21,8 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tenurelens.llm.encoder import _BEFORE, Encoder
-from tenurelens.llm.words import mix, slices, words_of
+from tenurelens.llm.encoder import Encoder, _spans
+from tenurelens.llm.words import _BYTE_VALUES, _power_tables, mix, slices, words_of
 from tenurelens.llm.worker import kept
 from tenurelens.sources.workspace import settle
 
@@ -30,13 +30,19 @@ BATCH_BYTES = 2_000_000
 #: Pre-tokens sent to all tasks, at most, and the bytes that each of them may have.
 COMMON = 1 << 17
 COMMON_BYTES = 64
-#: Distinct words and their bytes that a task holds before it hands over what it counted.
-HELD = 200_000
-HELD_BYTES = 16 << 20
+#: Distinct words, and bytes of long ones, that a task holds before it hands over what it counted.
+HELD = 500_000
+HELD_BYTES = 32 << 20
 #: Words whose pre-tokens a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Steps of frequency in a power of two.
 STEPS = 8
+#: Bytes of plain letters, A-Z and a-z, and of marks that end a word.
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+#: U+00C0 to U+00FF are this byte and one more; two of them are no letters.
+_LATIN, _NO_LETTERS = 0xC3, (0x97, 0xB7)
 
 
 class Splitter(Encoder):
@@ -57,37 +63,73 @@ class Splitter(Encoder):
         self.normalizer, self.splitter, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
 
     def split(self, text: str) -> tuple[int, list[str]]:
-        """The number of added tokens in ``text``, and its pre-tokens."""
+        """The number of added tokens in ``text``, and its pre-tokens: as in the text, or as the file writes them where it changes texts."""
         parts = self.alone.split(text) if self.alone else [text]
         found = []
         for part in filter(None, parts):
             part = self.normalizer.normalize_str(part) if self.normalizer else part
-            found += [p for p, _ in self.splitter.pre_tokenize_str(part)]
+            found += [part[a:b] if self.attached else p for p, (a, b) in self.splitter.pre_tokenize_str(part)]
         return len(parts) - 1, found
 
     def pieces(self, pretoken: str) -> int:
-        return len(self.model.tokenize(pretoken))
+        written = [p for p, _ in self.splitter.pre_tokenize_str(pretoken)] if self.attached else [pretoken]
+        return sum(len(self.model.tokenize(p)) for p in written)
 
-    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words with the blank before them; of every occurrence its text and its word; the texts to split whole.
+    def spans(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens and words of a slice, and which of them are words; of every
+        occurrence its text and its number among the distinct; the texts to split as a whole.
 
-        Within one slice words are told apart by 64 bits.
+        Letters with marks behind them or not are cut in place: the letters with the blank before
+        them are a pre-token, so are the marks, and so is a line feed. Other words are left to ``split``.
+        Within one slice spans are told apart by 64 bits.
         """
         w = words_of([t.encode("utf-8") for t in texts], table=None)
         odd = self._whole(texts, w.raw, w.texts)
         count = np.diff(w.first)
         use = np.repeat(~odd, count)
         owner = np.repeat(np.arange(len(texts)), count)[use]
-        keys, begins, stops = w.hashes[use], w.begins[use], w.stops[use]
-        state = np.full(len(keys), 2)
-        if self.attached:
-            state = np.where(w.raw[begins - 1] == 32, 0, 1)
-            state[np.isin(begins, w.texts)] = 2
-            keys = mix(keys + state.astype(np.uint64), 9)
+        begins, stops = w.begins[use], w.stops[use]
+        if not self.attached:
+            return self._distinct(w.raw, owner, begins, stops, np.ones(len(begins), bool), odd)
+        blank, feed = w.raw[begins - 1] == 32, w.raw[begins - 1] == 10
+        opens = np.searchsorted(w.texts, begins, "right") - 1
+        first = begins == w.texts[opens] if len(begins) else blank
+        blank, feed = blank & ~first, feed & ~first
+        letters, marks = _counts(_letters(w.raw)), _counts(_MARK[w.raw])
+        inner = letters[stops] - letters[begins]
+        ends = begins + inner
+        plain = (inner > 0) & (letters[ends] - letters[begins] == inner) & (marks[stops] - marks[ends] == stops - ends)
+        tail, lone = plain & (ends < stops), plain & feed
+        return self._distinct(
+            w.raw,
+            np.concatenate([owner[plain], owner[tail], owner[lone], owner[~plain]]),
+            np.concatenate([(begins - blank)[plain], ends[tail], begins[lone] - 1, (begins - (blank | feed))[~plain]]),
+            np.concatenate([ends[plain], stops[tail], begins[lone], stops[~plain]]),
+            np.concatenate([np.zeros(plain.sum() + tail.sum() + lone.sum(), bool), np.ones((~plain).sum(), bool)]),
+            odd,
+        )
+
+    @staticmethod
+    def _distinct(raw, owner, begins, stops, whole, odd):
+        up, down = _power_tables(len(raw) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[raw] * up[: len(raw)])])
+        keys = mix((sums[stops] - sums[begins]) * down[begins] + whole.astype(np.uint64), 9)
         _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        data = w.raw.tobytes()
-        words = [_BEFORE[s] + data[a:b].decode("utf-8") for s, a, b in zip(state[first].tolist(), begins[first].tolist(), stops[first].tolist(), strict=True)]
-        return words, owner, inverse, odd
+        data = raw.tobytes()
+        return [data[a:b] for a, b in zip(begins[first].tolist(), stops[first].tolist(), strict=True)], whole[first], owner, inverse, odd
+
+
+def _counts(flags: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(flags)])
+
+
+def _letters(raw: np.ndarray) -> np.ndarray:
+    """Bytes of A-Z, a-z and the letters from U+00C0 to U+00FF."""
+    letter = _LETTER[raw]
+    lead = np.flatnonzero(raw[:-1] == _LATIN)
+    lead = lead[~np.isin(raw[lead + 1], _NO_LETTERS)]
+    letter[lead] = letter[lead + 1] = True
+    return letter
 
 
 def _splitter(path: str) -> Splitter:
@@ -103,30 +145,33 @@ def _tally(path: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
     def run(batches):
         splitter = _splitter(path)
-        words: Counter[str] = Counter()
-        whole: Counter[str] = Counter()
+        pretokens: defaultdict[bytes, int] = defaultdict(int)
+        words: defaultdict[bytes, int] = defaultdict(int)
         size = 0
 
         def handed_over() -> pa.RecordBatch:
             for word, n in words.items():
-                for pretoken in splitter.split(word)[1]:
-                    whole[pretoken] += n
-            names, times = pa.array(list(whole.keys()), pa.string()), pa.array(list(whole.values()), pa.int64())
-            out = pa.RecordBatch.from_pydict({"pretoken": names, "n": times})
-            words.clear(), whole.clear()
-            return out
+                for pretoken in splitter.split(word.decode("utf-8"))[1]:
+                    pretokens[pretoken.encode("utf-8")] += n
+            names, times = pa.array(list(pretokens.keys()), pa.binary()).cast(pa.string()), pa.array(list(pretokens.values()), pa.int64())
+            words.clear(), pretokens.clear()
+            return pa.RecordBatch.from_pydict({"pretoken": names, "n": times})
 
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
                 texts = _texts(part)
-                found, _, inverse, odd = splitter.words(texts)
-                for word, n in zip(found, np.bincount(inverse, minlength=len(found)).tolist(), strict=True):
-                    size += 0 if word in words else len(word)
-                    words[word] += n
+                found, whole, _, inverse, odd = splitter.spans(texts)
+                for span, is_word, n in zip(found, whole.tolist(), np.bincount(inverse, minlength=len(found)).tolist(), strict=True):
+                    if is_word:
+                        words[span] += n
+                    else:
+                        pretokens[span] += n
+                size += sum(len(span) for span in found if len(span) > COMMON_BYTES)
                 for i in np.flatnonzero(odd).tolist():
                     size += len(texts[i])
-                    whole.update(splitter.split(texts[i])[1])
-                if len(words) + len(whole) > most or size > HELD_BYTES:
+                    for pretoken in splitter.split(texts[i])[1]:
+                        pretokens[pretoken.encode("utf-8")] += 1
+                if len(words) + len(pretokens) > most or size > HELD_BYTES:
                     yield handed_over()
                     size = 0
         yield handed_over()
@@ -155,7 +200,7 @@ def _level(n: Column) -> Column:
     return F.floor(F.log2(n) * STEPS).cast("int")
 
 
-def common(table: DataFrame, most: int = COMMON) -> dict[str, int]:
+def common(table: DataFrame, most: int = COMMON) -> dict[bytes, int]:
     """Pieces of the most frequent pre-tokens: all from some frequency upwards, ``most`` at most."""
     short = table.where(F.octet_length("pretoken") <= COMMON_BYTES).withColumn("level", _level(F.col("n")))
     total, least = 0, None
@@ -167,7 +212,7 @@ def common(table: DataFrame, most: int = COMMON) -> dict[str, int]:
     if least is None:
         return {}
     rows = short.where(F.col("level") >= least).select("pretoken", "pieces").toArrow()
-    return dict(zip(rows["pretoken"].to_pylist(), rows["pieces"].to_pylist(), strict=True))
+    return dict(zip(rows["pretoken"].cast(pa.binary()).to_pylist(), rows["pieces"].to_pylist(), strict=True))
 
 
 def _looked_up(path: str, known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -175,55 +220,61 @@ def _looked_up(path: str, known) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
     def run(batches):
         splitter, table = _splitter(path), known.value
-        remembered: dict[str, tuple[int, list[str]]] = {}
-
-        def look(pretokens: list[str]) -> tuple[int, list[str]]:
-            return sum(table.get(p, 0) for p in pretokens), [p for p in pretokens if p not in table]
+        remembered: dict[bytes, tuple[int, list[bytes]]] = {}
+
+        def look(pretokens: list[str]) -> tuple[int, list[bytes]]:
+            got, left = 0, []
+            for p in pretokens:
+                p = p.encode("utf-8")
+                n = table.get(p)
+                if n is None:
+                    left.append(p)
+                else:
+                    got += n
+            return got, left
 
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
                 texts = _texts(part)
-                words, owner, inverse, odd = splitter.words(texts)
-                pieces, others = np.zeros(len(words), np.int64), {}
-                for i, word in enumerate(words):
+                spans, whole, owner, inverse, odd = splitter.spans(texts)
+                pieces = np.fromiter((table.get(s, -1) for s in spans), dtype=np.int64, count=len(spans))
+                pieces[whole] = 0
+                number = (pieces < 0).astype(np.int64)
+                words = {}
+                for i in np.flatnonzero(whole).tolist():
+                    word = spans[i]
                     seen = remembered.get(word)
                     if seen is None:
-                        seen = remembered[word] = look(splitter.split(word)[1])
-                    pieces[i] = seen[0]
-                    if seen[1]:
-                        others[i] = seen[1]
-                sums = np.zeros(len(texts), np.int64)
-                np.add.at(sums, owner, pieces[inverse])
-                rest: list[Counter[str]] = [Counter() for _ in texts]
-                open_ = np.zeros(len(words), bool)
-                open_[list(others)] = True
-                open_ = open_[inverse]
-                pairs, times = np.unique(owner[open_] * max(len(words), 1) + inverse[open_], return_counts=True)
-                for pair, n in zip(pairs.tolist(), times.tolist(), strict=True):
-                    text, word = divmod(pair, len(words))
-                    for pretoken in others[word]:
-                        rest[text][pretoken] += n
+                        seen = remembered[word] = look(splitter.split(word.decode("utf-8"))[1])
+                    pieces[i], number[i], words[i] = seen[0], len(seen[1]), seen[1]
+                pieces[pieces < 0] = 0
+                others = []
+                for i in np.flatnonzero(number).tolist():
+                    others += words.get(i) or [spans[i]]
+                sums = np.bincount(owner, weights=pieces[inverse], minlength=len(texts)).astype(np.int64)
+                open_ = number[inverse] > 0
+                pairs, times = np.unique(owner[open_] * max(len(spans), 1) + inverse[open_], return_counts=True)
+                text, word = np.divmod(pairs, max(len(spans), 1))
+                at = _spans((np.cumsum(number) - number)[word], number[word])
+                text, times = np.repeat(text, number[word]), np.repeat(times, number[word])
                 for i in np.flatnonzero(odd).tolist():
                     alone, found = splitter.split(texts[i])
                     got, left = look(found)
                     sums[i] = alone + got
-                    rest[i].update(left)
-                yield _with_rest(part["key"], sums, rest)
+                    at = np.concatenate([at, np.arange(len(others), len(others) + len(left))])
+                    text, times = np.concatenate([text, np.full(len(left), i)]), np.concatenate([times, np.ones(len(left), np.int64)])
+                    others += left
+                order = np.argsort(text, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))]).astype(np.int32)
+                rest = pa.array(others, pa.binary()).cast(pa.string()).take(pa.array(at[order]))
+                entries = pa.StructArray.from_arrays([rest, pa.array(times[order])], ["pretoken", "n"])
+                yield pa.RecordBatch.from_arrays([part["key"], pa.array(sums), pa.ListArray.from_arrays(pa.array(ends), entries)], ["key", "pieces", "rest"])
                 if len(remembered) > REMEMBERED:
                     remembered.clear()
 
     return run
 
 
-def _with_rest(key: pa.Array, sums: np.ndarray, rest: list[Counter[str]]) -> pa.RecordBatch:
-    ends = np.cumsum([0, *map(len, rest)])
-    flat = [p for r in rest for p in r]
-    times = [n for r in rest for n in r.values()]
-    entries = pa.StructArray.from_arrays([pa.array(flat, pa.string()), pa.array(times, pa.int64())], ["pretoken", "n"])
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
-    return pa.RecordBatch.from_arrays([key, pa.array(sums), lists], ["key", "pieces", "rest"])
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, n_bytes (UTF-8), n_tokens, over_limit (more tokens than ``limit``).
 
