@@ -292,6 +292,9 @@ CTES = {
 }
 
 
+CTES["scored"] = seen("score_base", "train_base")
+
+
 def _upto(last: str, select: str, fan_out: bool = False) -> str:
     """``select`` over the relations up to ``last`` that it needs."""
     ctes = dict(CTES)
@@ -322,6 +325,8 @@ ROUNDED = {
     "impute_train": STATS,
     "impute_score": STATS,
     "profile_nulls": ["mean"],
+    "profile_payroll": ["mean"],
+    "profile_score_frame": ["min", "mean", "max"],
     "target_mean_fallback": ["jclass_persent_fallback"],
     "score_unseen": ["jclass_persent"],
     "train_frame": [*STATS, "jclass_persent"],
@@ -411,17 +416,44 @@ def all_means(fan_out: bool = False) -> str:
     return _upto("eligible", " union all ".join(parts), fan_out)
 
 
-def profile() -> str:
-    numbers = ["EMPLOYEE_ID", "PAYROLL_SEQUENCE", "SALARY_STEP", "JOB_CLASS", "MOU", "BIWEEKLY_RATE"]
-    numbers += ["HW_TYPE_HOURS", "OT_TYPE_HOURS", "HW_TYPE_PAY", "OT_TYPE_PAY"]
-    return _upto(
-        "facts",
-        " union all ".join(
-            f"select '{c}' as column_name, count(*) as row_count, count(*) - count({c}) as nulls, "
-            f"min({c})::double as min, fsum({c}::double) / count({c}) as mean, max({c})::double as max from facts"
-            for c in numbers
-        ),
-    )
+PAYROLL = (
+    "EMPLOYEE_ID, PAYROLL_SEQUENCE, CHECK_TYPE, DATE_OF_BIRTH, ORIGINAL_HIRE_DATE, FMS_DEPARTMENT_TITLE, JOB_CLASS_TITLE, "
+    "JOB_CLASS, PAY_GRADE, WORK_SCHEDULE, SALARY_STEP, RETIREMENT_PENSION_PLAN, ETHNICITY, GENDER, MARITAL_STATUS, JOB_STATUS, "
+    "SEPARATION_REASON, MOU, BIWEEKLY_RATE, HW_TYPE_HOURS, OT_TYPE_HOURS, HW_TYPE_PAY, OT_TYPE_PAY"
+).split(", ")
+TEXTS = {*SNAPSHOT.split(", "), "CHECK_TYPE", "DATE_OF_BIRTH", "ORIGINAL_HIRE_DATE"} - {"SALARY_STEP"}
+
+
+def profile(source: str, columns: list[str]) -> str:
+    """One row per column: exact counts, extremes and means of numbers, value counts of texts."""
+    parts = []
+    for c in columns:
+        counts = f"'{{}}' as kind, count(*) as row_count, count(*) - count({c}) as nulls"
+        if c in TEXTS:
+            parts.append(
+                f"select '{c}' as column_name, {counts.format('text')}, null::double as min, null::double as mean, null::double as max, "
+                f"count(distinct {c}) as \"distinct\", (select {c} from {source} where {c} is not null group by {c} order by count(*) desc, {c} limit 1) as top, "
+                f"(select count(*) from {source} where {c} is not null group by {c} order by count(*) desc limit 1) as top_count from {source}"
+            )
+            continue
+        kind, v = ("date", f"({c} - date '1970-01-01')::double") if c == "next_fy_startdate" else ("number", f"{c}::double")
+        mean = (
+            f"case when count(*) filter ({v} = 'Infinity'::double) > 0 then 'Infinity'::double "
+            f"else fsum({v}) filter ({v} < 'Infinity'::double) / count({c}) end"
+        )
+        parts.append(
+            f"select '{c}' as column_name, {counts.format(kind)}, min({v}) as min, {mean} as mean, max({v}) as max, "
+            f"null::bigint as \"distinct\", null::varchar as top, null::bigint as top_count from {source}"
+        )
+    return " union all ".join(parts)
+
+
+def quartile_ranks(source: str, columns: list[str]) -> str:
+    known = [c for c in columns if c not in TEXTS]
+    return " union all ".join(f"select '{c}' as column_name, q as quantile, (select count({c}) from {source}) as known, true as within from (values (0.25::double), (0.5::double), (0.75::double)) v(q)" for c in known)
+
+
+SCORED = [*SCORE.split(", "), *MEANS]
 
 
 FIXED = "(select retire, case when age >= 60 then 1 else 0 end as said from labelled)"
@@ -552,7 +584,11 @@ def _plain(fan_out: bool) -> dict[str, str]:
         "distinct_snapshot": upto(
             "facts", f"select distinct EMPLOYEE_ID, PAYROLL_SEQUENCE, {SNAPSHOT} from facts"
         ),
-        "profile_nulls": profile(),
+        "profile_nulls": upto("facts", f"select column_name, row_count, nulls, min, mean, max from ({profile('facts', PAYROLL)})"),
+        "profile_payroll": upto("facts", profile("facts", PAYROLL)),
+        "profile_score_frame": upto("scored", profile("scored", SCORED)),
+        "profile_payroll_ranks": upto("facts", quartile_ranks("facts", PAYROLL)),
+        "profile_score_frame_ranks": upto("scored", quartile_ranks("scored", SCORED)),
         "confusion_matrix": upto(
             "labelled",
             "select retire as label, count(*) filter (said = 0) as predicted_0, "

@@ -15,8 +15,7 @@ from tenurelens.config import PolicyConfig
 from tenurelens.functions import dates
 from tenurelens.functions.nullsafe import in_list
 from tenurelens.operators import eligibility as el, employee_year as ey, encode, forest
-from tenurelens.operators import salary, score_frame as sf, snapshots, steps
-from tenurelens.operators.profile import profile
+from tenurelens.operators import profile, salary, score_frame as sf, snapshots, steps
 from tenurelens.plans import frames, modelling
 from tenurelens.plans.history import History, build_history, panel_rows
 from tenurelens.sources import io, schema
@@ -306,9 +305,27 @@ def target_means_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_nulls(spark: SparkSession, d: str) -> DataFrame:
-    numbers = ["EMPLOYEE_ID", "PAYROLL_SEQUENCE", "SALARY_STEP", "JOB_CLASS", "MOU", "BIWEEKLY_RATE"]
-    numbers += ["HW_TYPE_HOURS", "OT_TYPE_HOURS", "HW_TYPE_PAY", "OT_TYPE_PAY"]
-    return profile(facts(spark, d), numbers)
+    """Missing values, extremes and mean of every payroll column."""
+    return profile.column_summary(facts(spark, d)).select("column_name", "row_count", "nulls", "min", "mean", "max")
+
+
+EXACT = ["column_name", "kind", "row_count", "nulls", "min", "mean", "max", "distinct", "top", "top_count"]
+
+
+def exact_profile(of: Query) -> Query:
+    """All of the summary but its quartiles, which SQL has no sketches for."""
+    return lambda spark, d: profile.column_summary(of(spark, d)).select(*EXACT)
+
+
+def quartile_ranks(of: Query) -> Query:
+    """Whether every quartile's true rank is where the sketch promises it, threefold for a confidence near certainty."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = settle(of(spark, d), "profiled")
+        errors = profile.rank_errors(rows, profile.column_summary(rows))
+        return errors.select("column_name", "quantile", "known", (F.col("rank_error") <= 3 * profile.RANK_ERROR).alias("within"))
+
+    return run
 
 
 def with_fixed_prediction(spark: SparkSession, d: str) -> DataFrame:
@@ -607,6 +624,10 @@ def _plain() -> dict[str, Query]:
         "target_means_all": target_means_all,
         "distinct_snapshot": lambda s, d: ey.snapshot(facts(s, d), schema.SNAPSHOT),
         "profile_nulls": profile_nulls,
+        "profile_payroll": exact_profile(facts),
+        "profile_score_frame": exact_profile(score_frame),
+        "profile_payroll_ranks": quartile_ranks(facts),
+        "profile_score_frame_ranks": quartile_ranks(score_frame),
         "confusion_matrix": confusion_matrix,
         "fbeta": fbeta,
         # expressions
