@@ -292,7 +292,25 @@ CTES = {
 }
 
 
+def key_hash(seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}|' || EMPLOYEE_ID::varchar || '|' || FISCAL_YEAR::varchar), 1, 8))::bigint"
+
+
 CTES["scored"] = seen("score_base", "train_base")
+CTES["train_rows"] = f"select * from train_base where {key_hash(82)} % 100 < 80"
+CTES["folded"] = f"""
+    select EMPLOYEE_ID, FISCAL_YEAR, retire as label,
+      cast((row_number() over (partition by retire order by {key_hash(10)}, EMPLOYEE_ID, FISCAL_YEAR) - 1) % 5 as int) as fold
+    from train_rows"""
+
+# Ranges of the search stages, the first grid key varying slowest.
+POINTS = """
+    select b.beta::double as beta, s.* from (values (0.5), (0.3)) b(beta), lateral (
+      select 1 as stage, i + 1 as point, 100 + 100 * i as trees, 10 as depth, 100 as min_split, 20 as min_leaf, 'sqrt' as max_features from range(9) r(i)
+      union all select 2, d * 8 + s + 1, 100, 3 + 2 * d, 50 + 20 * s, 20, 'sqrt' from range(11) r(d), range(8) q(s)
+      union all select 3, s * 14 + l + 1, 100, case when b.beta = 0.5 then 15 else 3 end, 50 + 10 * s, 10 + 10 * l, 'sqrt' from range(10) r(s), range(14) q(l)
+      union all select 4, f + 1, 100, case when b.beta = 0.5 then 15 else 3 end, case when b.beta = 0.5 then 60 else 130 end,
+        case when b.beta = 0.5 then 10 else 40 end, (2 + 3 * f)::varchar from range(11) r(f)) s"""
 
 
 def _upto(last: str, select: str, fan_out: bool = False) -> str:
@@ -671,6 +689,14 @@ def _plain(fan_out: bool) -> dict[str, str]:
             f"{ID}, ('0x' || substr(md5('82|' || EMPLOYEE_ID::varchar || '|' || FISCAL_YEAR::varchar), 1, 8))::bigint "
             "% 100 < 80 as is_train",
         ),
+        "grid_points": upto(
+            "train_rows",
+            "select *, cast(floor(train_rows / least) as bigint) as most_leaves from (select beta, stage::int as stage, point::int as point, "
+            "trees::int as trees, depth::int as depth, min_split::int as min_split, min_leaf::int as min_leaf, max_features, "
+            f"greatest(min_leaf, ceil(min_split / 2))::int as least, (select count(*) from train_rows) as train_rows from ({POINTS}))",
+        ),
+        "folds": on("folded"),
+        "fold_sizes": upto("folded", "select label, fold, count(*) as n from folded group by all"),
         "class_weight": on(
             "labelled", f"{ID}, retire, case retire when 1 then 5 else 1 end::double as weight"
         ),

@@ -15,7 +15,7 @@ from tenurelens.config import PolicyConfig
 from tenurelens.functions import dates
 from tenurelens.functions.nullsafe import in_list
 from tenurelens.operators import eligibility as el, employee_year as ey, encode, forest
-from tenurelens.operators import profile, salary, score_frame as sf, snapshots, steps
+from tenurelens.operators import profile, salary, score_frame as sf, search, snapshots, steps
 from tenurelens.plans import frames, modelling
 from tenurelens.plans.history import History, build_history, panel_rows
 from tenurelens.sources import io, schema
@@ -115,8 +115,7 @@ def both_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
     frame = frames.train_frame(history(spark, d), CFG).frame
-    rows = modelling.model_rows(frame, "model_rows", CFG).filter("is_train")
-    return forest.stable_layout(rows)
+    return modelling.model_rows(frame, "model_rows", CFG).filter("is_train")
 
 
 # -- sources and sinks --------------------------------------------------------
@@ -519,17 +518,36 @@ def agg_predicted_total(spark: SparkSession, d: str) -> DataFrame:
     return modelling.predicted_total(rf_score(spark, d))
 
 
-def grid_search(spark: SparkSession, d: str) -> DataFrame:
+def grid_points(spark: SparkSession, d: str) -> DataFrame:
+    """Every point of the whole search, with the most leaves that its bound allows a tree over the training rows."""
+    rows = training_rows(spark, d).agg(F.count(F.lit(1)).alias("train_rows"))
+    points = search.Grid.full(CFG.betas).points(spark).select(*search.POINT, "least", rows.scalar().alias("train_rows"))
+    return points.withColumn("most_leaves", F.floor(F.col("train_rows") / F.col("least")))
+
+
+def folds(spark: SparkSession, d: str) -> DataFrame:
+    found = search.with_folds(training_rows(spark, d), CFG)
+    return found.select(*ID, F.col("label").cast("int").alias("label"), "fold")
+
+
+def fold_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return folds(spark, d).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def searched(spark: SparkSession, d: str) -> search.Search:
     """The last stage of the search for beta 0.3, whole: every point, all trees and folds."""
-    rows = training_rows(spark, d).persist()
-    try:
-        return forest.grid_search(rows, forest.stages(0.3)[-1], beta=0.3, cfg=CFG)
-    finally:
-        rows.unpersist()
+    return search.search(training_rows(spark, d), search.Grid({0.3: forest.stages(0.3)[-1:]}), CFG)
+
+
+def grid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and spread of every point, best first."""
+    return searched(spark, d).points.drop("stage", "point").orderBy("rank")
 
 
 def grid_results(spark: SparkSession, d: str) -> DataFrame:
-    return forest.best_of(grid_search(spark, d))
+    """The counts and the score of every fold of every point, beside the point's mean, spread and rank."""
+    found = searched(spark, d)
+    return found.folds.join(found.points.drop("folds"), search.POINT)
 
 
 # -- whole frames -------------------------------------------------------------
@@ -668,6 +686,9 @@ def _plain() -> dict[str, Query]:
         "feature_importance": feature_importance,
         "rf_score": rf_score,
         "agg_predicted_total": agg_predicted_total,
+        "grid_points": grid_points,
+        "folds": folds,
+        "fold_sizes": fold_sizes,
         "grid_search": grid_search,
         "grid_results": grid_results,
     }

@@ -6,7 +6,8 @@ Inputs are CSV files with a header, or parquet where the path ends in .parquet.
 ``DIR`` receives train, score, predictions, confusion, importances and total as
 parquet, and the predictions of the coming year as CSV. ``--frames DIR`` starts from the
 train and score frames of an earlier run instead of payroll. ``--tune`` also writes
-the whole search, all points of all stages for each beta. ``--strict`` refuses payroll with several
+the whole search, all points of all stages for each beta; run again after a stop, it fits only
+what ``finished_fits`` lacks. ``--strict`` refuses payroll with several
 attribute rows in an employee's last period, ``--fan-out-limit`` payroll that they multiply too far;
 ``snapshot_report`` says how far.
 """
@@ -54,8 +55,9 @@ def model(spark: SparkSession, train: DataFrame, score: DataFrame, out: str, cfg
     said = trained.predictions()
     coming = modelling.fit_rows(trained.rows, forest.FINAL_FORESTS[-1], cfg).score(score, cfg)
     if tune:
-        for beta in cfg.betas:
-            io.write_parquet(modelling.tune(trained.rows, beta, cfg), f"{out}/search_{beta}")
+        found = modelling.tune(trained.rows, cfg.betas, cfg, folder=f"{out}/finished_fits")
+        io.write_parquet(found.folds, f"{out}/search_folds")
+        io.write_parquet(found.points, f"{out}/search_points")
 
     known = said.select(*train.columns, "is_train", F.col("prediction").cast("int").alias("pred"))
     io.write_parquet(known, f"{out}/predictions")

@@ -39,8 +39,12 @@ def char_hash(text: Column | str, buckets: int, prefix: str) -> list[Column]:
     return [counts[f"b{b}"].alias(f"{prefix}_{b}") for b in range(buckets)]
 
 
-def key_bucket(modulus: int, salt: int, *keys: Column | str) -> Column:
-    """Stable bucket 0..modulus-1 of a row key, independent of partitioning."""
+def key_hash(salt: int, *keys: Column | str) -> Column:
+    """Stable 32-bit hash of a row key, independent of partitioning."""
     parts = [F.coalesce(_column(k).cast("string"), F.lit("")) for k in keys]
-    text = reduce(lambda a, b: F.concat(a, F.lit("|"), b), parts, F.lit(str(salt)))
-    return (portable_hash(text) % modulus).cast("int")
+    return portable_hash(reduce(lambda a, b: F.concat(a, F.lit("|"), b), parts, F.lit(str(salt))))
+
+
+def key_bucket(modulus: int, salt: int, *keys: Column | str) -> Column:
+    """Stable bucket 0..modulus-1 of a row key."""
+    return (key_hash(salt, *keys) % modulus).cast("int")

@@ -13,7 +13,7 @@ from tenurelens.functions.nullsafe import fixed_parts, in_list, known, strict_ma
 from tenurelens.operators.joins import lookup_join, null_safe_join
 from tenurelens.operators.snapshots import SnapshotReport, accept, measure
 from tenurelens.sources.schema import PANEL_KEYS, SNAPSHOT
-from tenurelens.sources.workspace import Lookup, settle, settle_observed
+from tenurelens.sources.workspace import Lookup, settle, settle_measured
 
 LAST_PERIOD = ["EMPLOYEE_ID", ("MAX_PP", "PAYROLL_SEQUENCE")]
 
@@ -154,14 +154,14 @@ def snapshot_panel(
     joins will multiply is counted first; ``cfg.snapshot_mode`` decides what is refused.
     """
     clean = F.col("one_state") & F.col("one_person")
-    panel, seen = settle_observed(
+    panel, seen = settle_measured(
         one_pass_panel(spelled),
         "panel",
         clean=F.count_if(clean),
         severals=F.count_if(F.col("one_person") & ~F.col("one_state")),
         twofolds=F.count_if(~F.col("one_person")),
     )
-    disputed, found = settle_observed(overruled(spelled, panel.filter(clean)), "disputed", rows=F.count(F.lit(1)))
+    disputed, found = settle_measured(overruled(spelled, panel.filter(clean)), "disputed", rows=F.count(F.lit(1)))
     done = panel.filter(clean)
     several = panel.filter("one_person and not one_state")
     twofold = panel.filter("not one_person")

@@ -11,7 +11,6 @@ from itertools import product
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tenurelens.config import PolicyConfig
@@ -61,10 +60,6 @@ def class_weight(label: str = "retire", cfg: PolicyConfig = PolicyConfig()) -> C
     return reduce(lambda c, w: c.when(F.col(label) == w[0], w[1]), cfg.class_weights, F).cast("double")
 
 
-def fold(cfg: PolicyConfig = PolicyConfig()) -> Column:
-    return key_bucket(cfg.folds, cfg.forest_seed, *ROW_KEY)
-
-
 def feature_value(name: str, cfg: PolicyConfig = PolicyConfig()) -> Column:
     """A finite double: missing values get a number, infinities a large one; others stay."""
     value = F.col(name).cast("double")
@@ -189,10 +184,11 @@ def evaluator(beta: float) -> MulticlassClassificationEvaluator:
 
 @dataclass(frozen=True)
 class Stage:
-    """Grid over some fields of ``ForestParams``, the rest as in ``base``."""
+    """Grid over some fields of ``ForestParams``, the rest as in ``base``; ``by_size`` weighs folds by their rows."""
 
     base: ForestParams
     grid: Mapping[str, Sequence]
+    by_size: bool = False
 
     def points(self) -> list[ForestParams]:
         names = list(self.grid)
@@ -209,7 +205,7 @@ def stages(beta: float) -> tuple[Stage, ...]:
     deep = beta == 0.5
     found = ForestParams(100, 15, 60, 10) if deep else ForestParams(100, 3, 130, 40)
     return (
-        Stage(ForestParams(100, 10, 100, 20, "sqrt"), {"trees": range(100, 1000, 100)}),
+        Stage(ForestParams(100, 10, 100, 20, "sqrt"), {"trees": range(100, 1000, 100)}, by_size=True),
         Stage(
             ForestParams(100, 10, 100, 20, "sqrt"),
             {"depth": range(3, 25, 2), "min_split": range(50, 201, 20)},
@@ -220,48 +216,3 @@ def stages(beta: float) -> tuple[Stage, ...]:
         ),
         Stage(found, {"features": [str(n) for n in range(2, 35, 3)]}),
     )
-
-
-def grid_search(
-    rows: DataFrame,
-    stage: Stage,
-    beta: float,
-    cfg: PolicyConfig = PolicyConfig(),
-    parallelism: int = 4,
-) -> DataFrame:
-    """Mean fold score of every grid point, best first.
-
-    Points that mean the same forest here are fitted once.
-    """
-    points = stage.points()
-    estimators: dict[tuple, RandomForestClassifier] = {}
-    for p in points:
-        estimators.setdefault(_fit_key(p), p.estimator(cfg))
-    base = next(iter(estimators.values()))
-    names = ("numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy")
-    maps = [{getattr(base, n): e.getOrDefault(n) for n in names} for e in estimators.values()]
-    search = CrossValidator(
-        estimator=base,
-        estimatorParamMaps=maps,
-        evaluator=evaluator(beta),
-        numFolds=cfg.folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=cfg.forest_seed,
-    )
-    folded = rows.withColumn("fold", fold(cfg))
-    score = dict(zip(estimators, search.fit(folded).avgMetrics))
-    table = [(beta, p.trees, p.depth, p.min_split, p.min_leaf, p.features, float(score[_fit_key(p)])) for p in points]
-    frame = rows.sparkSession.createDataFrame(
-        table,
-        "beta double, trees int, depth int, min_split int, min_leaf int, max_features string, mean_score double",
-    )
-    return frame.orderBy(F.desc("mean_score"), "trees", "depth", "min_split", "min_leaf", "max_features")
-
-
-def _fit_key(p: ForestParams) -> tuple:
-    return (p.trees, p.depth, p.min_instances, p.features)
-
-
-def best_of(results: DataFrame) -> DataFrame:
-    return results.limit(1)

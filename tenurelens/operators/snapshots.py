@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tenurelens.config import PolicyConfig
 from tenurelens.operators.joins import null_safe_join
 from tenurelens.sources.schema import SNAPSHOT
-from tenurelens.sources.workspace import settle_observed
+from tenurelens.sources.workspace import settle_measured
 
 LITERAL, STRICT = "literal", "strict"
 KEY = ["EMPLOYEE_ID", "MAX_PP"]
@@ -70,7 +70,7 @@ def multiplied() -> Column:
 
 def measure(panel: DataFrame, states: DataFrame, single: int = 0) -> tuple[SnapshotReport, DataFrame]:
     """The report, and the keys whose joins multiply, from one pass; ``single`` more rows are known to have one attribute row."""
-    counts, seen = settle_observed(
+    counts, seen = settle_measured(
         multiplicities(panel, states),
         "multiplicities",
         people=F.sum("people"),

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, functions as F
 
 from tenurelens.config import PolicyConfig
-from tenurelens.operators import encode, forest
+from tenurelens.operators import encode, forest, search
 from tenurelens.sources.workspace import settle
 
 
@@ -63,22 +62,16 @@ def fit_rows(
 
 def tune(
     rows: DataFrame,
-    beta: float,
+    betas: Sequence[float],
     cfg: PolicyConfig = PolicyConfig(),
     stages: Sequence[forest.Stage] | None = None,
+    folder: str | None = None,
     partitions: int | None = None,
     parallelism: int = 4,
-) -> DataFrame:
-    """All search stages for one beta; by default the full grid of 248 points."""
-    training = forest.stable_layout(rows.filter("is_train"), partitions or cfg.fit_partitions).persist()
-    try:
-        found = [
-            forest.grid_search(training, stage, beta, cfg, parallelism).withColumn("stage", F.lit(number))
-            for number, stage in enumerate(stages or forest.stages(beta), start=1)
-        ]
-    finally:
-        training.unpersist()
-    return reduce(DataFrame.unionByName, found)
+) -> search.Search:
+    """All search stages for each beta; by default the full grid of 248 points. ``folder`` remembers finished fits."""
+    grid = search.Grid({beta: stages for beta in betas}) if stages else search.Grid.full(betas)
+    return search.search(rows.filter("is_train"), grid, cfg, folder, partitions, parallelism)
 
 
 def predicted_total(scored: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import uuid
 from dataclasses import dataclass
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -48,12 +48,15 @@ def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
-    """``settle``, and aggregates of the rows measured while they are written; a sum over no rows is 0."""
-    seen = Observation()
-    table = settle(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), name)
-    found = seen.get
-    return table, {k: found.get(k) or 0 for k in metrics}
+def settle_measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``settle``, and aggregates of the written rows, which read the metrics' columns only; a sum over no rows is 0.
+
+    Not by ``DataFrame.observe``: a session that has observed once can't ship a fitted forest to its
+    tasks any more, because the forest's summary drags the session's observations along.
+    """
+    table = settle(df, name)
+    found = table.agg(*[m.alias(k) for k, m in metrics.items()]).first()
+    return table, {k: found[k] or 0 for k in metrics}
 
 
 @dataclass(frozen=True)

@@ -1,5 +1,7 @@
 """Every query against its SQL, and the plans the queries should have."""
 
+import statistics
+
 import duckdb
 import pytest
 
@@ -62,8 +64,13 @@ def test_every_forest_counts_every_row(spark):
     assert everyone.count() == 198 and not everyone.filter("pred is null or retire is null").count()
 
 
-def test_grid_results_is_the_best_point(spark):
-    assert len(QUERIES["grid_results"](spark, SMALL).collect()) == 1
+def test_grid_results_lists_every_fold(spark):
+    found = QUERIES["grid_results"](spark, SMALL).collect()
+    assert len(found) == 11 * 5 and {r["rank"] for r in found} == set(range(1, 12))
+    for point in {r["point"] for r in found}:
+        scores = [r["score"] for r in found if r["point"] == point]
+        mean, spread = next((r["mean_score"], r["std_score"]) for r in found if r["point"] == point)
+        assert mean == pytest.approx(sum(scores) / 5) and spread == pytest.approx(statistics.pstdev(scores))
 
 
 # -- plans --------------------------------------------------------------------

@@ -1,13 +1,11 @@
 """Split, weights, fit, evaluation and grid of the forest."""
 
-from dataclasses import replace
-
 import pytest
 from pyspark.sql import functions as F
 
 from tenurelens.config import PolicyConfig
-from tenurelens.operators import encode, forest
-from tenurelens.operators.forest import FEATURES, ForestParams, Stage
+from tenurelens.operators import encode, forest, search
+from tenurelens.operators.forest import FEATURES, ForestParams
 from tenurelens.plans import modelling
 
 CFG = PolicyConfig()
@@ -109,17 +107,7 @@ def test_full_grid(beta, depth):
     assert {p.depth for p in stages[2].points()} == {depth}
     assert stages[3].points()[0].features == "2" and stages[3].points()[-1].features == "32"
     # the split bound has no counterpart, so many points are the same forest
-    assert len({forest._fit_key(p) for p in stages[2].points()}) == 17
-
-
-def test_grid_search_ranks_every_point(rows_):
-    stage = Stage(ForestParams(trees=3, min_leaf=2), {"depth": (2, 3), "min_split": (9, 10, 40)})
-    found = forest.grid_search(rows_.filter("is_train"), stage, 0.5, replace(CFG, folds=2)).collect()
-    assert len(found) == 6
-    scores = [r["mean_score"] for r in found]
-    assert scores == sorted(scores, reverse=True)
-    by_point = {(r["depth"], r["min_split"]): r["mean_score"] for r in found}
-    assert by_point[(2, 9)] == by_point[(2, 10)]
+    assert len({search.fit_key(p) for p in stages[2].points()}) == 17
 
 
 def test_train_and_score(frame):

@@ -104,9 +104,12 @@ def test_tune_runs_its_stages(spark, past):
     rows = modelling.model_rows(frames.train_frame(past, q.CFG).frame, "rows", q.CFG)
     small = forest.ForestParams(trees=2, depth=2, min_split=4, min_leaf=2)
     stages = [forest.Stage(small, {"trees": (2, 3)}), forest.Stage(small, {"features": ("2", "8")})]
-    found = modelling.tune(rows, 0.3, replace(q.CFG, folds=2), stages).collect()
-    assert [r["stage"] for r in sorted(found, key=lambda r: r["stage"])] == [1, 1, 2, 2]
+    tuned = modelling.tune(rows, (0.5, 0.3), replace(q.CFG, folds=2), stages)
+    found = tuned.points.collect()
+    assert sorted((r["beta"], r["stage"]) for r in found) == [(b, s) for b in (0.3, 0.5) for s in (1, 1, 2, 2)]
     assert {r["max_features"] for r in found if r["stage"] == 2} == {"2", "8"}
+    # stage 2 holds the first forest once more, and both betas share all fits
+    assert tuned.fitted == 3 * 2 and tuned.folds.count() == 8 * 2 and tuned.best().count() == 4
 
 
 def test_job_on_files(spark, tmp_path, rows):

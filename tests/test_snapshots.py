@@ -10,7 +10,7 @@ from tenurelens.operators import employee_year as ey, snapshots
 from tenurelens.plans import frames
 from tenurelens.plans.history import build_history
 from tenurelens.sources import schema
-from tenurelens.sources.workspace import settle, settle_lookup, settle_observed
+from tenurelens.sources.workspace import settle, settle_lookup, settle_measured
 from tests.conftest import SMALL
 from tests.payroll_rows import calendar, payroll
 
@@ -97,6 +97,6 @@ def test_the_twin_is_refused_in_strict_mode(spark):
 def test_metrics_are_those_of_the_written_rows(spark):
     from pyspark.sql import functions as F
 
-    table, seen = settle_observed(spark.range(10), "ten", n=F.count(F.lit(1)), total=F.sum("id"))
+    table, seen = settle_measured(spark.range(10), "ten", n=F.count(F.lit(1)), total=F.sum("id"))
     assert seen == {"n": 10, "total": 45} and table.count() == 10
-    assert settle_observed(spark.range(0), "none", total=F.sum("id"))[1] == {"total": 0}
+    assert settle_measured(spark.range(0), "none", total=F.sum("id"))[1] == {"total": 0}
