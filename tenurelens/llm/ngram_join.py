@@ -25,6 +25,8 @@ from tenurelens.llm.words import blocks, mix, shingle_runs
 from tenurelens.sources.workspace import settle
 
 BATCH_BYTES = 2_000_000
+#: Shingles that a task counts at a time.
+_WAITING = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -57,24 +59,37 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _sketched(s: Settings):
-    """Counts of shingles by hash, one row for each part of the cells."""
+    """Counts of shingles by hash: for each part of the cells the cells that were met, and how often.
+
+    What a task hands on follows the text it read, not the number of cells.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, n = np.zeros(s.cells, dtype=np.uint32), [], 0
+        cells, counts, waiting, n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            found, times = np.unique(np.concatenate(waiting), return_counts=True)
+            total, at = np.unique(np.concatenate([cells, found]), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate([counts, times]), minlength=len(total)).astype(np.int64)
+            return total, sums
+
         for batch in batches:
             for part in blocks(_texts(batch["text"]), len, BATCH_BYTES):
                 runs, _ = shingle_runs(part, s.size)
                 waiting.append((runs % np.uint64(s.cells)).astype(np.int32))
                 n += len(runs)
-                if n > s.cells:
-                    counts += np.bincount(np.concatenate(waiting), minlength=s.cells).astype(np.uint32)
-                    waiting, n = [], 0
+                if n > _WAITING:
+                    (cells, counts), waiting, n = merged(), [], 0
         if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=s.cells).astype(np.uint32)
-        if counts.any():
-            kind = "<u2" if counts.max() < 1 << 16 else "<u4"
-            data = [x.astype(kind).tobytes() for x in np.split(counts, _parts(s))]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(data)), pa.int32()), pa.array(data, pa.binary())], ["part", "counts"])
+            cells, counts = merged()
+        if len(cells):
+            size = s.cells // _parts(s)
+            parts, first = np.unique(cells // size, return_index=True)
+            inside = np.split((cells % size).astype("<u4"), first[1:])
+            data = [x.astype("<u4").tobytes() for x in np.split(counts, first[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parts, pa.int32()), pa.array([x.tobytes() for x in inside], pa.binary()), pa.array(data, pa.binary())], ["part", "cells", "counts"]
+            )
 
     return run
 
@@ -94,12 +109,12 @@ def _leveled(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, None
         for batch in batches:
-            for part, data in zip(batch["part"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            for part, cells, data in zip(*(batch[c].to_pylist() for c in ("part", "cells", "counts")), strict=True):
                 if part != at:
                     if at is not None:
                         yield levels(at, total)
                     at, total = part, np.zeros(size, dtype=np.int64)
-                total += np.frombuffer(data, dtype=f"<u{len(data) // size}")
+                total[np.frombuffer(cells, dtype="<u4")] += np.frombuffer(data, dtype="<u4")
         if at is not None:
             yield levels(at, total)
 
@@ -111,7 +126,7 @@ def frequency_levels(texts: DataFrame, s: Settings) -> np.ndarray:
 
     One byte for each cell comes to the driver, however many texts there are.
     """
-    counted = texts.mapInArrow(_sketched(s), "part int, counts binary").repartition("part").sortWithinPartitions("part")
+    counted = texts.mapInArrow(_sketched(s), "part int, cells binary, counts binary").repartition("part").sortWithinPartitions("part")
     out = np.zeros((_parts(s), s.cells // _parts(s)), dtype=np.uint8)
     for row in counted.mapInArrow(_leveled(s), "part int, levels binary").collect():
         out[row["part"]] = np.frombuffer(row["levels"], dtype=np.uint8)

@@ -79,3 +79,16 @@ def test_awkward_rows(spark):
     assert found[(3, 0)] == 3 and found[(4, 0)] == 4 and found[(7, 0)] == 7
     assert found[(5, 1)] == found[(6, 1)] == 5 and found[(None, 1)] is None and found[(9, 1)] == 9
     assert ngram_join.link_documents(empty(spark)).count() == 0
+
+
+def test_sketch_counts_every_shingle_and_follows_the_text(spark):
+    texts = edited(random.Random(5), 60)
+    settings = ngram_join.Settings(size=3, cells=1 << 18)
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).select("text")
+    rows = docs.coalesce(1).mapInArrow(ngram_join._sketched(settings), "part int, cells binary, counts binary").collect()
+    runs, _ = ngram_join.shingle_runs([t.encode() for t in texts], 3)
+    assert sum(np.frombuffer(r.counts, "<u4").sum() for r in rows) == len(runs)
+    assert sum(len(r.cells) + len(r.counts) for r in rows) <= 8 * len(runs)
+    levels = ngram_join.frequency_levels(docs.repartition(5), settings)
+    counts = np.bincount((runs % np.uint64(settings.cells)).astype(np.int64), minlength=settings.cells)
+    assert (levels == ngram_join._level(counts).astype(np.uint8)).all()
