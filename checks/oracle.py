@@ -303,6 +303,13 @@ CTES["folded"] = f"""
       cast((row_number() over (partition by retire order by {key_hash(10)}, EMPLOYEE_ID, FISCAL_YEAR) - 1) % 5 as int) as fold
     from train_rows"""
 
+# The columns of the frame that are numbers, then the means, then the hashed columns.
+NUMBERS = (
+    "FISCAL_YEAR, age, service_year, SALARY_STEP, " + ", ".join(STATS) + ", whether_supervisor, HIGHEST_STEP, dif_step, "
+    "whether_highest, retirement_factor, retirement_pension, eligible_persent, total_ecount"
+).split(", ")
+
+
 # Ranges of the search stages, the first grid key varying slowest.
 POINTS = """
     select b.beta::double as beta, s.* from (values (0.5), (0.3)) b(beta), lateral (
@@ -474,6 +481,7 @@ def quartile_ranks(source: str, columns: list[str]) -> str:
 SCORED = [*SCORE.split(", "), *MEANS]
 
 
+FEATURES = ", ".join(f"'{c}'" for c in [*NUMBERS, *MEANS, *(f"{p}_{b}" for p, n in HASHED.values() for b in range(n))])
 FIXED = "(select retire, case when age >= 60 then 1 else 0 end as said from labelled)"
 RAW = DAY.format
 FULL = {
@@ -689,6 +697,17 @@ def _plain(fan_out: bool) -> dict[str, str]:
             f"{ID}, ('0x' || substr(md5('82|' || EMPLOYEE_ID::varchar || '|' || FISCAL_YEAR::varchar), 1, 8))::bigint "
             "% 100 < 80 as is_train",
         ),
+        "rf_fit_rows": upto(
+            "train_base",
+            f"select depth, max_features, {key_hash(82)} % 100 < 80 as is_train, retire as label, count(*) as rows from train_base, "
+            "(values (15::int, '8'), (15, '20'), (3, '8')) f(depth, max_features) group by all",
+        ),
+        "rf_predict_keys": on("train_base", f"{ID}, retire, {key_hash(82)} % 100 < 80 as is_train, true as predicted"),
+        "rf_score_keys": on("scored", f"{ID}, age, service_year, true as predicted"),
+        "predicted_total_bounds": on("scored", "count(*) as scored, true as total_holds"),
+        "feature_names": upto(
+            "train_rows", f"select feature, (select count(*) from train_rows) as fit_rows, true as is_share from (select unnest([{FEATURES}]) as feature)"
+        ),
         "grid_points": upto(
             "train_rows",
             "select *, cast(floor(train_rows / least) as bigint) as most_leaves from (select beta, stage::int as stage, point::int as point, "

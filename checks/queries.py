@@ -108,14 +108,18 @@ def history(spark: SparkSession, d: str, cfg: PolicyConfig = CFG) -> History:
 
 
 def both_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Both frames as the job writes them before it fits."""
     past = history(spark, d)
     fitted = frames.train_frame(past, CFG)
-    return fitted.frame, frames.score_frame(past, fitted.means, CFG)
+    return settle(fitted.frame, "train"), settle(frames.score_frame(past, fitted.means, CFG), "score")
+
+
+def written_train(spark: SparkSession, d: str) -> DataFrame:
+    return settle(frames.train_frame(history(spark, d), CFG).frame, "train")
 
 
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
-    frame = frames.train_frame(history(spark, d), CFG).frame
-    return modelling.model_rows(frame, "model_rows", CFG).filter("is_train")
+    return modelling.model_rows(written_train(spark, d), "model_rows", CFG).filter("is_train")
 
 
 # -- sources and sinks --------------------------------------------------------
@@ -465,7 +469,9 @@ def hashed(column: str) -> Query:
 
 
 def hash_all(spark: SparkSession, d: str) -> DataFrame:
-    return encode.hash_encode(labelled(spark, d)).select(*ID, *encode.HASHED_COLUMNS)
+    """Each distinct text hashed once; the queries of single columns hash row by row."""
+    rows = settle(labelled(spark, d).select(*ID, *encode.HASHED), "texts_of_rows")
+    return encode.hash_encode(rows, encode.TextDictionary.of(rows)).select(*ID, *encode.HASHED_COLUMNS)
 
 
 # -- model --------------------------------------------------------------------
@@ -483,8 +489,7 @@ def rf_fit(forests: Sequence[forest.ForestParams]) -> Query:
     """Confusion counts of each fitted forest on its training and test rows."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        frame = frames.train_frame(history(spark, d), CFG).frame
-        rows = modelling.model_rows(frame, "model_rows", CFG)
+        rows = modelling.model_rows(written_train(spark, d), "model_rows", CFG)
         found = []
         for params in forests:
             said = modelling.fit_rows(rows, params, CFG).predictions()
@@ -499,13 +504,13 @@ def rf_fit(forests: Sequence[forest.ForestParams]) -> Query:
 
 def rf_predict_all(spark: SparkSession, d: str) -> DataFrame:
     """Prediction of every training-frame row, test rows included."""
-    frame = frames.train_frame(history(spark, d), CFG).frame
+    frame = written_train(spark, d)
     said = modelling.train(frame, forest.FINAL_FORESTS[0], CFG).predictions()
     return said.select(*frame.columns, "is_train", F.col("prediction").cast("int").alias("pred"))
 
 
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    frame = frames.train_frame(history(spark, d), CFG).frame
+    frame = written_train(spark, d)
     return forest.importances(spark, modelling.train(frame, forest.FINAL_FORESTS[0], CFG).model)
 
 
@@ -518,6 +523,42 @@ def agg_predicted_total(spark: SparkSession, d: str) -> DataFrame:
     return modelling.predicted_total(rf_score(spark, d))
 
 
+def rf_fit_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that every fitted forest has predicted, by split and label; the votes are left out."""
+    counted = rf_fit(forest.FINAL_FORESTS)(spark, d)
+    return counted.select("depth", "max_features", "is_train", "label", (F.col("predicted_0") + F.col("predicted_1")).alias("rows"))
+
+
+def rf_predict_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Known rows with their split and label, and whether they were given a class."""
+    said = rf_predict_all(spark, d)
+    return said.select(*ID, "retire", "is_train", F.col("pred").isin(0, 1).alias("predicted"))
+
+
+def rf_score_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Scored rows of the coming year, and whether they were given a class."""
+    return rf_score(spark, d).select(*ID, "age", "service_year", F.col("pred").isin(0, 1).alias("predicted"))
+
+
+def predicted_total_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Scored rows, and whether the predicted total is the count of positive predictions among them."""
+    scored = settle(rf_score(spark, d), "scored")
+    counted = scored.agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("pred") == 1).alias("positive"))
+    total = modelling.predicted_total(scored).select("predicted_total").scalar()
+    return counted.select("scored", F.equal_null(F.nullif("positive", F.lit(0)), F.nullif(total, F.lit(0))).alias("total_holds"))
+
+
+def feature_names(spark: SparkSession, d: str) -> DataFrame:
+    """The ranked features and the rows their forest was fitted on, and whether the importances are shares of one."""
+    rows = modelling.model_rows(written_train(spark, d), "model_rows", CFG)
+    model = modelling.fit_rows(rows, forest.FINAL_FORESTS[0], CFG).model
+    found = forest.importances(spark, model)
+    total = found.agg(F.sum("importance")).scalar()
+    fitted = rows.filter("is_train").agg(F.count(F.lit(1))).scalar()
+    share = (F.col("importance") >= 0) & (F.abs(total - 1) < 1e-9)
+    return found.select("feature", fitted.alias("fit_rows"), share.alias("is_share"))
+
+
 def grid_points(spark: SparkSession, d: str) -> DataFrame:
     """Every point of the whole search, with the most leaves that its bound allows a tree over the training rows."""
     rows = training_rows(spark, d).agg(F.count(F.lit(1)).alias("train_rows"))
@@ -686,6 +727,11 @@ def _plain() -> dict[str, Query]:
         "feature_importance": feature_importance,
         "rf_score": rf_score,
         "agg_predicted_total": agg_predicted_total,
+        "rf_fit_rows": rf_fit_rows,
+        "rf_predict_keys": rf_predict_keys,
+        "rf_score_keys": rf_score_keys,
+        "predicted_total_bounds": predicted_total_bounds,
+        "feature_names": feature_names,
         "grid_points": grid_points,
         "folds": folds,
         "fold_sizes": fold_sizes,

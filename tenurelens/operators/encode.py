@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tenurelens.config import PolicyConfig
 from tenurelens.functions.hashing import char_hash
 from tenurelens.functions.nullsafe import in_list, strict_avg
-from tenurelens.operators.joins import lookup_join
+from tenurelens.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
+from tenurelens.operators.profile import value_counts
 from tenurelens.sources.workspace import Lookup, settle
 
 # output column -> key columns
@@ -26,6 +27,9 @@ TARGET_MEANS: dict[str, tuple[str, ...]] = {
     "CSTEP_persent": ("HIGHEST_STEP", "SALARY_STEP"),
 }
 
+#: A text is looked up where it stands for so many rows, on average.
+ROWS_OF_A_TEXT = 4
+
 # text column -> (prefix, buckets)
 HASHED: dict[str, tuple[str, int]] = {
     "JOB_CLASS_TITLE": ("jobclass", 3),
@@ -108,14 +112,54 @@ def mean_of_groups(means: DataFrame, name: str, cfg: PolicyConfig = PolicyConfig
     return means.agg(strict_avg(name, cfg.share_decimals).alias(f"{name}_fallback"))
 
 
-def hashed_columns(column: str) -> list[Column]:
+def hashed_columns(column: str, text: str | None = None) -> list[Column]:
+    """Hashed columns of a category, from its own column or from ``text``."""
     prefix, buckets = HASHED[column]
-    return char_hash(F.col(column).cast("string"), buckets, prefix)
+    return char_hash(F.col(text or column).cast("string"), buckets, prefix)
+
+
+@dataclass(frozen=True)
+class TextDictionary:
+    """The distinct texts of every hashed column with their rows, written once.
+
+    A column is hashed by its dictionary where a text stands for several rows; the
+    others, and dictionaries that are too large to be sent to all tasks, are hashed row by row.
+    """
+
+    table: DataFrame
+    sizes: dict[str, tuple[int, int, int]]
+
+    @classmethod
+    def of(cls, frame: DataFrame, columns: Sequence[str] = tuple(HASHED)) -> TextDictionary:
+        table = settle(value_counts(frame, columns), "texts")
+        length = F.coalesce(F.octet_length("value"), F.lit(0))
+        sizes = table.groupBy("column_name").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows"), F.sum(length).alias("bytes"))
+        return cls(table, {r["column_name"]: (r["texts"], r["rows"], r["bytes"]) for r in sizes.collect()})
+
+    def worthwhile(self, column: str) -> bool:
+        texts, rows, size = self.sizes.get(column, (0, 0, 0))
+        few = texts <= BROADCAST_ROWS and size + 64 * texts <= BROADCAST_BYTES
+        return few and 0 < texts * ROWS_OF_A_TEXT <= rows
 
+    def lookup(self, column: str) -> Lookup:
+        texts, _, size = self.sizes[column]
+        own = self.table.filter(F.col("column_name") == column)
+        return Lookup(own.select(F.col("value").alias("__text"), *hashed_columns(column, "value")), texts, size + 64 * texts)
 
-def hash_encode(frame: DataFrame) -> DataFrame:
-    """Append the hashed columns of every text category; ``MOU`` by its digits."""
-    return frame.select("*", *[c for name in HASHED for c in hashed_columns(name)])
+
+def hash_encode(frame: DataFrame, texts: TextDictionary | None = None) -> DataFrame:
+    """Append the hashed columns of every text category; ``MOU`` by its digits.
+
+    With ``texts``, taken from the same rows, each distinct text is hashed once; the result is the same.
+    """
+    found = frame
+    for name in HASHED:
+        if texts is not None and texts.worthwhile(name):
+            keyed = found.withColumn("__of", F.col(name).cast("string"))
+            found = lookup_join(keyed, texts.lookup(name), [("__of", "__text")]).drop("__of")
+        else:
+            found = found.select("*", *hashed_columns(name))
+    return found
 
 
 HASHED_COLUMNS = [f"{prefix}_{b}" for prefix, n in HASHED.values() for b in range(n)]

@@ -19,7 +19,9 @@ def model_rows(frame: DataFrame, name: str, cfg: PolicyConfig = PolicyConfig())
 
 
 def assembled(frame: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
-    return forest.assemble(encode.hash_encode(frame), cfg, keep=[c for c in frame.columns if c not in forest.ROW_KEY])
+    """Hashed by a dictionary of the frame's texts, for which it is read once more: best a written table."""
+    hashed = encode.hash_encode(frame, encode.TextDictionary.of(frame))
+    return forest.assemble(hashed, cfg, keep=[c for c in frame.columns if c not in forest.ROW_KEY])
 
 
 @dataclass(frozen=True)

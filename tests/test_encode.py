@@ -95,3 +95,16 @@ def test_hash_encode_uses_the_digits_of_mou(frame):
     assert encoded.columns == frame.columns + encode.HASHED_COLUMNS
     one = encoded.filter("EMPLOYEE_ID = 2").first()
     assert (one["mou_0"], one["mou_1"], one["mou_2"]) == (0, 0, 0)
+
+
+def test_a_dictionary_gives_the_same_hashes(spark, rows):
+    texts = ["FIRE", "", None, "Ärger", "a" * 300, " FIRE"]
+    data = [(i, *(texts[(i + k) % 6] for k in range(7)), f"title {i}", None if i % 5 == 0 else i % 9 - 4) for i in range(90)]
+    columns = [c for c in encode.HASHED if c not in ("JOB_CLASS_TITLE", "MOU")]
+    frame = spark.createDataFrame(data, ["EMPLOYEE_ID", *columns, "JOB_CLASS_TITLE", "MOU"])
+    dictionary = encode.TextDictionary.of(frame)
+    # titles are all distinct, so they are hashed row by row
+    assert [c for c in encode.HASHED if not dictionary.worthwhile(c)] == ["JOB_CLASS_TITLE"]
+    plain, looked_up = encode.hash_encode(frame), encode.hash_encode(frame, dictionary)
+    assert looked_up.columns == plain.columns and rows(looked_up) == rows(plain)
+    assert encode.hash_encode(frame.limit(0), encode.TextDictionary.of(frame.limit(0))).count() == 0
