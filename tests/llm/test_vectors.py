@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from tenurelens.llm import neighbours, vector_dedup
 
@@ -47,6 +48,47 @@ def test_graph_finds_the_nearest_centroids():
     assert (ids[:, 0] == exact).mean() >= 0.95
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 5])
+def test_graph_reaches_the_nearest_at_every_seed_without_measuring_all(seed, monkeypatch):
+    x = clustered(6000, 16, seed)
+    graph = neighbours.Graph.over(neighbours.bisect(x, 900, seed), 16)
+    measured, real = set(), neighbours.Graph._distances
+    monkeypatch.setattr(neighbours.Graph, "_distances", lambda self, q, to: measured.update(to.reshape(-1).tolist()) or real(self, q, to))
+    graph.nearest(x[:1], 24)
+    assert 24 < len(measured) < 600
+    ids, _ = graph.nearest(x[:200], 24)
+    exact = ((x[:200, None, :] - graph.centroids[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert (ids[:, 0] == exact).mean() >= 0.99
+    assert all(len(set(row)) == 24 for row in ids.tolist())
+    once, few = neighbours.Graph(graph.centroids[:1], np.zeros((1, 1), np.int64)), neighbours.Graph.over(graph.centroids[:3], 16)
+    assert once.nearest(x[:5], 24)[0].tolist() == [[0]] * 5 and sorted(few.nearest(x[:1], 24)[0][0].tolist()) == [0, 1, 2]
+
+
+def test_queries_read_few_lists_and_find_their_neighbours():
+    """The ratio follows the vectors: near clusters few lists are read, and the wanted share is found."""
+    s = neighbours.Settings()
+    x = clustered(8000, 24, 4)
+    most = (x**2).sum(axis=1).max()
+    lifted = neighbours._lifted(x, most)
+    graph = neighbours.Graph.over(neighbours.bisect(lifted, 200, 1), s.degree)
+    ratio = neighbours.calibrated(graph, lifted, 20, s)
+    ids, d = graph.nearest(lifted, s.beam)
+    held = neighbours._replicated(d, s)
+    stored = [set(i[h].tolist()) for i, h in zip(ids[:, : s.replicas], held, strict=True)]
+    q = np.concatenate([x[::40], np.zeros((200, 1))], axis=1)
+    q *= (most**0.5 / np.linalg.norm(q, axis=1))[:, None]
+    read = {}
+    for rows, near, far in graph.within(q, ratio, s.beam):
+        read |= {int(r): set(i[e <= (1 + ratio) * e[0]].tolist()) for r, i, e in zip(rows, near, far, strict=True)}
+    hits = 0
+    for n, i in enumerate(range(0, 8000, 40)):
+        products = x @ x[i]
+        products[i] = -np.inf
+        hits += sum(bool(stored[j] & read[n]) for j in np.argsort(-products)[:20])
+    assert hits / (200 * 20) >= 0.93
+    assert np.mean([len(v) for v in read.values()]) < 0.5 * len(graph.centroids)
+
+
 def test_neighbours_of_awkward_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (20, [0.5, 0.5], 1), (1, [2.0, 0.0], 1), (2, [0.0, 0.0], 1), (3, None, 1), (4, [NAN, 1.0], 1), (40, [INF, 1.0], 1), (60, [None, 1.0], 1)]
     rows += [(None, [1.0, 1.0], 1), (5, [1.0], 1), (5, [1.0], 1), (6, [0.0, -1.0], 1), (8, [1.0, 0.0], None)]
