@@ -481,6 +481,21 @@ def quartile_ranks(source: str, columns: list[str]) -> str:
 SCORED = [*SCORE.split(", "), *MEANS]
 
 
+JOINED = f"(select * from last_pp join {at_last(SNAPSHOT)} s on EMPLOYEE_ID = id_ and MAX_PP = seq_)"
+MEANT = "(" + with_means(f"(select * {NORMAL} from score_imputed)", "train_base", ["CSTEP_persent"]) + ")"
+# frame, its rows before any is dropped, step, rule, condition, what earlier rules have dropped
+DROPS = [
+    ("panel", JOINED, 1, "no readable hire date", "ORIGINAL_HIRE_DATE is null", ""),
+    ("panel", JOINED, 2, "unknown status or reason", "(JOB_STATUS is null or (JOB_STATUS <> 'Active' and SEPARATION_REASON is null))", "ORIGINAL_HIRE_DATE is null"),
+    (
+        "panel", JOINED, 3, "left for another reason", "(JOB_STATUS <> 'Active' and SEPARATION_REASON <> 'Retired/Pensioned')",
+        "ORIGINAL_HIRE_DATE is null or coalesce(JOB_STATUS is null or (JOB_STATUS <> 'Active' and SEPARATION_REASON is null), false)",
+    ),
+    ("train", "imputed", 1, "no rate", "RATE_PP is null", ""),
+    ("train", "imputed", 2, "no overtime share", "OT_TYPE_PAY_PERSENT is null", "RATE_PP is null"),
+    ("score", MEANT, 1, "no overtime share", "OT_TYPE_PAY_PERSENT is null", ""),
+    ("score", MEANT, 2, "unseen step", "CSTEP_persent is null", "OT_TYPE_PAY_PERSENT is null"),
+]
 FEATURES = ", ".join(f"'{c}'" for c in [*NUMBERS, *MEANS, *(f"{p}_{b}" for p, n in HASHED.values() for b in range(n))])
 FIXED = "(select retire, case when age >= 60 then 1 else 0 end as said from labelled)"
 RAW = DAY.format
@@ -573,6 +588,16 @@ def _plain(fan_out: bool) -> dict[str, str]:
             "eligible",
             f"select {ID}, {', '.join(two_keys)} from ({with_means('eligible', 'eligible', two_keys)})",
         ),
+        "dropped_rows": upto(
+            "score_imputed",
+            "select frame, step::int as step, rule, rows_in, dropped from ("
+            + " union all ".join(
+                f"select '{frame}' as frame, {step} as step, '{rule}' as rule, count(*) filter ({'not (' + before + ')' if before else 'true'}) as rows_in, "
+                f"count(*) filter ({met}{' and not (' + before + ')' if before else ''}) as dropped from {source}"
+                for frame, source, step, rule, met, before in DROPS
+            )
+            + ")",
+        ),
         "snapshot_counts": on("multiplied"),
         "snapshot_report": on(
             "multiplied",

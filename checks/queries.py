@@ -16,7 +16,7 @@ from tenurelens.functions import dates
 from tenurelens.functions.nullsafe import in_list
 from tenurelens.operators import eligibility as el, employee_year as ey, encode, forest
 from tenurelens.operators import profile, salary, score_frame as sf, search, snapshots, steps
-from tenurelens.plans import frames, modelling
+from tenurelens.plans import drops, frames, modelling
 from tenurelens.plans.history import History, build_history, panel_rows
 from tenurelens.sources import io, schema
 from tenurelens.sources.workspace import Lookup, scratch_path, settle, settle_lookup
@@ -228,6 +228,13 @@ def join_target_means(names: Sequence[str]) -> Query:
     return run
 
 
+def dropped_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that each rule drops from panel, training frame and scoring frame."""
+    past = history(spark, d)
+    fitted = frames.train_frame(past, CFG)
+    return drops.report(past, fitted, frames.scored(past, fitted.means, CFG), CFG)
+
+
 # -- what the joins multiply ---------------------------------------------------
 
 STRICT = replace(CFG, snapshot_mode=snapshots.STRICT)
@@ -665,6 +672,7 @@ def _plain() -> dict[str, Query]:
         "join_target_means_1": join_target_means(one_key),
         "join_target_means_2": join_target_means(two_keys),
         # what the joins multiply
+        "dropped_rows": dropped_rows,
         "snapshot_counts": snapshot_counts,
         "snapshot_report": snapshot_report,
         "snapshot_refused": snapshot_refused,

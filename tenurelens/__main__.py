@@ -9,7 +9,7 @@ train and score frames of an earlier run instead of payroll. ``--tune`` also wri
 the whole search, all points of all stages for each beta; run again after a stop, it fits only
 what ``finished_fits`` lacks. ``--strict`` refuses payroll with several
 attribute rows in an employee's last period, ``--fan-out-limit`` payroll that they multiply too far;
-``snapshot_report`` says how far.
+``snapshot_report`` says how far, ``dropped_rows`` how many rows each rule has dropped.
 """
 
 from __future__ import annotations
@@ -22,10 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tenurelens.config import PolicyConfig
 from tenurelens.operators import forest, snapshots
-from tenurelens.plans import frames, modelling
+from tenurelens.plans import drops, frames, modelling
 from tenurelens.plans.history import build_history
 from tenurelens.sources import io, schema
-from tenurelens.sources.workspace import settle
 
 
 def _read(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
@@ -42,10 +41,10 @@ def run(spark: SparkSession, payroll: str, calendar: str, steps: str, out: str,
     )
     io.write_parquet(history.report.frame(spark), f"{out}/snapshot_report")
     fitted = frames.train_frame(history, cfg)
-    train = settle(fitted.frame, "train")
-    score = settle(frames.score_frame(history, fitted.means, cfg), "score")
-    io.write_parquet(train, f"{out}/train")
-    io.write_parquet(score, f"{out}/score")
+    scored = frames.scored(history, fitted.means, cfg)
+    io.write_parquet(drops.report(history, fitted, scored, cfg), f"{out}/dropped_rows")
+    # the results are the tables that the model reads
+    train, score = io.written(fitted.frame, f"{out}/train"), io.written(scored.frame, f"{out}/score")
     model(spark, train, score, out, cfg, tune)
 
 

@@ -101,11 +101,19 @@ class TargetMeans:
             frame = lookup_join(frame, Lookup(self.means(name), self.rows[name]), TARGET_MEANS[name])
         return frame
 
-    def apply_unseen(self, frame: DataFrame) -> DataFrame:
-        """Apply, fill an unseen job class, drop rows with an unseen step pair."""
+    def apply_filled(self, frame: DataFrame) -> DataFrame:
+        """Apply, and fill an unseen job class."""
         applied = self.apply(frame)
         job = F.coalesce(F.col("jclass_persent"), self.fallback().scalar())
-        return applied.withColumn("jclass_persent", job).filter(F.col("CSTEP_persent").isNotNull())
+        return applied.withColumn("jclass_persent", job)
+
+    def apply_unseen(self, frame: DataFrame) -> DataFrame:
+        """Apply, fill an unseen job class, drop rows with an unseen step pair."""
+        return self.apply_filled(frame).filter(~unseen_step())
+
+
+def unseen_step() -> Column:
+    return F.col("CSTEP_persent").isNull()
 
 
 def mean_of_groups(means: DataFrame, name: str, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:

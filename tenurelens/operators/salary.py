@@ -105,15 +105,13 @@ def attach_fallback(frame: DataFrame, means: Lookup) -> DataFrame:
     return lookup_join(frame, kept, FALLBACK_KEYS)
 
 
-def impute_train(frame: DataFrame) -> DataFrame:
-    """Each of the five statistics falls back on its own; then two are required."""
+def fill_train(frame: DataFrame) -> DataFrame:
+    """Each of the five statistics falls back on its own."""
     filled = frame.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}2")) for c in SALARY_STATS})
-    return filled.drop(*FALLBACK_STATS).filter(
-        F.col("RATE_PP").isNotNull() & F.col("OT_TYPE_PAY_PERSENT").isNotNull()
-    )
+    return filled.drop(*FALLBACK_STATS)
 
 
-def impute_score(frame: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+def fill_score(frame: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
     """Only the share and the estimate fall back; only the estimate grows."""
     estimate = F.col("RATE_PP_ESTIMATE2") * cfg.rate_growth
     filled = frame.withColumns(
@@ -122,4 +120,22 @@ def impute_score(frame: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFr
             "RATE_PP_ESTIMATE": F.coalesce(F.col("RATE_PP_ESTIMATE"), estimate),
         }
     )
-    return filled.drop(*FALLBACK_STATS).filter(F.col("OT_TYPE_PAY_PERSENT").isNotNull())
+    return filled.drop(*FALLBACK_STATS)
+
+
+def no_rate() -> Column:
+    return F.col("RATE_PP").isNull()
+
+
+def no_share() -> Column:
+    return F.col("OT_TYPE_PAY_PERSENT").isNull()
+
+
+def impute_train(frame: DataFrame) -> DataFrame:
+    """Filled rows; rate and share are required."""
+    return fill_train(frame).filter(~no_rate() & ~no_share())
+
+
+def impute_score(frame: DataFrame, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """Filled rows; the share is required."""
+    return fill_score(frame, cfg).filter(~no_share())

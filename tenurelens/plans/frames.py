@@ -14,10 +14,11 @@ from tenurelens.sources.workspace import settle, settle_lookup
 
 @dataclass(frozen=True)
 class Fitted:
-    """Training frame and the target means the scoring frame has to reuse."""
+    """Training frame, the target means the scoring frame has to reuse, and the written rows the frame was filtered from."""
 
     frame: DataFrame
     means: encode.TargetMeans
+    rows: DataFrame
 
 
 def _pension(history: History, rows: DataFrame, cfg: PolicyConfig, growth: float | None = None) -> DataFrame:
@@ -29,12 +30,21 @@ def _pension(history: History, rows: DataFrame, cfg: PolicyConfig, growth: float
     return single.unionByName(el.attach_pension(others, table, how="inner")).drop("single")
 
 
-def train_base(history: History, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
-    """Eligible employee-years, imputed and normalised, before target means."""
+def train_rows(history: History, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """Eligible employee-years, imputed and normalised; those that lack a rate or a share are still there."""
     rows = _pension(history, history.panel.filter(el.is_eligible(cfg)), cfg)
     peers = settle_lookup(el.peer_stats(history.panel, cfg.eligible_age, cfg.eligible_service), "peers")
     rows = salary.attach_fallback(el.attach_peers(rows, peers), history.fallback)
-    return encode.normalise(salary.impute_train(rows), cfg)
+    return encode.normalise(salary.fill_train(rows), cfg)
+
+
+def train_base(history: History, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """Eligible employee-years, imputed and normalised, before target means."""
+    return _usable(train_rows(history, cfg))
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    return rows.filter(~salary.no_rate() & ~salary.no_share())
 
 
 def train_frame(history: History, cfg: PolicyConfig = PolicyConfig(), fit_on=None) -> Fitted:
@@ -43,22 +53,41 @@ def train_frame(history: History, cfg: PolicyConfig = PolicyConfig(), fit_on=Non
     By default all rows are used, test rows included; pass a condition such as
     the training split to keep test labels out of the encoding.
     """
-    base = settle(train_base(history, cfg), "train_base")
+    rows = settle(train_rows(history, cfg), "train_rows")
+    base = _usable(rows)
     means = encode.TargetMeans.fit(base if fit_on is None else base.filter(fit_on), cfg=cfg)
-    return Fitted(means.apply(base), means)
+    return Fitted(means.apply(base), means, rows)
 
 
-def score_base(history: History, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
-    """Next year's eligible employees with everything but target means."""
+def score_rows(history: History, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    """Next year's eligible employees with everything but target means; those that lack a share are still there."""
     rows = sf.roll_forward(sf.score_population(history.panel, cfg), cfg)
     rows = _pension(history, rows, cfg, growth=cfg.rate_growth)
     last_year = history.panel.filter(F.col("FISCAL_YEAR") == cfg.last_fiscal_year)
     peers = settle_lookup(el.peer_stats(last_year, cfg.forward_age, cfg.forward_service), "next_peers")
     rows = salary.attach_fallback(el.attach_peers(rows, peers, by_year=False), history.fallback)
-    rows = salary.impute_score(rows, cfg)
+    rows = salary.fill_score(rows, cfg)
     kept = rows.drop("DATE_OF_BIRTH", "ORIGINAL_HIRE_DATE", "MAX_PP", "retire", "JOB_CLASS")
     return encode.normalise(kept, cfg)
 
 
+def score_base(history: History, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
+    return score_rows(history, cfg).filter(~salary.no_share())
+
+
 def score_frame(history: History, means: encode.TargetMeans, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
     return means.apply_unseen(score_base(history, cfg))
+
+
+@dataclass(frozen=True)
+class Scored:
+    """Scoring frame, and the written rows the frame was filtered from."""
+
+    frame: DataFrame
+    rows: DataFrame
+
+
+def scored(history: History, means: encode.TargetMeans, cfg: PolicyConfig = PolicyConfig()) -> Scored:
+    """``score_frame`` by way of a written table, from which dropped rows can be counted."""
+    rows = settle(means.apply_filled(score_rows(history, cfg)), "score_rows")
+    return Scored(rows.filter(~salary.no_share() & ~encode.unseen_step()), rows)

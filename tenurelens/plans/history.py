@@ -21,13 +21,15 @@ class History:
 
     ``panel`` is written by fiscal year. Its rows carry ``BIWEEKLY_RATE`` where
     ``single`` is true; the others find their rates in ``rates``. ``report`` counts what
-    the joins on the last period multiply; step rows are not part of it.
+    the joins on the last period multiply; step rows are not part of it. ``rows`` are the panel's rows
+    before any is dropped.
     """
 
     panel: DataFrame
     rates: DataFrame | None
     fallback: Lookup
     report: SnapshotReport
+    rows: DataFrame
 
 
 def build_history(
@@ -37,8 +39,8 @@ def build_history(
     ladder = settle_lookup(steps.step_table(job_steps, cfg), "job_steps")
     spelled = settle(ey.spells(checks, cfg), "spells")
     salaries = salary.summary_of_spells(spelled, cfg)
-    rows, rates, report = panel_rows(checks, spelled, cfg)
-    rows, rates = _steps_apart(rows, rates, ladder, cfg)
+    every, rates, report = panel_rows(checks, spelled, cfg)
+    rows, rates = _steps_apart(every, rates, ladder, cfg)
     rows = ey.with_label(ey.with_ages(rows, cfg), cfg)
     rows = salary.attach(rows, salaries).withColumn("whether_supervisor", ey.supervisor_flag(cfg))
     rows = steps.with_steps(rows, ladder, cfg).select(*PANEL, "BIWEEKLY_RATE", "single")
@@ -47,6 +49,7 @@ def build_history(
         rates,
         settle_lookup(salary.fallback(salaries, cfg), "fallback"),
         report,
+        every,
     )
 
 

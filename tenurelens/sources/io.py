@@ -66,3 +66,9 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as a result and read back, so that what follows starts from the result."""
+    write_parquet(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
