@@ -277,6 +277,12 @@ def _larger(key: Column) -> Column:
     return F.struct(key.isNotNull(), key, F.col("file"), F.col("at"), F.col("record_id"))
 
 
+def _spread(files: DataFrame) -> tuple[DataFrame, int]:
+    """One archive to a task, and their number: the few bytes of a name say nothing about the archive behind it."""
+    number = max(1, files.count())
+    return files.select("file").repartition(number), number
+
+
 def convert_arc(files: DataFrame, arc_folder: str, warc_folder: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Converts the ARC files of ``files`` (file) to WARC files; returns (file, records).
 
@@ -285,7 +291,7 @@ def convert_arc(files: DataFrame, arc_folder: str, warc_folder: str, revisit_byt
     others revisit it. First the records' digests are gathered, without payloads; then
     each file is read again by the offsets of its records and written in order.
     """
-    spread = files.select("file").repartition("file")
+    spread, number = _spread(files)
     records = settle(spread.mapInArrow(_scan(arc_folder), _RECORD), "arc-records")
     same = ["payload_digest", "payload_bytes"]
     originals = (
@@ -297,7 +303,7 @@ def convert_arc(files: DataFrame, arc_folder: str, warc_folder: str, revisit_byt
     )
     refers = F.when(F.col("original") != F.col("record_id"), F.col("original")).alias("refers_to")
     decided = records.join(originals, same, "left").select(records.columns + [refers])
-    ordered = decided.repartition("file").sortWithinPartitions("file", "at")
+    ordered = decided.repartition(number, "file").sortWithinPartitions("file", "at")
     return settle(ordered.mapInArrow(_convert(arc_folder, warc_folder), "file string, records long"), "warc-files")
 
 
@@ -335,7 +341,7 @@ def _read_warc(folder: str):
 
 def read_warc(files: DataFrame, folder: str) -> DataFrame:
     """One row per record of the WARC files of ``files`` (file), warcinfo left out, with the key of what it refers to."""
-    spread = files.select("file").repartition("file")
+    spread, _ = _spread(files)
     records = settle(spread.mapInArrow(_read_warc(folder), _READ), "warc-records")
     originals = records.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to"))
     revisits = records.where("record_type = 'revisit'").join(originals, "refers_to_id", "left")

@@ -22,6 +22,7 @@ from tenurelens.llm.worker import kept
 
 #: Words that a worker remembers; when full, the half met least often is forgotten.
 CACHE_WORDS = 600_000
+_AT_A_TIME = 2_000
 
 _RARE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BEFORE = (" ", "\n", "")
@@ -79,7 +80,9 @@ class Encoder:
         self.known = _Known()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # the library's results are far larger than the ids, so they are not held for many texts at a time
+        parts = (texts[a : a + _AT_A_TIME] for a in range(0, len(texts), _AT_A_TIME))
+        return [e.ids for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def _whole(self, texts: list[str], raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Which texts have white space or added tokens that must be seen as a whole."""

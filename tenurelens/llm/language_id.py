@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tenurelens.llm.words import blocks
+from tenurelens.llm.worker import released
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -213,7 +214,7 @@ def predict(
     there is no network.
     """
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.mapInArrow(_predict(network, settings.window, names), schema)
+    return docs.mapInArrow(released(_predict(network, settings.window, names)), schema)
 
 
 def with_letters(docs: DataFrame) -> DataFrame:

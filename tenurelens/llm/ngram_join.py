@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tenurelens.llm.components import connected_components
 from tenurelens.llm.words import blocks, mix, shingle_runs
+from tenurelens.llm.worker import released
 from tenurelens.sources.workspace import settle
 
 BATCH_BYTES = 2_000_000
@@ -126,7 +127,7 @@ def frequency_levels(texts: DataFrame, s: Settings) -> np.ndarray:
 
     One byte for each cell comes to the driver, however many texts there are.
     """
-    counted = texts.mapInArrow(_sketched(s), "part int, cells binary, counts binary").repartition("part").sortWithinPartitions("part")
+    counted = texts.mapInArrow(released(_sketched(s)), "part int, cells binary, counts binary").repartition("part").sortWithinPartitions("part")
     out = np.zeros((_parts(s), s.cells // _parts(s)), dtype=np.uint8)
     for row in counted.mapInArrow(_leveled(s), "part int, levels binary").collect():
         out[row["part"]] = np.frombuffer(row["levels"], dtype=np.uint8)
@@ -461,7 +462,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     s = settings
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     levels = frequency_levels(texts.select("text"), s)
-    signed = settle(texts.mapInArrow(_signed(levels, s), "doc_id long, n long, h1 long, h2 long, prefix array<long>"), "signatures")
+    signed = settle(texts.mapInArrow(released(_signed(levels, s)), "doc_id long, n long, h1 long, h2 long, prefix array<long>"), "signatures")
     same = ["h1", "h2"]
     classes = settle(
         signed.where("n > 0")
@@ -478,7 +479,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     place = F.pmod(F.xxhash64("doc_id"), F.lit(s.wanted)).cast("int").alias("place")
     wanted = np.zeros(s.wanted, dtype=bool)
     wanted[members.select(place).distinct().toArrow()["place"].to_numpy()] = True
-    sets = texts.select("doc_id", "text", place).mapInArrow(_gathered(levels, wanted, s), "doc_id long, h1 long, h2 long, tokens binary")
+    sets = texts.select("doc_id", "text", place).mapInArrow(released(_gathered(levels, wanted, s)), "doc_id long, h1 long, h2 long, tokens binary")
     tasks = _tasks(members, ["doc_id", *same], s)
     match = (F.col("s.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("s.h1") == F.col("t.h1")) & (F.col("s.h2") == F.col("t.h2"))
     loaded = tasks.alias("t").join(sets.alias("s"), match).select(*(f"t.{c}" for c in _TASK), "t.side", "t.own", "t.class", "t.n", "s.tokens")

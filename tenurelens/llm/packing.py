@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tenurelens.llm.encoder import encoder
 from tenurelens.llm.words import slices
+from tenurelens.llm.worker import released
 from tenurelens.sources.workspace import settle
 
 CAPACITY = 1024
@@ -25,8 +26,10 @@ END_ID = 2
 PARTITION_PIECES = 32_768
 #: Texts encoded at once, in bytes.
 BATCH_BYTES = 2_000_000
-_ROUND = 1 << 56
-_PART = 1 << 24
+#: Numbers that a part keeps for its sequences; it has fewer pieces.
+_PART = 1 << 20
+#: Rounds after which what is packed is written anew, so that a read of it meets few tables.
+_REWRITTEN = 8
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -143,7 +146,7 @@ def best_filling(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets, np.array(fill, dtype=np.int64)
 
 
-def _pack(capacity: int, turn: int):
+def _pack(capacity: int, base: int):
     def run(table: pa.Table) -> pa.Table:
         # rows come in any order after a shuffle; the order by key makes a repeated task pack alike
         table = table.sort_by("key")
@@ -160,7 +163,7 @@ def _pack(capacity: int, turn: int):
             {
                 "key": table["key"].cast(pa.int64()),
                 "length": table["length"].cast(pa.int64()),
-                "sequence_id": pa.array(turn * _ROUND + part * _PART + bins, pa.int64()),
+                "sequence_id": pa.array(base + part * _PART + bins, pa.int64()),
                 "offset": pa.array(offsets, pa.int64()),
                 "fill": pa.array(fill[bins], pa.int64()),
                 "above": pa.array(np.full(n, len(fill) > bound)),
@@ -173,10 +176,14 @@ def _pack(capacity: int, turn: int):
 _PACKED = "key long, length long, sequence_id long, offset long, fill long, above boolean"
 
 
-def _dealt(pieces: DataFrame, n: int, turn: int, capacity: int, partition_pieces: int) -> DataFrame:
-    parts = max(1, -(-n // partition_pieces))
-    part = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(parts)).alias("part")
-    packed = pieces.select("key", "length", part).groupBy("part").applyInArrow(_pack(capacity, turn), _PACKED)
+def _parts(n: int, partition_pieces: int) -> int:
+    return max(1, -(-n // partition_pieces))
+
+
+def _dealt(pieces: DataFrame, n: int, turn: int, capacity: int, partition_pieces: int, base: int = 0) -> DataFrame:
+    """The pieces packed in parts that the turn deals anew; the sequences' numbers start at ``base``."""
+    part = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(_parts(n, partition_pieces))).alias("part")
+    packed = pieces.select("key", "length", part).groupBy("part").applyInArrow(_pack(capacity, base), _PACKED)
     return settle(packed, f"packed-{turn}")
 
 
@@ -196,7 +203,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
     for row in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["count"]
     bound = lower_bound(counts, capacity)
-    packed = _dealt(pieces, int(counts.sum()), 0, capacity, partition_pieces)
+    n = int(counts.sum())
+    packed, base = _dealt(pieces, n, 0, capacity, partition_pieces), _parts(n, partition_pieces) * _PART
     total, turn, every = _bins(packed), 1, False
     while total > bound:
         gives = F.col("fill") < capacity
@@ -206,10 +214,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
         moved, before = open_.count(), _bins(open_)
         after = before
         if moved:
-            again = _dealt(open_, moved, turn, capacity, partition_pieces)
+            again = _dealt(open_, moved, turn, capacity, partition_pieces, base)
             after, turn = _bins(again), turn + 1
+            base += _parts(moved, partition_pieces) * _PART
         if after < before:
             packed, total = packed.where(~gives).union(again), total - before + after
+            if turn % _REWRITTEN == 0:
+                packed = settle(packed, f"packed-after-{turn}")
         elif every:
             break
         else:
@@ -252,7 +263,7 @@ def token_pieces(
     """
     kind = docs.schema[key].dataType.simpleString()
     cut = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _pieces(tokenizer, end, capacity), f"doc_id {kind}, piece int, start long, length long, ids binary"
+        released(_pieces(tokenizer, end, capacity)), f"doc_id {kind}, piece int, start long, length long, ids binary"
     )
     return settle(cut.withColumn("key", F.monotonically_increasing_id()), "token-pieces")
 

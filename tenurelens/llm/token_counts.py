@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tenurelens.llm.encoder import Encoder, _spans
 from tenurelens.llm.words import _BYTE_VALUES, _power_tables, mix, slices, words_of
-from tenurelens.llm.worker import kept
+from tenurelens.llm.worker import kept, released
 from tenurelens.sources.workspace import settle
 
 BATCH_BYTES = 2_000_000
@@ -191,7 +191,7 @@ def _cut(path: str):
 
 def pretokens(docs: DataFrame, path: str, text: str = "text", held: int = HELD) -> DataFrame:
     """Every distinct pre-token of the texts: pretoken, n (occurrences), pieces."""
-    found = docs.select(F.col(text).alias("text")).mapInArrow(_tally(path, held), "pretoken string, n long")
+    found = docs.select(F.col(text).alias("text")).mapInArrow(released(_tally(path, held)), "pretoken string, n long")
     total = found.groupBy("pretoken").agg(F.sum("n").alias("n"))
     return settle(total.mapInArrow(_cut(path), "pretoken string, n long, pieces long"), "pretokens")
 
@@ -291,7 +291,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
     sized = some.select("key", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kind = some.schema["key"].dataType.simpleString()
     looked = sized.select(F.struct("key", F.octet_length("text").cast("long").alias("n_bytes")).alias("key"), "text").mapInArrow(
-        _looked_up(path, known), f"key struct<key:{kind},n_bytes:bigint>, pieces long, rest array<struct<pretoken:string,n:bigint>>"
+        released(_looked_up(path, known)), f"key struct<key:{kind},n_bytes:bigint>, pieces long, rest array<struct<pretoken:string,n:bigint>>"
     )
     rows = settle(looked.select(F.monotonically_increasing_id().alias("row"), "key.*", "pieces", "rest"), "common-counted")
     pieces = F.coalesce("pieces", F.raise_error(F.lit("a text changed while it was counted")).cast("long"))

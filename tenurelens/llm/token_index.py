@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tenurelens.llm.encoder import encoder
 from tenurelens.llm.words import blocks, mix, slices
-from tenurelens.llm.worker import Committed, read_range
+from tenurelens.llm.worker import Committed, read_range, released
 from tenurelens.sources.workspace import scratch_path, settle
 
 END_ID = 2
@@ -166,7 +166,7 @@ def write_shards(
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("__hash", F.xxhash64("text"))
     dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by, F.col("text").asc_nulls_first()).select("doc_id", "text")
     written = settle(
-        dealt.mapInArrow(_write(folder, tokenizer, end), "shard string, place long, least long, most long, nulls long, records long, ids long, index_bytes long"),
+        dealt.mapInArrow(released(_write(folder, tokenizer, end)), "shard string, place long, least long, most long, nulls long, records long, ids long, index_bytes long"),
         "shards",
     )
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
@@ -242,7 +242,8 @@ def lookup(keys: DataFrame, folder: str, manifest: DataFrame) -> DataFrame:
 
     distinct = keys.select(F.col(name).cast("long").alias("doc_id")).distinct()
     routed = distinct.mapInArrow(route, "doc_id long, shard string, start long, index_bytes long")
-    dealt = routed.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
+    # a number of partitions, because the few bytes of a route say nothing about the shard behind it
+    dealt = routed.repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
     return dealt.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids binary")
 
 

@@ -93,3 +93,11 @@ def test_awkward_rows_round_trip(spark):
         assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
     assert len(pieces[6]) == 2
     assert packing.pack_documents(empty(spark), FILE).count() == 0
+
+
+def test_numbers_of_late_rounds_stay_apart(spark):
+    """A round takes only the numbers its parts need, so that there is no last round."""
+    base = 1 << 62
+    rows = packing._dealt(spark.range(40).selectExpr("id as key", "600L as length"), 40, 1000, 1024, 8, base).collect()
+    assert len({r.sequence_id for r in rows}) == 40
+    assert all(base <= r.sequence_id < base + packing._parts(40, 8) * packing._PART for r in rows)
