@@ -357,6 +357,7 @@ ROUNDED = {
     "train_frame": [*STATS, "jclass_persent"],
     "train_frame_strict": [*STATS, "jclass_persent"],
     "score_frame": [*STATS, "jclass_persent"],
+    "frames_from_csv": [*STATS, "jclass_persent"],
 }
 FAN_OUT_TWINS = [
     "train_frame",
@@ -526,6 +527,16 @@ def _plain(fan_out: bool) -> dict[str, str]:
         "scan_step_dim": on("job_steps"),
         "sink_roundtrip": on("aged", f"{ID}, MAX_PP, age, service_year"),
         "sink_csv_roundtrip": on("facts"),
+        "csv_accepted": upto(
+            "facts",
+            "select * replace (case when EMPLOYEE_ID % 13 = 0 then JOB_CLASS_TITLE || chr(10) || 'X' else JOB_CLASS_TITLE end as JOB_CLASS_TITLE) "
+            "from facts where EMPLOYEE_ID % 11 <> 0",
+        ),
+        "csv_rejected": upto(
+            "facts",
+            "select case when EMPLOYEE_ID % 22 = 0 then 'MOU is no int; HW_TYPE_PAY is no double' else 'HW_TYPE_PAY is no double' end as reason, "
+            "count(*) as n, true as named from facts where EMPLOYEE_ID % 11 = 0 group by all",
+        ),
         "project_panel_cols": on(
             "checks",
             "FISCAL_YEAR, EMPLOYEE_ID, DATE_OF_BIRTH, ORIGINAL_HIRE_DATE, PAYROLL_SEQUENCE",
@@ -746,7 +757,7 @@ def _plain(fan_out: bool) -> dict[str, str]:
         ),
     }
     sql["train_frame"] = sql["train_frame_strict"] = upto("train_base", with_means("train_base", "train_base"))
-    sql["score_frame"] = upto("score_base", seen("score_base", "train_base"))
+    sql["score_frame"] = sql["frames_from_csv"] = upto("score_base", seen("score_base", "train_base"))
     return sql
 
 

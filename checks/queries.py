@@ -137,6 +137,36 @@ def sink_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return io.read_csv(spark, path, schema.PAYROLL)
 
 
+def spoilt_csv(spark: SparkSession, d: str) -> io.Parsed:
+    """Payroll as CSV in which some fields hold line breaks and some numbers are no numbers, read back."""
+    path = scratch_path(spark, "spoilt_csv")
+    employee = F.col("EMPLOYEE_ID")
+    text = {f.name: F.col(f.name).cast("string") for f in schema.PAYROLL.fields}
+    text["JOB_CLASS_TITLE"] = F.when(employee % 13 == 0, F.concat("JOB_CLASS_TITLE", F.lit(chr(10) + "X"))).otherwise(F.col("JOB_CLASS_TITLE"))
+    text["HW_TYPE_PAY"] = F.when(employee % 11 == 0, "12a").otherwise(text["HW_TYPE_PAY"])
+    text["MOU"] = F.when(employee % 22 == 0, "7.5").when(employee % 3 == 0, F.concat(text["MOU"], F.lit(".0"))).otherwise(text["MOU"])
+    io.write_csv(facts(spark, d).select(*[c.alias(n) for n, c in text.items()]), path)
+    return io.parse_csv(spark, path, schema.PAYROLL, multi_line=True)
+
+
+def csv_accepted(spark: SparkSession, d: str) -> DataFrame:
+    return spoilt_csv(spark, d).rows
+
+
+def csv_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Records set apart, by reason, and whether each names its file and holds its record."""
+    found = spoilt_csv(spark, d).rejected
+    named = F.col("file").contains("spoilt_csv") & F.col("record").contains("12a")
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.bool_and(named).alias("named"))
+
+
+def frames_from_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The scoring frame written as CSV and read back by its schema."""
+    path = scratch_path(spark, "score_csv")
+    io.write_csv(score_frame(spark, d), path)
+    return io.read_csv(spark, path, schema.SCORE_FRAME)
+
+
 # -- projections and filters --------------------------------------------------
 
 
@@ -643,6 +673,9 @@ def _plain() -> dict[str, Query]:
         "scan_step_dim": trade.job_steps,
         "sink_roundtrip": sink_roundtrip,
         "sink_csv_roundtrip": sink_csv_roundtrip,
+        "csv_accepted": csv_accepted,
+        "csv_rejected": csv_rejected,
+        "frames_from_csv": frames_from_csv,
         # projections and filters
         "project_panel_cols": project_panel_cols,
         "drop_scratch": drop_scratch,

@@ -5,7 +5,9 @@
 Inputs are CSV files with a header, or parquet where the path ends in .parquet.
 ``DIR`` receives train, score, predictions, confusion, importances and total as
 parquet, and the predictions of the coming year as CSV. ``--frames DIR`` starts from the
-train and score frames of an earlier run instead of payroll. ``--tune`` also writes
+train and score frames of an earlier run instead of payroll, ``--train T --score S`` from such
+frames in CSV or parquet. Records that don't parse fail the job; with ``--rejected DIR`` they are
+written there, with file and reason, and the job goes on. ``--multi-line`` allows line breaks in quoted fields. ``--tune`` also writes
 the whole search, all points of all stages for each beta; run again after a stop, it fits only
 what ``finished_fits`` lacks. ``--strict`` refuses payroll with several
 attribute rows in an employee's last period, ``--fan-out-limit`` payroll that they multiply too far;
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -27,16 +29,29 @@ from tenurelens.plans.history import build_history
 from tenurelens.sources import io, schema
 
 
-def _read(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
-    reader = io.read_parquet if path.rstrip("/").endswith(".parquet") else io.read_csv
-    return reader(spark, path, fields)
+@dataclass(frozen=True)
+class Files:
+    """How inputs are read: ``rejected`` names a folder for records that don't parse, which otherwise fail the job."""
 
+    spark: SparkSession
+    rejected: str | None = None
+    multi_line: bool = False
 
-def run(spark: SparkSession, payroll: str, calendar: str, steps: str, out: str, cfg: PolicyConfig, tune: bool = False) -> None:
+    def read(self, name: str, path: str, fields: T.StructType) -> DataFrame:
+        if path.rstrip("/").endswith(".parquet"):
+            return io.read_parquet(self.spark, path, fields)
+        if self.rejected is None:
+            return io.read_csv(self.spark, path, fields, self.multi_line)
+        parsed = io.parse_csv(self.spark, path, fields, self.multi_line)
+        io.write_parquet(parsed.rejected, f"{self.rejected}/{name}")
+        return parsed.rows
+
+
+def run(spark: SparkSession, files: Files, payroll: str, calendar: str, steps: str, out: str, cfg: PolicyConfig, tune: bool = False) -> None:
     history = build_history(
-        _read(spark, payroll, schema.PAYROLL),
-        _read(spark, calendar, schema.FISCAL_CALENDAR),
-        _read(spark, steps, schema.JOB_STEPS),
+        files.read("payroll", payroll, schema.PAYROLL),
+        files.read("calendar", calendar, schema.FISCAL_CALENDAR),
+        files.read("steps", steps, schema.JOB_STEPS),
         cfg,
     )
     io.write_parquet(history.report.frame(spark), f"{out}/snapshot_report")
@@ -69,16 +84,19 @@ def model(spark: SparkSession, train: DataFrame, score: DataFrame, out: str, cfg
 
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tenurelens", description="Retirement model from payroll history")
-    for name in ("payroll", "calendar", "steps", "frames"):
+    for name in ("payroll", "calendar", "steps", "train", "score", "frames", "rejected"):
         parser.add_argument(f"--{name}")
+    parser.add_argument("--multi-line", action="store_true")
     parser.add_argument("--out", required=True)
     parser.add_argument("--tune", action="store_true")
     parser.add_argument("--strict", action="store_true")
     parser.add_argument("--fan-out-limit", type=float)
     parser.add_argument("--last-fiscal-year", type=int, default=PolicyConfig.last_fiscal_year)
     args = parser.parse_args(argv)
-    if not args.frames and not (args.payroll and args.calendar and args.steps):
-        parser.error("give --payroll, --calendar and --steps, or --frames")
+    if args.frames:
+        args.train, args.score = (f"{args.frames}/{name}" for name in ("train", "score"))
+    if not (args.train and args.score) and not (args.payroll and args.calendar and args.steps):
+        parser.error("give --payroll, --calendar and --steps, or --train and --score, or --frames")
     spark = SparkSession.builder.appName("tenurelens").getOrCreate()
     cfg = replace(
         PolicyConfig(),
@@ -86,11 +104,18 @@ def main(argv: Sequence[str] | None = None) -> None:
         snapshot_mode=snapshots.STRICT if args.strict else snapshots.LITERAL,
         fan_out_limit=args.fan_out_limit,
     )
+    files = Files(spark, args.rejected, args.multi_line)
     if args.frames:
-        train, score = (spark.read.parquet(f"{args.frames}/{name}") for name in ("train", "score"))
+        # written by an earlier run
+        frame = lambda path, fields: io.read_parquet(spark, path, fields)
+        model(spark, frame(args.train, schema.TRAIN_FRAME), frame(args.score, schema.SCORE_FRAME), args.out, cfg, args.tune)
+    elif args.train:
+        # other files are typed once
+        train = io.written(files.read("train", args.train, schema.TRAIN_FRAME), f"{args.out}/train")
+        score = io.written(files.read("score", args.score, schema.SCORE_FRAME), f"{args.out}/score")
         model(spark, train, score, args.out, cfg, args.tune)
     else:
-        run(spark, args.payroll, args.calendar, args.steps, args.out, cfg, args.tune)
+        run(spark, files, args.payroll, args.calendar, args.steps, args.out, cfg, args.tune)
 
 
 if __name__ == "__main__":

@@ -77,3 +77,35 @@ PANEL = (
     + SALARY_STATS
     + ["MOU", "whether_supervisor", "JOB_CLASS", "HIGHEST_STEP", "dif_step", "whether_highest"]
 )
+
+MEANS = [
+    "WORK_SCHEDULE_persent",
+    "RETIREMENT_PENSION_PLAN_persent",
+    "ETHNICITY_persent",
+    "GENDER_persent",
+    "MARITAL_STATUS_persent",
+    "MOU_persent",
+    "HSTEP_persent",
+    "jclass_persent",
+    "CSTEP_persent",
+]
+
+_DATES = {"DATE_OF_BIRTH", "ORIGINAL_HIRE_DATE", "next_fy_startdate"}
+_LONGS = {"EMPLOYEE_ID", "total_ecount"}
+_TEXTS = {f.name for f in PAYROLL.fields if isinstance(f.dataType, T.StringType)} - _DATES
+_DOUBLES = {*SALARY_STATS, "retirement_factor", "retirement_pension", "eligible_persent", *MEANS}
+
+
+def _kind(name: str) -> T.DataType:
+    for names, kind in ((_DATES, T.DateType()), (_LONGS, T.LongType()), (_TEXTS, T.StringType()), (_DOUBLES, T.DoubleType())):
+        if name in names:
+            return kind
+    return T.IntegerType()
+
+
+# the frames that a model can start from; the scoring frame lacks what only the past has
+_FRAME = [*PANEL, "retirement_factor", "retirement_pension", "eligible_persent", "total_ecount", *MEANS]
+TRAIN_FRAME = T.StructType([T.StructField(c, _kind(c)) for c in _FRAME])
+SCORE_FRAME = T.StructType(
+    [f for f in TRAIN_FRAME.fields if f.name not in ("DATE_OF_BIRTH", "ORIGINAL_HIRE_DATE", "MAX_PP", "retire", "JOB_CLASS")]
+)

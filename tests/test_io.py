@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql.types import StructField, StructType, IntegerType, StringType
 
 from tenurelens.sources import io, workspace
-from tenurelens.sources.schema import JOB_STEPS
+from tenurelens.sources.schema import JOB_STEPS, SCORE_FRAME, TRAIN_FRAME
 
 SCHEMA = StructType([StructField("s", StringType()), StructField("n", IntegerType())])
 
@@ -78,3 +78,30 @@ def test_columns_are_read_by_name(spark, tmp_path):
     infinite = spark.createDataFrame([(float("inf"),)], "HW_TYPE_PAY double")
     with pytest.raises(Exception, match="HW_TYPE_PAY is infinite"):
         io.clean_numbers(infinite).collect()
+
+
+def test_records_that_do_not_parse_are_set_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('s,n,x\nok,1,0\n"two\nlines",2,0\nshort,3\nlong,4,0,0\nno number,5b,0\ndecimal,6.0,0\nhalf,6.5,0\nlarge,99999999999,0\n,NA,0\n')
+    (tmp_path / "b.csv").write_text("s,n,x\nother, 8 ,0\n")
+    found = io.parse_csv(spark, str(tmp_path), SCHEMA, multi_line=True)
+    assert sorted(map(tuple, found.rows.collect()), key=repr) == sorted([("ok", 1), ("two\nlines", 2), ("decimal", 6), ("", None), ("other", 8)], key=repr)
+    rejected = {(r["record"], r["reason"], r["file"].rsplit("/", 1)[-1]) for r in found.rejected.collect()}
+    assert rejected == {
+        ("short,3", "wrong number of fields", "a.csv"),
+        ("long,4,0,0", "wrong number of fields", "a.csv"),
+        ("no number,5b,0", "n is no int", "a.csv"),
+        ("half,6.5,0", "n is no int", "a.csv"),
+        ("large,99999999999,0", "n is no int", "a.csv"),
+    }
+    # whatever is read of the rows, the records set apart are the same
+    assert found.rows.select("s").count() == 5 and found.rejected.select("reason").count() == 5
+    with pytest.raises(ValueError, match="no column"):
+        io.parse_csv(spark, str(tmp_path), StructType([StructField("gone", StringType())]))
+
+
+def test_frames_have_the_schema_of_the_queries(spark):
+    from checks import queries as q
+    from tests.conftest import SMALL
+
+    for query, fields in ((q.train_frame, TRAIN_FRAME), (q.score_frame, SCORE_FRAME)):
+        assert {f.name: f.dataType for f in query(spark, SMALL).schema.fields} == {f.name: f.dataType for f in fields.fields}
