@@ -27,6 +27,7 @@ from tenurelens.operators import forest, snapshots
 from tenurelens.plans import drops, frames, modelling
 from tenurelens.plans.history import build_history
 from tenurelens.sources import io, schema
+from tenurelens.sources.workspace import run_folder
 
 
 @dataclass(frozen=True)
@@ -104,18 +105,24 @@ def main(argv: Sequence[str] | None = None) -> None:
         snapshot_mode=snapshots.STRICT if args.strict else snapshots.LITERAL,
         fan_out_limit=args.fan_out_limit,
     )
-    files = Files(spark, args.rejected, args.multi_line)
+    with run_folder(spark):
+        _start(args, Files(spark, args.rejected, args.multi_line), cfg)
+
+
+def _start(args: argparse.Namespace, files: Files, cfg: PolicyConfig) -> None:
+    """The part of the job that the given inputs ask for."""
+    spark = files.spark
     if args.frames:
         # written by an earlier run
-        frame = lambda path, fields: io.read_parquet(spark, path, fields)
-        model(spark, frame(args.train, schema.TRAIN_FRAME), frame(args.score, schema.SCORE_FRAME), args.out, cfg, args.tune)
+        train, score = io.read_parquet(spark, args.train, schema.TRAIN_FRAME), io.read_parquet(spark, args.score, schema.SCORE_FRAME)
     elif args.train:
         # other files are typed once
         train = io.written(files.read("train", args.train, schema.TRAIN_FRAME), f"{args.out}/train")
         score = io.written(files.read("score", args.score, schema.SCORE_FRAME), f"{args.out}/score")
-        model(spark, train, score, args.out, cfg, args.tune)
     else:
         run(spark, files, args.payroll, args.calendar, args.steps, args.out, cfg, args.tune)
+        return
+    model(spark, train, score, args.out, cfg, args.tune)
 
 
 if __name__ == "__main__":

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
+
+from tenurelens.sources.workspace import remove, replace_folder
 
 MISSING_TEXT = "NA"
 #: Column of whole records that have not as many fields as the header.
@@ -107,24 +111,50 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+#: Files of a partition key, at most.
+FILES_PER_KEY = 8
+
+
+def _publish(df: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None]) -> None:
+    """Writes beside ``path`` and then takes its place: a write that fails leaves the old result as it was.
+
+    On a store without renames the old result is missing for the time that copying takes.
+    """
+    spark, part = df.sparkSession, f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+    try:
+        write(df.write, part)
+        replace_folder(spark, part, path)
+    finally:
+        remove(spark, part)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Header, ``NA`` for missing, quoted blanks, no index column."""
-    df.write.mode("overwrite").csv(
-        path,
-        header=True,
-        nullValue=MISSING_TEXT,
-        quote='"',
-        escape='"',
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
-
-
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+
+    def write(writer: DataFrameWriter, part: str) -> None:
+        writer.csv(
+            part,
+            header=True,
+            nullValue=MISSING_TEXT,
+            quote='"',
+            escape='"',
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        )
+
+    _publish(df, path, write)
+
+
+def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, files_per_key: int = FILES_PER_KEY) -> None:
+    """With ``partition_by``, the rows of a key are brought together in ``files_per_key`` files at most, dealt by
+    a hash of the row, so that a key with many rows is written by several tasks."""
+    if not partition_by:
+        _publish(df, path, lambda writer, part: writer.parquet(part))
+        return
+    others = [F.col(f"`{c}`") for c in df.columns if c not in partition_by]
+    share = F.pmod(F.xxhash64(*others), F.lit(files_per_key)) if others else F.lit(0)
+    clustered = df.withColumn("__share", share).repartition(*partition_by, "__share").drop("__share")
+    _publish(clustered, path, lambda writer, part: writer.partitionBy(*partition_by).parquet(part))
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

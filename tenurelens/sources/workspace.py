@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import cache
 
@@ -33,8 +36,54 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tenurelens-")
 
 
+_RUN: ContextVar[str] = ContextVar("run", default="")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tenurelens/{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/tenurelens/{_RUN.get()}{uuid.uuid4().hex}/{name}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """All intermediate tables made inside lie in one folder, which is removed at the end, also after a failure.
+
+    Frames that read them must not be used afterwards.
+    """
+    run = f"run-{uuid.uuid4().hex}/"
+    token = _RUN.set(run)
+    folder = f"{shared_folder(spark)}/tenurelens/{run}"
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        remove(spark, folder)
+
+
+def _files(spark: SparkSession, path: str):
+    """A Hadoop path and its file system, whichever that is."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    found, system = _files(spark, path)
+    system.delete(found, True)
+
+
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """``new`` takes the place of ``path``; should that fail, what stood there is put back."""
+    source, system = _files(spark, new)
+    target, _ = _files(spark, path)
+    old, _ = _files(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    stood = system.exists(target)
+    if stood and not system.rename(target, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not system.rename(source, target):
+        if stood:
+            system.rename(old, target)
+        raise OSError(f"{new} can't be moved to {path}")
+    if stood:
+        system.delete(old, True)
 
 
 def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -105,3 +105,43 @@ def test_frames_have_the_schema_of_the_queries(spark):
 
     for query, fields in ((q.train_frame, TRAIN_FRAME), (q.score_frame, SCORE_FRAME)):
         assert {f.name: f.dataType for f in query(spark, SMALL).schema.fields} == {f.name: f.dataType for f in fields.fields}
+
+
+def test_a_write_that_fails_leaves_the_old_result(spark, tmp_path, rows):
+    path = str(tmp_path / "out")
+    io.write_parquet(spark.range(3), path)
+    broken = spark.range(0, 8, 1, 4).selectExpr("if(id = 5, raise_error('no'), id) as id")
+    for write in (io.write_parquet, io.write_csv):
+        with pytest.raises(Exception, match="no"):
+            write(broken, path)
+        assert rows(spark.read.parquet(path)) == [(0,), (1,), (2,)]
+    io.write_parquet(spark.range(2), path)
+    assert rows(spark.read.parquet(path)) == [(0,), (1,)]
+    # neither halves nor old results stay beside it
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_files_of_a_key_are_bounded(spark, tmp_path, rows):
+    df = spark.range(0, 6000, 1, 12).selectExpr("id", "if(id % 3 = 0, 2018, 2000 + id % 7) as year")
+    # as if there were too many rows to be written by one task
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        io.write_parquet(df, str(tmp_path / "out"), partition_by=["year"], files_per_key=3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [len(list(p.glob("part-*"))) for p in (tmp_path / "out").glob("year=*")]
+    assert len(files) == 8 and max(files) <= 3
+    # the year with a third of the rows is written by several tasks
+    assert len(list((tmp_path / "out" / "year=2018").glob("part-*"))) > 1
+    assert rows(spark.read.parquet(str(tmp_path / "out")).select("id", "year")) == rows(df)
+
+
+def test_a_run_removes_its_tables(spark):
+    from pathlib import Path
+
+    with pytest.raises(RuntimeError), workspace.run_folder(spark) as folder:
+        table = workspace.settle(spark.range(5), "numbers")
+        assert table.count() == 5 and Path(folder.removeprefix("file:")).is_dir()
+        raise RuntimeError
+    assert not Path(folder.removeprefix("file:")).exists()
+    assert workspace.settle(spark.range(5), "numbers").count() == 5
