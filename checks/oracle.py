@@ -525,6 +525,7 @@ def _plain(fan_out: bool) -> dict[str, str]:
         "scan_payroll": on("facts"),
         "scan_fiscal_calendar": on("calendar"),
         "scan_step_dim": on("job_steps"),
+        "scan_step_sheet": on("job_steps"),
         "sink_roundtrip": on("aged", f"{ID}, MAX_PP, age, service_year"),
         "sink_csv_roundtrip": on("facts"),
         "csv_accepted": upto(

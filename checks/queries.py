@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import trade_payroll as trade
 from checks.oracle import FAN_OUT_TWINS, OUTPUT_DECIMALS, ROUNDED
+from checks.sheets import write_sheets
 from tenurelens.config import PolicyConfig
 from tenurelens.functions import dates
 from tenurelens.functions.nullsafe import in_list
@@ -18,7 +19,7 @@ from tenurelens.operators import eligibility as el, employee_year as ey, encode,
 from tenurelens.operators import profile, salary, score_frame as sf, search, snapshots, steps
 from tenurelens.plans import drops, frames, modelling
 from tenurelens.plans.history import History, build_history, panel_rows
-from tenurelens.sources import io, schema
+from tenurelens.sources import io, schema, sheet
 from tenurelens.sources.workspace import Lookup, scratch_path, settle, settle_lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +168,14 @@ def frames_from_csv(spark: SparkSession, d: str) -> DataFrame:
     return io.read_csv(spark, path, schema.SCORE_FRAME)
 
 
+def scan_step_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """The step table, one row per job, title and grade, from the first sheet of a spreadsheet."""
+    path = f"{scratch_path(spark, 'steps')}.xlsx"
+    table = trade.job_steps(spark, d)
+    write_sheets(path, [[table.columns, *map(tuple, table.toLocalIterator())], [["another", "sheet"]]])
+    return sheet.read_sheet(spark, path, schema.JOB_STEPS)
+
+
 # -- projections and filters --------------------------------------------------
 
 
@@ -671,6 +680,7 @@ def _plain() -> dict[str, Query]:
         "scan_payroll": facts,
         "scan_fiscal_calendar": trade.fiscal_calendar,
         "scan_step_dim": trade.job_steps,
+        "scan_step_sheet": scan_step_sheet,
         "sink_roundtrip": sink_roundtrip,
         "sink_csv_roundtrip": sink_csv_roundtrip,
         "csv_accepted": csv_accepted,

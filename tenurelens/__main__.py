@@ -2,7 +2,8 @@
 
     spark-submit --py-files ... -m tenurelens --payroll P --calendar C --steps S --out DIR
 
-Inputs are CSV files with a header, or parquet where the path ends in .parquet.
+Inputs are CSV files with a header, or parquet where the path ends in .parquet, or the first sheet of
+a spreadsheet where it ends in .xlsx.
 ``DIR`` receives train, score, predictions, confusion, importances and total as
 parquet, and the predictions of the coming year as CSV. ``--frames DIR`` starts from the
 train and score frames of an earlier run instead of payroll, ``--train T --score S`` from such
@@ -27,6 +28,7 @@ from tenurelens.operators import forest, snapshots
 from tenurelens.plans import drops, frames, modelling
 from tenurelens.plans.history import build_history
 from tenurelens.sources import io, schema
+from tenurelens.sources.sheet import SUFFIX, read_sheet
 from tenurelens.sources.workspace import run_folder
 
 
@@ -41,6 +43,8 @@ class Files:
     def read(self, name: str, path: str, fields: T.StructType) -> DataFrame:
         if path.rstrip("/").endswith(".parquet"):
             return io.read_parquet(self.spark, path, fields)
+        if path.rstrip("/").endswith(SUFFIX):
+            return read_sheet(self.spark, path, fields)
         if self.rejected is None:
             return io.read_csv(self.spark, path, fields, self.multi_line)
         parsed = io.parse_csv(self.spark, path, fields, self.multi_line)
