@@ -151,3 +151,22 @@ def test_label(spark, status, reason, expected):
 def test_supervisors(spark):
     df = spark.createDataFrame([(12,), (63,), (1,), (None,)], "MOU int")
     assert [r[0] for r in df.select(ey.supervisor_flag()).collect()] == [1, 1, 0, 0]
+
+
+def test_the_panel_needs_no_spells(spark, rows):
+    changes = [{**c, "EMPLOYEE_ID": i} for i, case in enumerate(CASES.values()) for c in case]
+    checks = with_year(spark, *changes)
+    direct, other = ey.snapshot_panel(checks), ey.snapshot_panel(checks, settle(ey.spells(checks), "spells"))
+    assert direct.report == other.report
+    assert rows(direct.single) == rows(other.single) and rows(direct.multiple) == rows(other.multiple)
+    assert rows(direct.rates) == rows(other.rates)
+
+
+def test_a_large_panel_neither_sorts_nor_shuffles_checks_twice(spark, rows):
+    """Beyond the size of a broadcast the checks move once, by employee and period, and are told apart there."""
+    checks = settle(with_year(spark, *CASES["two attribute rows in the last period"]), "checks")
+    panel = ey._keyed(settle(ey.last_period(checks), "last"), "MAX_PP")
+    large = ey.states_at_last(checks, panel, ey.BROADCAST_ROWS + 1)
+    text = large._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2 and "Sort" not in text and "ShuffledHashJoin" in text
+    assert rows(large) == rows(ey.states_at_last(checks, panel, 1)) and large.count() == 4
