@@ -1,6 +1,7 @@
 """Text input rules, sinks and the shared folder."""
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, IntegerType, StringType
 
 from tenurelens.sources import io, workspace
@@ -145,3 +146,13 @@ def test_a_run_removes_its_tables(spark):
         raise RuntimeError
     assert not Path(folder.removeprefix("file:")).exists()
     assert workspace.settle(spark.range(5), "numbers").count() == 5
+
+
+def test_csv_files_are_bounded_and_read_side_by_side(spark, tmp_path, rows):
+    """A file with line breaks in its fields is one task's, so the writer makes several of many rows."""
+    table = spark.createDataFrame([(i, f"a{chr(10)}{i}") for i in range(10)], "n int, t string").coalesce(1)
+    io.write_csv(table, f"{tmp_path}/t", records_per_file=4)
+    assert len(list((tmp_path / "t").glob("*.csv"))) == 3
+    parsed = io.parse_csv(spark, f"{tmp_path}/t", table.schema, multi_line=True)
+    assert rows(parsed.rows) == rows(table) and parsed.rejected.count() == 0
+    assert parsed.rows.select(F.input_file_name()).distinct().count() == 3
