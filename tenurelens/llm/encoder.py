@@ -36,13 +36,14 @@ class _Known:
         self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """``keys``: not known yet, sorted."""
         length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         start = len(self.pool) + np.cumsum(length) - length
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(length.sum()))])
-        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
-        self.keys = np.concatenate([self.keys, keys])[order]
-        self.met = np.concatenate([self.met, np.zeros(len(keys), np.int64)])[order]
-        self.start, self.length = np.concatenate([self.start, start])[order], np.concatenate([self.length, length])[order]
+        # both are sorted, so each array is merged in one step, which lots of any size can afford
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.met = np.insert(self.keys, at, keys), np.insert(self.met, at, 0)
+        self.start, self.length = np.insert(self.start, at, start), np.insert(self.length, at, length)
 
     def forget(self) -> None:
         """Keeps the half met most often, and half of the counts."""

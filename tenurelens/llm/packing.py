@@ -25,7 +25,7 @@ END_ID = 2
 #: Pieces that meet in one task.
 PARTITION_PIECES = 32_768
 #: Texts encoded at once, in bytes.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
 #: Numbers that a part keeps for its sequences; it has fewer pieces.
 _PART = 1 << 20
 #: Rounds after which what is packed is written anew, so that a read of it meets few tables.

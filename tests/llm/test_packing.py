@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import itertools
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -101,3 +103,17 @@ def test_numbers_of_late_rounds_stay_apart(spark):
     rows = packing._dealt(spark.range(40).selectExpr("id as key", "600L as length"), 40, 1000, 1024, 8, base).collect()
     assert len({r.sequence_id for r in rows}) == 40
     assert all(base <= r.sequence_id < base + packing._parts(40, 8) * packing._PART for r in rows)
+
+
+def test_lots_bound_the_memory_of_a_worker():
+    texts = [" ".join(f"w{(i * 7 + j * 31) % 5000}" for j in range(400)) for i in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1500)), "text": texts})
+    run = packing._pieces(FILE, packing.END_ID, packing.CAPACITY)
+    list(run(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found >= 1500 and peak < 60_000_000
