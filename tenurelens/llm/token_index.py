@@ -27,7 +27,7 @@ END_ID = 2
 MAGIC = b"TIDX0001"
 #: Bits of a level for each key that reaches it.
 SPREAD = 2.0
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 _FINGERPRINT = 1000
 
 
