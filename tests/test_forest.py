@@ -133,6 +133,23 @@ def test_layout_does_not_follow_the_session(spark, rows_):
     assert found[0] == found[1]
 
 
+def test_deep_forests_keep_the_rows_nodes_and_grow_the_same_trees(rows_):
+    params = ForestParams(trees=5, depth=8, min_split=4, min_leaf=2)
+    layout = forest.stable_layout(rows_.filter("is_train"), 4).persist()
+    kept = params.estimator()
+    assert kept.getCacheNodeIds() and not ForestParams(depth=3).estimator().getCacheNodeIds()
+    trees = [e.fit(layout).toDebugString.split("\n", 1)[1] for e in (kept, params.estimator().setCacheNodeIds(False))]
+    layout.unpersist()
+    assert trees[0] == trees[1]
+
+
+def test_a_fit_holds_only_what_it_reads(rows_, monkeypatch):
+    held = []
+    monkeypatch.setattr(forest, "fit", lambda rows, *_: held.append(rows.columns))
+    modelling.fit_rows(rows_, ForestParams())
+    assert held == [forest.FIT_COLUMNS]
+
+
 def test_a_beta_without_a_search_is_refused():
     with pytest.raises(ValueError, match="no search for beta"):
         forest.stages(0.7)
