@@ -23,6 +23,8 @@ from tenurelens.llm.worker import kept
 #: Words that a worker remembers; when full, the half met least often is forgotten.
 CACHE_WORDS = 600_000
 _AT_A_TIME = 2_000
+#: Words that the library gets as one text; more don't make a word cheaper.
+_SIDE_BY_SIDE = 50
 
 _RARE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BEFORE = (" ", "\n", "")
@@ -35,11 +37,10 @@ class _Known:
         self.keys, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        """``keys``: not known yet, sorted."""
-        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        start = len(self.pool) + np.cumsum(length) - length
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(length.sum()))])
+    def add(self, keys: np.ndarray, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """``keys``: not known yet, sorted; ``start`` and ``length``: their places in ``ids``."""
+        start = start + len(self.pool)
+        self.pool = np.concatenate([self.pool, ids])
         # both are sorted, so each array is merged in one step, which lots of any size can afford
         at = np.searchsorted(self.keys, keys)
         self.keys, self.met = np.insert(self.keys, at, keys), np.insert(self.met, at, 0)
@@ -60,6 +61,10 @@ def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, length) + np.arange(length.sum())
 
 
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=sum(map(len, ids)))
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -78,13 +83,42 @@ class Encoder:
         self.attached = bool(plain and before.get("use_regex") and not before.get("add_prefix_space"))
         #: White space is dropped.
         self.dropped = (spec["model"].get("end_of_word_suffix") or "") == "</w>" and bool(spec["normalizer"])
+        self.opens = self._opening(added) if self.attached else None
         self.known = _Known()
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _opening(self, added: list[str]) -> np.ndarray | None:
+        """Which ids begin with a blank: in words side by side, each led by a blank, these are the words' first."""
+        vocabulary = self.tokenizer.get_vocab()
+        if "\u0120" not in vocabulary or any(c.isspace() for content in added for c in content):
+            return None
+        opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        return opens
+
+    def _encode(self, texts: list[str], at_a_time: int = _AT_A_TIME) -> list[list[int]]:
         # the library's results are far larger than the ids, so they are not held for many texts at a time
-        parts = (texts[a : a + _AT_A_TIME] for a in range(0, len(texts), _AT_A_TIME))
+        parts = (texts[a : a + at_a_time] for a in range(0, len(texts), at_a_time))
         return [e.ids for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str], led: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, and each word's start and length in them; ``led`` tells which begin with a blank."""
+        if self.opens is None:
+            led = np.zeros(len(words), dtype=bool)
+        joined = [w for w, blank in zip(words, led.tolist(), strict=True) if blank]
+        texts = ["".join(joined[a : a + _SIDE_BY_SIDE]) for a in range(0, len(joined), _SIDE_BY_SIDE)]
+        ids = _flat(self._encode(texts, _AT_A_TIME // _SIDE_BY_SIDE))
+        first = np.flatnonzero(self.opens[ids]) if len(ids) else np.zeros(0, np.int64)
+        if len(first) != len(joined):
+            # a file that treats words in company otherwise, such as one that cuts long texts
+            self.opens = None
+            return self._encode_words(words, led)
+        others = self._encode([w for w, blank in zip(words, led.tolist(), strict=True) if not blank])
+        start, length = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        length[led] = np.diff(first, append=len(ids))
+        length[~led] = np.fromiter(map(len, others), dtype=np.int64, count=len(others))
+        start[led], start[~led] = first, len(ids) + np.cumsum(length[~led]) - length[~led]
+        return np.concatenate([ids, _flat(others)]), start, length
+
     def _whole(self, texts: list[str], raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Which texts have white space or added tokens that must be seen as a whole."""
         if not (self.attached or self.dropped):
@@ -127,7 +161,7 @@ class Encoder:
         if new.any():
             data, some = w.raw.tobytes(), first[new]
             words = [_BEFORE[s] + data[a:b].decode("utf-8") for s, a, b in zip(state[some].tolist(), begins[some].tolist(), stops[some].tolist(), strict=True)]
-            known.add(distinct[new], self._encode(words))
+            known.add(distinct[new], *self._encode_words(words, state[some] == 0))
             at = np.searchsorted(known.keys, distinct)
         known.met[at] += 1
         start, length = known.start[at][inverse], known.length[at][inverse]

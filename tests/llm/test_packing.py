@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import itertools
+import json
 import tracemalloc
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +14,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from tenurelens.llm import packing
+from tenurelens.llm.encoder import Encoder
 from tests.llm.samples import documents, empty
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -117,3 +120,27 @@ def test_lots_bound_the_memory_of_a_worker():
     finally:
         tracemalloc.stop()
     assert found >= 1500 and peak < 60_000_000
+
+
+def test_words_are_encoded_side_by_side_with_the_ids_of_whole_texts(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, given_texts = Encoder(path), []
+    once = encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda texts, *n: given_texts.extend(texts) or once(texts, *n))
+    texts = [" ".join(f"don't{i}x{k}, été-{i * k}" for k in range(60)) + "\nnext 'line' ’tis" for i in range(20)]
+    plain = Tokenizer.from_file(path)
+    assert [ids.tolist() for ids in encode(texts, 2)] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    words = len({w for t in texts for w in t.split()})
+    assert words > 1_000 and len(given_texts) < words / 10
+
+
+def test_a_file_that_cuts_texts_gets_its_words_one_by_one(tmp_path):
+    path = tmp_path / "cuts.json"
+    spec = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8"))
+    spec["truncation"] = {"direction": "Right", "max_length": 40, "strategy": "LongestFirst", "stride": 0}
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    encode = Encoder(str(path))
+    words = [f" word{i}" for i in range(120)]
+    ids, start, length = encode._encode_words(words, np.ones(len(words), bool))
+    assert encode.opens is None
+    assert [ids[a : a + n].tolist() for a, n in zip(start, length)] == [encode.tokenizer.encode(w).ids for w in words]
