@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tenurelens.llm.components import connected_components
-from tenurelens.llm.words import blocks, mix, shingle_runs
+from tenurelens.llm.words import mix, shingle_runs, slices
 from tenurelens.llm.worker import released
 from tenurelens.sources.workspace import settle
 
-BATCH_BYTES = 2_000_000
+#: Texts shingled at once, in bytes; some twenty times as much is held meanwhile.
+BATCH_BYTES = 500_000
 #: Shingles that a task counts at a time.
 _WAITING = 1 << 20
 
@@ -66,30 +67,29 @@ def _sketched(s: Settings):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, counts, waiting, n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        parts = _parts(s)
+        counts, waiting, n = np.zeros((parts, s.cells // parts), np.uint32), [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
+        def add() -> None:
             found, times = np.unique(np.concatenate(waiting), return_counts=True)
-            total, at = np.unique(np.concatenate([cells, found]), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([counts, times]), minlength=len(total)).astype(np.int64)
-            return total, sums
+            counts.reshape(-1)[found] += times.astype(np.uint32)
 
         for batch in batches:
-            for part in blocks(_texts(batch["text"]), len, BATCH_BYTES):
-                runs, _ = shingle_runs(part, s.size)
+            for part in slices(batch, "text", BATCH_BYTES):
+                runs, _ = shingle_runs(_texts(part["text"]), s.size)
                 waiting.append((runs % np.uint64(s.cells)).astype(np.int32))
                 n += len(runs)
                 if n > _WAITING:
-                    (cells, counts), waiting, n = merged(), [], 0
+                    add()
+                    waiting, n = [], 0
         if waiting:
-            cells, counts = merged()
-        if len(cells):
-            size = s.cells // _parts(s)
-            parts, first = np.unique(cells // size, return_index=True)
-            inside = np.split((cells % size).astype("<u4"), first[1:])
-            data = [x.astype("<u4").tobytes() for x in np.split(counts, first[1:])]
+            add()
+        met = [(i, np.flatnonzero(row)) for i, row in enumerate(counts)]
+        met = [(i, cells.astype("<u4"), counts[i][cells].astype("<u4")) for i, cells in met if len(cells)]
+        if met:
+            numbers, cells, data = zip(*met, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.int32()), pa.array([x.tobytes() for x in inside], pa.binary()), pa.array(data, pa.binary())], ["part", "cells", "counts"]
+                [pa.array(numbers, pa.int32()), *(pa.array([x.tobytes() for x in column], pa.binary()) for column in (cells, data))], ["part", "cells", "counts"]
             )
 
     return run
@@ -153,9 +153,8 @@ def _signed(levels: np.ndarray, s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, texts = 0, _texts(batch["text"])
-            for part in blocks(texts, len, BATCH_BYTES):
-                tokens, first = ordered_sets(part, levels, s)
+            for part in slices(batch, "text", BATCH_BYTES):
+                tokens, first = ordered_sets(_texts(part["text"]), levels, s)
                 n = np.diff(first)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens, seed))])[first] for seed in (1, 2)]
                 h1, h2 = ((x[1:] - x[:-1]).view(np.int64) for x in sums)
@@ -163,9 +162,7 @@ def _signed(levels: np.ndarray, s: Settings):
                 take = np.repeat(first[:-1], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
                 offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[take].view(np.int64)))
-                doc = batch["doc_id"].slice(at, len(part))
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), prefix], ["doc_id", "n", "h1", "h2", "prefix"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), prefix], ["doc_id", "n", "h1", "h2", "prefix"])
 
     return run
 
@@ -176,15 +173,12 @@ def _gathered(levels: np.ndarray, wanted: np.ndarray, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(wanted[batch["place"].to_numpy()]))
-            at = 0
-            for part in blocks(_texts(batch["text"]), len, BATCH_BYTES):
-                tokens, first = ordered_sets(part, levels, s)
+            for part in slices(batch, "text", BATCH_BYTES):
+                tokens, first = ordered_sets(_texts(part["text"]), levels, s)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens, seed))])[first] for seed in (1, 2)]
                 h1, h2 = ((x[1:] - x[:-1]).view(np.int64) for x in sums)
                 data = [tokens[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                doc = batch["doc_id"].slice(at, len(part))
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([doc, pa.array(h1), pa.array(h2), pa.array(data, pa.binary())], ["doc_id", "h1", "h2", "tokens"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(h1), pa.array(h2), pa.array(data, pa.binary())], ["doc_id", "h1", "h2", "tokens"])
 
     return run
 

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tenurelens.llm import ngram_join
@@ -92,3 +94,33 @@ def test_sketch_counts_every_shingle_and_follows_the_text(spark):
     levels = ngram_join.frequency_levels(docs.repartition(5), settings)
     counts = np.bincount((runs % np.uint64(settings.cells)).astype(np.int64), minlength=settings.cells)
     assert (levels == ngram_join._level(counts).astype(np.uint8)).all()
+
+
+def test_lots_bound_the_memory_of_a_worker():
+    words = np.random.default_rng(5).integers(0, 1 << 30, (4000, 500))
+    texts = [" ".join(map(str, row)) for row in words.tolist()]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4000)), "text": texts, "place": list(range(4000))})
+    s, levels = ngram_join.Settings(), np.zeros(1 << 22, np.uint8)
+    for run in (ngram_join._sketched(s), ngram_join._signed(levels, s), ngram_join._gathered(levels, np.ones(4000, bool), s)):
+        list(run(iter([batch.slice(0, 1)])))
+        tracemalloc.start()
+        try:
+            rows = sum(b.num_rows for b in run(iter([batch])))
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert rows and peak < 80_000_000
+
+
+def test_the_sketch_counts_every_shingle():
+    texts = ["a b c d", None, "", "a b c", "x", "a b c d"]
+    s = ngram_join.Settings(cells=1 << 18)
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(part, pa.string())}) for part in (texts[:3], texts[3:])]
+    found = {
+        (part, cell): n
+        for b in ngram_join._sketched(s)(iter(batches))
+        for part, cells, counts in zip(*(b[c].to_pylist() for c in ("part", "cells", "counts")), strict=True)
+        for cell, n in zip(np.frombuffer(cells, "<u4").tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True)
+    }
+    assert sorted(found.values()) == [1, 2, 3]
+    assert {part for part, _ in found} <= set(range(4))
