@@ -159,3 +159,21 @@ def test_nan_pay_is_missing_and_infinite_pay_refused(spark):
     assert found.panel.select("OT_TYPE_PAY_PERSENT").first()[0] is None
     with pytest.raises(Exception, match="HW_TYPE_PAY is infinite"):
         build_history(payroll(spark, {"HW_TYPE_PAY": float("inf")}), calendar(spark, YEARS), step_rows(spark))
+
+
+def test_bare_rows_fit_as_the_whole_ones(spark, rows):
+    """What is only fitted or searched is written without the frame's other columns."""
+    frame = settle(q.train_frame(spark, SMALL), "frame")
+    bare, whole = modelling.bare_rows(frame, "bare", q.CFG), modelling.model_rows(frame, "whole", q.CFG)
+    assert bare.columns == ["EMPLOYEE_ID", "FISCAL_YEAR", "label", "weight", "is_train", "row_hash", "features"]
+    assert rows(bare) == rows(whole.select(*bare.columns)) and set(frame.columns) < set(whole.columns)
+    assert q.training_rows(spark, SMALL).columns == bare.columns
+
+
+def test_dates_are_spelled_once_a_person(spark, rows):
+    """They are made of the person alone, so before the checks are joined to it; where the checks move again, after that."""
+    plain = trade.payroll(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    several = trade.payroll(spark, SMALL, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plain.index("date_format") > plain.rindex("Join") and several.rindex("date_format") < several.index("Join")
+    columns = ["EMPLOYEE_ID", "DATE_OF_BIRTH", "ORIGINAL_HIRE_DATE"]
+    assert rows(trade.payroll(spark, SMALL).select(*columns).distinct()) == rows(trade.payroll(spark, SMALL, True).select(*columns).distinct())
