@@ -113,3 +113,14 @@ def test_the_whole_grid_has_496_points(spark):
     points = grid.points(spark)
     assert points.count() == 496 and points.where("stage = 1 and not by_size or stage > 1 and by_size").isEmpty()
     assert len(grid.fits()) < 496
+
+
+def test_folds_are_dealt_without_the_frames_other_columns(rows, monkeypatch):
+    """The dealing writes and sorts its rows, so it gets only what a fit reads."""
+    dealt = []
+    monkeypatch.setattr(search, "ranked", lambda some, *rest: dealt.append(some.columns) or ranked(some, *rest))
+    grid = search.Grid({0.5: [Stage(STAGE.base, {"depth": (2,)})]})
+    wide = rows.withColumns({f"other_{i}": F.lit("text") for i in range(3)})
+    found = search.search(wide, grid, CFG)
+    assert dealt == [["EMPLOYEE_ID", "FISCAL_YEAR", "row_hash", "label", "weight", "features", "__hash"]]
+    assert sorted(found.folds.collect()) == sorted(search.search(rows, grid, CFG).folds.collect())
