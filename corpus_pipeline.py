@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenurelens.llm import language_id, line_dedup, mixing, ngram_join, packing, registry
 from tenurelens.llm.rows import numbered
-from tenurelens.sources.workspace import settle
+from tenurelens.sources.workspace import settle, settle_alone
 
 #: Near duplicates share this part of their shingles of five words.
 NEAR = ngram_join.Settings(size=5, percent=80)
@@ -38,8 +38,12 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates, also by way of others, the document with the least doc_id stays; of equal ids the first row."""
     rows = numbered(docs)
-    linked = ngram_join.link_documents(rows, key="__row", settings=NEAR).select("__row", F.col("component_id").alias("__group"))
-    ids = settle(rows.select("__row", "doc_id").join(linked, "__row"), "groups")
+
+    def grouped() -> DataFrame:
+        linked = ngram_join.link_documents(rows, key="__row", settings=NEAR).select("__row", F.col("component_id").alias("__group"))
+        return rows.select("__row", "doc_id").join(linked, "__row")
+
+    ids = settle_alone(spark, "groups", grouped)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")
     first = ids.groupBy("__group").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = ids.join(first, "__group").where(F.col("__row") != F.col("first.__row")).select("__row")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tenurelens.sources.workspace import settle
+from tenurelens.sources.workspace import remove, scratch_path, settle_at
 
 
 def _lowest(links: DataFrame) -> DataFrame:
@@ -23,18 +23,22 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     its smaller ones, to the least node it knows, until every link points at a
     component's least node. Minima are combined before the shuffle, and the join back is
     between the links and one row per node, so AQE can split a node with very many
-    links. Each round is a table in the shared folder. Links with a NULL end and links
+    links. Each round is a table in the shared folder and takes the place of the one before. Links with a NULL end and links
     from a node to itself are ignored.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, before = settle(links, "links"), None
+    spark, before = links.sparkSession, None
+    path = scratch_path(spark, "links")
+    links = settle_at(links, path)
     for _ in range(rounds):
         large = _lowest(links).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # every link now runs from a larger node a to a smaller one b
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         links = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
-        links = settle(links.distinct(), "links")
+        done, path = path, scratch_path(spark, "links")
+        links = settle_at(links.distinct(), path)
+        remove(spark, done)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

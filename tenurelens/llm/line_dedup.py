@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tenurelens.llm.mixing import word_count
 from tenurelens.llm.rows import ROW
-from tenurelens.sources.workspace import settle
+from tenurelens.sources.workspace import settle, settle_alone
 
 MIN_WORDS = 50
 SPACE = " \t\n\x0b\x0c\r"
@@ -156,7 +156,7 @@ def dedup_lines(
     longs, if there is one, stands for the order of the table.
     """
     stable = docs if ROW in docs.columns else settle(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
-    gone = repeated_lines(stable, key, text, min_words)
+    gone = settle_alone(stable.sparkSession, "gone-lines", lambda: repeated_lines(stable, key, text, min_words))
     marks = gone.groupBy(ROW).agg(F.sort_array(F.collect_list(AT)).alias("__gone"))
     out = stable.join(marks, ROW, "left").withColumn("__lines", _lines(F.col(text)))
     places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tenurelens.llm.components import connected_components
 from tenurelens.llm.words import mix, shingle_runs, slices
 from tenurelens.llm.worker import released
-from tenurelens.sources.workspace import settle
+from tenurelens.sources.workspace import remove, scratch_path, settle, settle_alone, settle_at, tidy
 
 #: Texts shingled at once, in bytes; some twenty times as much is held meanwhile.
 BATCH_BYTES = 500_000
@@ -129,8 +129,9 @@ def frequency_levels(texts: DataFrame, s: Settings) -> np.ndarray:
     """
     counted = texts.mapInArrow(released(_sketched(s)), "part int, cells binary, counts binary").repartition("part").sortWithinPartitions("part")
     out = np.zeros((_parts(s), s.cells // _parts(s)), dtype=np.uint8)
-    for row in counted.mapInArrow(_leveled(s), "part int, levels binary").collect():
-        out[row["part"]] = np.frombuffer(row["levels"], dtype=np.uint8)
+    with tidy(texts.sparkSession):
+        for row in counted.mapInArrow(_leveled(s), "part int, levels binary").collect():
+            out[row["part"]] = np.frombuffer(row["levels"], dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -453,11 +454,11 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     all NULL has no name. Whole texts are read three times and never shuffled, but for the
     sets of those that share a prefix token with another.
     """
-    s = settings
+    s, spark = settings, docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     levels = frequency_levels(texts.select("text"), s)
-    signed = settle(texts.mapInArrow(released(_signed(levels, s)), "doc_id long, n long, h1 long, h2 long, prefix array<long>"), "signatures")
-    same = ["h1", "h2"]
+    same, path = ["h1", "h2"], scratch_path(spark, "signatures")
+    signed = settle_at(texts.mapInArrow(released(_signed(levels, s)), "doc_id long, n long, h1 long, h2 long, prefix array<long>"), path)
     classes = settle(
         signed.where("n > 0")
         .groupBy(*same)
@@ -465,22 +466,36 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", set
         .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )
-    touching = _touching(classes, s)
-    near = _grouped(touching, classes.select("class", "n", "prefix")).withColumn("weight", F.size("prefix"))
-    prefixes = _tasks(near, ["prefix"], s).withColumnRenamed("prefix", "tokens")
-    candidates = settle(prefixes.groupBy(*_TASK).applyInArrow(_joined(s), "a long, b long"), "candidates")
-    members = _grouped(candidates, classes.select("class", "n", "doc_id", *same)).withColumn("weight", F.col("n"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(s.wanted)).cast("int").alias("place")
-    wanted = np.zeros(s.wanted, dtype=bool)
-    wanted[members.select(place).distinct().toArrow()["place"].to_numpy()] = True
-    sets = texts.select("doc_id", "text", place).mapInArrow(released(_gathered(levels, wanted, s)), "doc_id long, h1 long, h2 long, tokens binary")
-    tasks = _tasks(members, ["doc_id", *same], s)
-    match = (F.col("s.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("s.h1") == F.col("t.h1")) & (F.col("s.h2") == F.col("t.h2"))
-    loaded = tasks.alias("t").join(sets.alias("s"), match).select(*(f"t.{c}" for c in _TASK), "t.side", "t.own", "t.class", "t.n", "s.tokens")
-    links = settle(loaded.groupBy(*_TASK).applyInArrow(_joined(s), "a long, b long"), "links")
-    joined = connected_components(links)
-    named = classes.select("class", "doc_id", *same).join(joined, F.col("class") == F.col("node"), "left")
-    named = settle(named.select("doc_id", *same, F.coalesce("component", "class").alias("component")), "named")
+    # prefixes are most of what is written; from here on only those of classes are read
+    signed = settle(signed.drop("prefix"), "sizes")
+    remove(spark, path)
+
+    def candidates() -> DataFrame:
+        near = _grouped(_touching(classes, s), classes.select("class", "n", "prefix")).withColumn("weight", F.size("prefix"))
+        prefixes = _tasks(near, ["prefix"], s).withColumnRenamed("prefix", "tokens")
+        return prefixes.groupBy(*_TASK).applyInArrow(_joined(s), "a long, b long")
+
+    pairs = settle_alone(spark, "candidates", candidates)
+
+    def links() -> DataFrame:
+        members = _grouped(pairs, classes.select("class", "n", "doc_id", *same)).withColumn("weight", F.col("n"))
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(s.wanted)).cast("int").alias("place")
+        wanted = np.zeros(s.wanted, dtype=bool)
+        wanted[members.select(place).distinct().toArrow()["place"].to_numpy()] = True
+        sets = texts.select("doc_id", "text", place).mapInArrow(released(_gathered(levels, wanted, s)), "doc_id long, h1 long, h2 long, tokens binary")
+        tasks = _tasks(members, ["doc_id", *same], s)
+        match = (F.col("s.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("s.h1") == F.col("t.h1")) & (F.col("s.h2") == F.col("t.h2"))
+        loaded = tasks.alias("t").join(sets.alias("s"), match).select(*(f"t.{c}" for c in _TASK), "t.side", "t.own", "t.class", "t.n", "s.tokens")
+        return loaded.groupBy(*_TASK).applyInArrow(_joined(s), "a long, b long")
+
+    linked = settle_alone(spark, "links", links)
+
+    def names() -> DataFrame:
+        joined = connected_components(linked)
+        found = classes.select("class", "doc_id", *same).join(joined, F.col("class") == F.col("node"), "left")
+        return found.select("doc_id", *same, F.coalesce("component", "class").alias("component"))
+
+    named = settle_alone(spark, "named", names)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(least, "component").select(*same, "component_id")
     out = signed.select("doc_id", "n", *same).join(by_set, same, "left")

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 from tenurelens.llm.components import connected_components
+from tenurelens.sources.workspace import run_folder
 
 
 def test_components_of_paths_stars_and_nulls(spark):
@@ -26,3 +28,10 @@ def test_components_of_paths_stars_and_nulls(spark):
 
 def test_no_links(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_round_takes_the_place_of_the_one_before(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with run_folder(spark) as folder:
+        assert connected_components(links).where("component = 0").count() == 41
+        assert len(list(Path(folder.removeprefix("file://")).glob("*/links"))) == 1

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import random
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tenurelens.llm import ngram_join
+from tenurelens.sources.workspace import run_folder
 from tests.llm.samples import documents, empty
 
 
@@ -124,3 +126,11 @@ def test_the_sketch_counts_every_shingle():
     }
     assert sorted(found.values()) == [1, 2, 3]
     assert {part for part, _ in found} <= set(range(4))
+
+
+def test_tables_on_the_way_are_removed(spark):
+    with run_folder(spark) as folder:
+        found = ngram_join.link_documents(documents(spark, [(i, "a b c d e f g", "en", "s") for i in range(9)]))
+        assert {r.component_id for r in found.collect()} == {0}
+        top = Path(folder.removeprefix("file://"))
+        assert {p.name for p in top.glob("*/*")} == {"classes", "sizes", "candidates", "links", "named"}

@@ -1,5 +1,7 @@
 """Text input rules, sinks and the shared folder."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, IntegerType, StringType
@@ -156,3 +158,28 @@ def test_csv_files_are_bounded_and_read_side_by_side(spark, tmp_path, rows):
     parsed = io.parse_csv(spark, f"{tmp_path}/t", table.schema, multi_line=True)
     assert rows(parsed.rows) == rows(table) and parsed.rejected.count() == 0
     assert parsed.rows.select(F.input_file_name()).distinct().count() == 3
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = {int(x) for x in tracker.shuffleStatuses().keys().mkString(",").split(",") if x}
+    set_to = spark.conf.get(workspace.CLEANUP)
+    shuffled = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().orderBy("k")
+    table = workspace.settle(shuffled, "counts")
+    after = {int(x) for x in tracker.shuffleStatuses().keys().mkString(",").split(",") if x}
+    assert after <= before and spark.conf.get(workspace.CLEANUP) == set_to
+    assert table.count() == shuffled.count() == 7
+
+
+def test_tables_on_the_way_to_a_table_are_removed(spark):
+    paths = []
+
+    def make():
+        table = workspace.settle(spark.range(5), "on-the-way")
+        paths.append(table.inputFiles()[0].split(":", 1)[1])
+        return table.where("id > 2")
+
+    with workspace.run_folder(spark):
+        kept = workspace.settle_alone(spark, "kept", make)
+        assert kept.count() == 2 and not Path("/" + paths[0].lstrip("/")).exists()
+        assert workspace.settle(spark.range(3), "later").count() == 3
