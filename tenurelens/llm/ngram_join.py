@@ -42,6 +42,8 @@ class Settings:
     block_tokens: int = 1 << 19
     #: A token counted so often by the sketch is hot, and its classes are tied in parts.
     hot: int = 100_000
+    #: Classes of a token up to which they are paired; those of other tokens are grouped.
+    few: int = 32
     #: Cells of the map of documents whose sets are needed; others are not shingled again.
     wanted: int = 1 << 22
 
@@ -421,9 +423,11 @@ def _level(count):
 
 
 def _touching(classes: DataFrame, s: Settings) -> DataFrame:
-    """Links that connect the classes which share a prefix token and whose sizes may be linked.
+    """Links that connect the classes which share a prefix token and may be linked by size and shared tokens.
 
-    A token's classes are chained by size, cut where neighbours differ too much. Its level bounds
+    Of a token in ``few`` classes all pairs are looked at, and kept if the tokens they share can lift them to the threshold:
+    so classes that meet by chance don't grow into groups. The classes of another token
+    are chained by size, cut where neighbours differ too much. Its level bounds
     their number, but for hot tokens: their classes are chained within a step of sizes and
     one of 64 parts, and the first of each part to the next first of the same or the next step.
     """
@@ -434,17 +438,41 @@ def _touching(classes: DataFrame, s: Settings) -> DataFrame:
         order = Window.partitionBy(*by).orderBy("n", "class")
         return rows.withColumn("b", F.lag("class").over(order)).withColumn("smaller", F.lag("n").over(order))
 
+    met = first.where(~hot).withColumn("among", F.count("*").over(Window.partitionBy("token"))).where("among > 1")
+    met = settle(met, "met")
+    many = met.where(F.col("among") > s.few)
     near = 100 * F.col("smaller") >= s.percent * F.col("n")
-    cold = chained(first.where(~hot), "token").where(near)
+    cold = chained(many, "token").where(near)
     parts = first.where(hot).withColumns({"step": _step(F.col("n"), s), "part": F.pmod("class", F.lit(64))})
     parts = chained(parts, "token", "step", "part")
     heads = parts.where(F.col("b").isNull()).select("token", "class", "step")
     order = Window.partitionBy("token").orderBy("step", "class")
     heads = heads.withColumns({"b": F.lag("class").over(order), "before": F.lag("step").over(order)})
-    links = [cold, parts.where(F.col("b").isNotNull()), heads.where(F.col("step") - F.col("before") <= 1)]
+    others = many.select("class").union(first.where(hot).select("class")).groupBy("class").agg(F.count("*").alias("others"))
+    links = [_pairs(met.where(F.col("among") <= s.few), others, s), cold, parts.where(F.col("b").isNotNull()), heads.where(F.col("step") - F.col("before") <= 1)]
     return reduce(DataFrame.union, [x.select(F.col("class").alias("a"), "b") for x in links])
 
 
+def _pairs(met: DataFrame, others: DataFrame, s: Settings) -> DataFrame:
+    """(class, b): pairs that share tokens of ``met`` (token, class, n) and may reach the threshold.
+
+    Below the last token of one of both prefixes all common tokens are in both; above it, no more can be common than that set
+    has left. ``others`` counts a class's prefix tokens that are not in ``met`` and may be shared, too.
+    """
+    lists = met.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "class"))).alias("all"))
+    larger = lists.select("all", F.posexplode("all").alias("at", "y"))
+    both = larger.select("y", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("x"))
+    both = both.where(100 * F.col("x.n") >= s.percent * F.col("y.n"))
+    shared = both.groupBy(F.col("x.class").alias("class"), F.col("y.class").alias("b")).agg(
+        F.count("*").alias("shared"), F.first("x.n").alias("n"), F.first("y.n").alias("m")
+    )
+    known = shared.join(others, "class", "left").join(others.toDF("b", "others_b"), "b", "left")
+    more = F.least(F.coalesce("others", F.lit(0)), F.coalesce("others_b", F.lit(0)))
+    left = F.ceil(s.percent * F.col("m") / 100) - 1
+    least = F.ceil(s.percent * (F.col("n") + F.col("m")) / (100 + s.percent))
+    return known.where(F.col("shared") + more + left >= least)
+
+
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of ``docs``: the key, n_shingles, component_id.
 

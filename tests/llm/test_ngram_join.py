@@ -128,6 +128,25 @@ def test_the_sketch_counts_every_shingle():
     assert {part for part, _ in found} <= set(range(4))
 
 
+@pytest.mark.parametrize(("few", "percent", "hot"), [(1, 80, 10**5), (3, 70, 10**5), (6, 90, 4), (100, 60, 30)])
+def test_pairs_and_groups_of_tokens_find_the_same(spark, few, percent, hot):
+    texts = edited(random.Random(few + percent), 120)
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    settings = ngram_join.Settings(size=2, percent=percent, block_tokens=200, cells=1 << 16, hot=hot, few=few)
+    found = ngram_join.link_documents(documents(spark, rows), settings=settings).orderBy("doc_id").collect()
+    assert [r.component_id for r in found] == components(list(range(len(texts))), [shingles(t, 2) for t in texts], percent)
+
+
+def test_classes_that_meet_by_chance_are_no_group(spark):
+    """Every class shares one of its ten prefix tokens with the next; only the last two share enough of them."""
+    sets = [[100 * i, *range(100 * i + 10, 100 * i + 18), 100 * (i + 1)] for i in range(30)]
+    sets.append([*sets[-1][:9], 9999])
+    rows = [(i, 100, [t + 1 for t in tokens]) for i, tokens in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "class long, n long, prefix array<long>")
+    links = {tuple(sorted(r)) for r in ngram_join._touching(classes, ngram_join.Settings()).collect()}
+    assert links == {(29, 30)}
+
+
 def test_tables_on_the_way_are_removed(spark):
     with run_folder(spark) as folder:
         found = ngram_join.link_documents(documents(spark, [(i, "a b c d e f g", "en", "s") for i in range(9)]))
