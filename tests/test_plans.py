@@ -1,6 +1,7 @@
 """Whole frames: repeated step rows, refused calendars, the job on files."""
 
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tenurelens.plans import frames, modelling
 from tenurelens.plans.history import build_history, panel_rows
 from checks import trade_payroll as trade
 from tenurelens.sources import io, schema
-from tenurelens.sources.workspace import settle, settle_lookup
+from tenurelens.sources.workspace import run_folder, settle, settle_lookup
 from tests.conftest import SMALL
 from tests.payroll_rows import calendar, payroll
 
@@ -57,6 +58,15 @@ def test_two_ceilings_multiply_the_pension_join(spark, rows):
     assert rows(frames.train_base(past).select(*columns)) == rows(expected.select(*columns))
 
 
+def test_checks_are_gone_when_the_history_is_written(spark, rows):
+    with run_folder(spark) as folder:
+        checks = payroll(spark, *[{"PAYROLL_SEQUENCE": p, "BIWEEKLY_RATE": r} for p in (1, 2) for r in (1000.0, 1100.0)])
+        past = build_history(checks, calendar(spark, YEARS), step_rows(spark))
+        names = {p.name for p in Path(folder.removeprefix("file://")).glob("*/*")}
+        assert not names & {"checks", "salaries"}
+        assert past.rows.count() == 2 and past.rates.count() == 4 and past.panel.count() == 2
+
+
 def test_a_calendar_with_a_period_twice_is_refused(spark):
     twice = calendar(spark, YEARS).union(calendar(spark, {1: 2018}))
     with pytest.raises(ValueError, match="more than once"):
