@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks import queries as q
 from tenurelens import __main__ as job
 from tenurelens.config import PolicyConfig
-from tenurelens.operators import eligibility as el, employee_year as ey, forest, steps
+from tenurelens.operators import eligibility as el, employee_year as ey, encode, forest, steps
 from tenurelens.plans import frames, modelling
 from tenurelens.plans.history import build_history, panel_rows
 from checks import trade_payroll as trade
@@ -67,6 +67,43 @@ def test_checks_are_gone_when_the_history_is_written(spark, rows):
         assert past.rows.count() == 2 and past.rates.count() == 4 and past.panel.count() == 2
 
 
+def several_rates(spark):
+    """Employee 1 has two rates in each last period, employee 2 two titles and two rates, employee 3 one of both."""
+    both = [{"BIWEEKLY_RATE": r} for r in (1000.0, 1100.0)]
+    return payroll(
+        spark,
+        *[{"PAYROLL_SEQUENCE": p, **x} for p in (1, 2) for x in both],
+        *[{"EMPLOYEE_ID": 2, "PAYROLL_SEQUENCE": 2, "JOB_CLASS_TITLE": t, **x} for t in ("CLERK", "CHIEF") for x in both],
+        {"EMPLOYEE_ID": 3, "PAYROLL_SEQUENCE": 2, "JOB_STATUS": "Separated", "SEPARATION_REASON": "Retired/Pensioned"},
+        *[{"EMPLOYEE_ID": 3, "PAYROLL_SEQUENCE": p} for p in (1,)],
+    )
+
+
+def test_rows_are_written_before_the_pension_join_repeats_them(spark, rows):
+    with run_folder(spark) as folder:
+        written = lambda name: [str(p) for p in Path(folder.removeprefix("file://")).glob(f"*/{name}")]
+        past = build_history(several_rates(spark), calendar(spark, YEARS), step_rows(spark))
+        fitted = frames.train_frame(past)
+        repeated = rows(fitted.rows.groupBy("EMPLOYEE_ID", "FISCAL_YEAR").count())
+        assert repeated == [(1, 2017, 2), (1, 2018, 2), (2, 2018, 8), (3, 2017, 1), (3, 2018, 1)]
+        assert spark.read.parquet(*written("train_rows")).count() == 6
+        assert set(fitted.frame.columns) == set(schema.TRAIN_FRAME.names)
+
+
+def test_means_weigh_rows_by_how_often_they_are_repeated(spark, rows):
+    past = build_history(several_rates(spark), calendar(spark, YEARS), step_rows(spark))
+    fitted = frames.train_frame(past)
+    literal = encode.TargetMeans.fit(frames.train_base(past))
+    assert rows(fitted.means.table) == rows(literal.table)
+    assert rows(fitted.frame) == rows(literal.apply(frames.train_base(past)))
+    assert rows(frames.train_frame(past, fit_on=F.lit(True)).means.table) == rows(literal.table)
+    unseen = literal.apply_unseen(frames.score_base(past))
+    assert rows(frames.score_frame(past, fitted.means)) == rows(unseen) == rows(frames.scored(past, fitted.means).frame)
+    for frame, names in ((unseen, schema.SCORE_FRAME.names), (fitted.frame, schema.TRAIN_FRAME.names)):
+        at = frame.columns.index("retirement_factor")
+        assert frame.columns[at : at + 4] == names[names.index("retirement_factor") :][:4] and set(frame.columns) == set(names)
+
+
 def test_a_calendar_with_a_period_twice_is_refused(spark):
     twice = calendar(spark, YEARS).union(calendar(spark, {1: 2018}))
     with pytest.raises(ValueError, match="more than once"):
